@@ -9,6 +9,7 @@ from .html import op3
 from .mixing import op10
 from .neardup import op1
 from .sharding import op7
+from .substrings import op6
 from .toxicity import op8
 from .warc import op4
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_html_text": op3,
     "op4_warc": op4,
     "op5_chat": op5,
+    "op6_repeats": op6,
     "op7_shards": op7,
     "op8_toxicity": op8,
     "op9_decontaminate": op9,
