@@ -89,7 +89,11 @@ def language(c: Column) -> Column:
     # Frequent function words.
     votes = {"en": "the of and to in is that for", "de": "der die und das nicht ist mit von", "fr": "le la les et des une est dans", "es": "el los las que una por con del"}
     own = F.split(F.lower(c), r"\W+")
-    count = {k: F.size(F.filter(own, lambda w, v=v: w.isin(*v.split()))) for k, v in votes.items()}
+
+    def hits(listed: list[str]) -> Column:
+        return F.size(F.filter(own, lambda w: w.isin(*listed)))
+
+    count = {k: hits(v.split()) for k, v in votes.items()}
     best = F.greatest(*count.values())
     return reduce(lambda rest, k: F.when(count[k] == best, k).otherwise(rest), reversed(list(count)), F.lit("en"))
 

@@ -59,10 +59,10 @@ def sector_average(df: DataFrame, sector: str, entity: str, first: int, last: in
     return full.groupBy(sector, "year").agg(F.round(F.avg(F.coalesce(F.when(F.col("val") != 0, F.col("val")), "own")), 4).alias("avg_val"))
 
 
-def curves(df: DataFrame, sector: str, entity: str, pos: str, val: str) -> DataFrame:
+def curves(df: DataFrame, sector: str, entity: str, pos: str, val: str, places: int = 6) -> DataFrame:
     """AGG33, FCS1: element-wise mean of the series of a sector, constant ones left out."""
     moving = df.groupBy(entity).agg(F.count_distinct(val).alias("n")).where("n > 1").select(entity)
-    return df.join(moving, entity, "left_semi").groupBy(sector, pos).agg(F.round(F.avg(val), 6).alias("curve"))
+    return df.join(moving, entity, "left_semi").groupBy(sector, pos).agg(F.round(F.avg(val), places).alias("curve"))
 
 
 def growth_category(df: DataFrame, entity: str, sector: str, val: str = "growth") -> DataFrame:
