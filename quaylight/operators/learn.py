@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Sets a checkpoint folder where the cluster has named none (on one machine)."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaylight-"))
+
+
 def svd(df: DataFrame, key: str, array: str, k: int) -> DataFrame:
     """VEC6: coordinates on the k leading right singular vectors. The Gram matrix is
     summed in the executors (d x d, whatever the rows), its eigenvectors are taken on
@@ -57,6 +65,7 @@ def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 10
         down = [dot(F.col("f"), F.array(*(F.lit(float(gram[i * k + j])) for j in range(k)))) for i in range(k)]
         return mine.join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"))
 
+    shared_checkpoints(weights.sparkSession)
     for _ in range(steps):
         rows = half(rows, cols, "d", "t").checkpoint()
         cols = half(cols, rows, "t", "d").checkpoint()
@@ -98,6 +107,7 @@ def industry_topics(post: DataFrame, doc: str, industry: str, steps: int = 5, al
     each round is a checkpoint."""
     own = post.select(F.col(doc).alias("d"), "term", F.col("tf").cast("double").alias("tf"), F.col(industry).alias("g")).where("g IS NOT NULL")
     phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n")).unionByName(own.groupBy("term").agg(F.sum("tf").alias("n")).withColumn("g", F.lit("*")))
+    shared_checkpoints(post.sparkSession)
     theta = own.select("d").distinct().withColumn("own", F.lit(1.0)).withColumn("back", F.lit(1.0))
     for _ in range(steps):
         total = phi.groupBy("g").agg(F.sum("n").alias("all"))

@@ -14,7 +14,7 @@ COMPARATORS = {
     "larger than": "gt", "less than": "lt", "fewer than": "lt", "smaller than": "lt", "at least": "gte", "at most": "lte", "up to": "lte", "above": "gt", "over": "gt", "below": "lt", "under": "lt", "equal to": "eq", "exactly": "eq",
 }
 FIELDS = {"employees": "numEmployees", "employee": "numEmployees", "staff": "numEmployees", "revenue": "revenue", "revenues": "revenue", "turnover": "revenue", "sales": "revenue"}
-_number = r"(\d+(?:\.\d+)?)\s*(bn|b|mn|m|k)?\b"
+_number = r"(\d+(?:\.\d+)?)(?:\s*(bn|b|mn|m|k))?\b"
 _units = {"b": 1e9, "bn": 1e9, "m": 1e6, "mn": 1e6, "k": 1e3, None: 1.0}
 _compare = re.compile(rf"\b({'|'.join(sorted(COMPARATORS, key=len, reverse=True))})\s+{_number}(?:\s+(?:in\s+)?({'|'.join(FIELDS)}))?", re.I)
 _between = re.compile(rf"\bbetween\s+{_number}\s+and\s+{_number}(?:\s+(?:in\s+)?({'|'.join(FIELDS)}))?", re.I)

@@ -1 +1,104 @@
-"""Queries."""
+"""Pair features, linear ranking and the flagship query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from ..functions import numbers as N
+from ..operators import ranking as K
+from ..operators import relational as R
+from ..operators import textsearch as TS
+from ..sources.io import table
+from . import facts as FX
+from . import texts as TX
+from .catalogue import query
+
+_last = f"l AS MATERIALIZED (SELECT entity, max(year) AS year, arg_max(val, year) AS val FROM ({FX._latest}) WHERE mnemonic = 'revenue' AND val <> 0 AND year >= 1995 GROUP BY 1), p AS (SELECT c_custkey AS base, lead(c_custkey) OVER w AS p1, lead(c_custkey, 2) OVER w AS p2 FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)), c AS (SELECT base, p1 AS peer FROM p WHERE p1 IS NOT NULL UNION ALL SELECT base, p2 FROM p WHERE p2 IS NOT NULL)"
+_near = "(abs(b.year - q.year) <= 2 AND b.val IS NOT NULL AND q.val IS NOT NULL)"
+_windows = ", ".join(f"(CASE WHEN {_near} AND sign(q.val) = sign(b.val) AND abs(q.val) > abs(b.val) / {10.0**w!r} AND abs(q.val) < abs(b.val) * {10.0**w!r} THEN 1.0 ELSE 0.0 END)::DOUBLE AS {f'revenue_{w:.2f}'.replace('.', '_')}" for w in K.WINDOWS)
+
+
+def candidates(spark, sf):
+    """JN25 RNK12: two peers of each customer of the same nation and segment."""
+    w = W.Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    both = F.array_compact(F.array(F.lead("c_custkey", 1).over(w), F.lead("c_custkey", 2).over(w)))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("base"), both.alias("peers")).select("base", F.explode("peers").alias("peer"))
+
+
+def last_revenue(spark, sf):
+    return R.last_reported(FX.latest(spark, sf).where("mnemonic = 'revenue'"), ["entity"], 1995)
+
+
+def featured(spark, sf):
+    last = last_revenue(spark, sf)
+    both = candidates(spark, sf).join(last.toDF("base", "base_year", "base_val"), "base", "left").join(last.toDF("peer", "peer_year", "peer_val"), "peer", "left")
+    return K.window_features(both, "base_val", "peer_val", "base_year", "peer_year", "revenue")
+
+
+@query("pair_windows", f"WITH {_last} SELECT c.base, c.peer, {_windows}, (CASE WHEN coalesce({_near}, FALSE) THEN 0.0 ELSE 1.0 END)::DOUBLE AS no_revenue FROM c LEFT JOIN l b ON b.entity = c.base LEFT JOIN l q ON q.entity = c.peer")
+def pair_windows(spark, sf):
+    """RNK1-4 MTH4 MTH5"""
+    return featured(spark, sf).drop("base_year", "base_val", "peer_year", "peer_val")
+
+
+@query(
+    "linear_rank",
+    f"WITH {_last}, f AS (SELECT c.base, c.peer, {_windows}, (CASE WHEN coalesce({_near}, FALSE) THEN 0.0 ELSE 1.0 END)::DOUBLE AS no_revenue FROM c LEFT JOIN l b ON b.entity = c.base LEFT JOIN l q ON q.entity = c.peer), s AS (SELECT base, peer, round(0.5 * revenue_0_20 + 0.25 * revenue_0_40 + 0.125 * revenue_1_00 - 0.5 * no_revenue, 6)::DOUBLE AS score FROM f) SELECT base, peer, score, row_number() OVER (PARTITION BY base ORDER BY score DESC, peer) AS rank FROM s",
+)
+def linear_rank(spark, sf):
+    """RNK5 WIN3 RNK9"""
+    weights = {"revenue_0_20": 0.5, "revenue_0_40": 0.25, "revenue_1_00": 0.125, "no_revenue": -0.5}
+    s = featured(spark, sf).withColumn("score", F.round(K.linear_score(weights), 6))
+    return R.top_k(s, ["base"], [F.desc("score"), F.asc("peer")], 1 << 30).select("base", "peer", "score", "rank")
+
+
+@query(
+    "closeness_rerank",
+    """
+    WITH t AS (SELECT c_nationkey, max(c_acctbal) AS r0 FROM customer GROUP BY 1), s AS (SELECT c.*, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY c_custkey) AS rn, round(CASE WHEN c_acctbal = 0 OR r0 = 0 THEN 0 ELSE least(c_acctbal, r0) / greatest(c_acctbal, r0) END, 6) AS close FROM customer c JOIN t USING (c_nationkey))
+    SELECT c_nationkey, c_custkey, close, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN rn <= 21 THEN 0 ELSE 1 END, CASE WHEN rn <= 21 THEN -close ELSE rn END, c_custkey) AS pos FROM s
+    """,
+)
+def closeness_rerank(spark, sf):
+    """RNK10 SRT9 MTH6: only the first 21 of a list are reordered by closeness."""
+    c = table(spark, sf, "customer")
+    t = c.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("r0"))
+    rn = F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    s = c.join(t, "c_nationkey").withColumn("rn", rn).withColumn("close", F.round(N.symmetric_ratio(F.col("c_acctbal"), F.col("r0")), 6))
+    head = F.col("rn") <= 21
+    return R.top_k(s, ["c_nationkey"], [F.when(head, 0).otherwise(1), F.when(head, -F.col("close")).otherwise(F.col("rn").cast("double")), F.col("c_custkey")], 1 << 30, "pos").select("c_nationkey", "c_custkey", "close", "pos")
+
+
+@query("code_distance", "SELECT p_partkey, abs(p_size - other)::INTEGER AS gap, (p_brand = other_brand)::INTEGER AS same FROM (SELECT p_partkey, p_size, p_brand, lead(p_size) OVER w AS other, lead(p_brand) OVER w AS other_brand FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey)) WHERE other IS NOT NULL")
+def code_distance(spark, sf):
+    """MTH7 MTH8"""
+    w = W.Window.partitionBy("p_type").orderBy("p_partkey")
+    p = table(spark, sf, "part").withColumn("other", F.lead("p_size").over(w)).withColumn("other_brand", F.lead("p_brand").over(w)).where("other IS NOT NULL")
+    return p.select("p_partkey", F.abs(F.col("p_size") - F.col("other")).alias("gap"), (F.col("p_brand") == F.col("other_brand")).cast("int").alias("same"))
+
+
+#: Weights of the flagship's linear score.
+WEIGHTS = {"cosine": 2.0, "idf_jaccard": 1.0, "same_source": 0.5, "length_0_20": 0.25, "length_0_60": 0.125}
+
+
+@query(
+    "flagship_peers",
+    f"""
+    WITH {TX._mlt}, {TX._terms},
+    f AS (SELECT query, doc_id, round(coalesce(sum(idf * idf * in_a * in_b) / nullif(sqrt(sum(idf * idf * in_a)) * sqrt(sum(idf * idf * in_b)), 0), 0), 6) AS cosine, round(sum(idf * in_a * in_b) / nullif(sum(idf), 0), 6) AS idf_jaccard FROM t GROUP BY 1, 2),
+    g AS (SELECT f.*, (a.source = b.source)::INT AS same_source, (b.n_chars > a.n_chars / {10.0**0.2!r} AND b.n_chars < a.n_chars * {10.0**0.2!r})::INT AS w2, (b.n_chars > a.n_chars / {10.0**0.6!r} AND b.n_chars < a.n_chars * {10.0**0.6!r})::INT AS w6 FROM f JOIN documents a ON a.doc_id = f.query JOIN documents b ON b.doc_id = f.doc_id),
+    sc AS (SELECT query, doc_id, round(2.0 * cosine + idf_jaccard + 0.5 * same_source + 0.25 * w2 + 0.125 * w6, 4)::DOUBLE AS score FROM g)
+    SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 5
+    """,
+)
+def flagship_peers(spark, sf):
+    """The product's question, in one plan: retrieve by text, featurise, score, keep
+    five. RNK1 RNK5 TXT7 TXT10 TXT15 WIN3"""
+    p, i = TX.base(spark, sf)
+    sim = TS.pair_similarity(TX._terms_of(spark, sf, p, i), "query", "peer").select("query", "peer", "cosine", "idf_jaccard")
+    d = table(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("n"))
+    both = sim.join(d.toDF("query", "sa", "na"), "query").join(d.toDF("peer", "sb", "nb"), "peer")
+    f = both.withColumns({"same_source": (F.col("sa") == F.col("sb")).cast("double"), "length_0_20": N.log_window(F.col("nb"), F.col("na"), 0.2), "length_0_60": N.log_window(F.col("nb"), F.col("na"), 0.6)})
+    s = f.select("query", F.col("peer").alias("doc_id"), F.round(K.linear_score(WEIGHTS), 4).alias("score"))
+    return R.top_k(s, ["query"], [F.desc("score"), F.asc("doc_id")], 5)
