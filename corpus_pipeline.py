@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import decontaminate, mixing, neardup, sharding, toxicity
+from quaylight.llm import decontaminate, mixing, nearsets, sharding, toxicity
 from quaylight.llm.common import n_words, stored, table
 
 #: A document at or above this score goes.
@@ -20,11 +20,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest doc_id."""
-    found = neardup.simhash_components(docs, k=5, radius=4)
-    first = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept.select(*docs.columns)
+    """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the
+    document with the smallest doc_id; rows without an id stay."""
+    found = nearsets.similar_components(docs, k=5, like=0.8)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,18 +76,21 @@ def _beyond(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
 
 
 def close(queries: np.ndarray, table: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (of queries, of the n values in bit planes) at most radius apart."""
+    """Indices (of queries, of the n values in bit planes) at most radius apart.
+    Values of more than 64 bits are rows of words, with the planes of each word
+    after those of the one before."""
     width = max(1, radius.bit_length())
     q = np.repeat(np.arange(len(queries)), table.shape[1])
     w = np.tile(np.arange(table.shape[1]), len(queries))
-    masks = np.uint64(0) - (queries[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None] & np.uint64(1))
+    places = np.arange(BITS, dtype=np.uint64)[:, None]
+    masks = np.concatenate([np.uint64(0) - (x[None, :] >> places & np.uint64(1)) for x in queries.reshape(len(queries), -1).T])
     counter, over = [np.zeros(len(q), np.uint64) for _ in range(width)], np.zeros(len(q), np.uint64)
-    for b in range(BITS):
+    for b in range(len(table)):
         carry = table[b][w] ^ masks[b][q]
         for i in range(width):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
         over |= carry
-        if b in (15, 23, 31, 47):
+        if b % 16 == 15 or b == 23:
             live = _beyond(counter, over, radius) != ~np.uint64(0)
             if not live.all():
                 q, w, over, counter = q[live], w[live], over[live], [c[live] for c in counter]
