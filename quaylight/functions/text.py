@@ -143,7 +143,7 @@ def unfold_lines(c: Column) -> Column:
 def pattern_is(text: Column, name: Column) -> Column:
     """TXT21: the first sentence ``<name> … is …`` whose verb is near the name, cut at
     marks of markup, if it has over five words."""
-    found = F.regexp_extract(text, r"(?s)([A-Z][^.*#|>]{0,60}? is (?:[^.*#|>]|(?<=Inc|U\.S|Ltd|Co)\.)*\.?)", 1)
+    found = F.regexp_extract(text, r"(?s)([A-Z](?:[^.*#|>]|(?<=Inc|U\.S|Ltd|Co)\.){0,60}? is (?:[^.*#|>]|(?<=Inc|U\.S|Ltd|Co)\.)*\.?)", 1)
     near = F.instr(F.lower(found), F.lower(name)).between(1, 30)
     return F.when(near & (F.size(F.split(F.trim(found), r"\s+")) > 5), F.trim(found))
 
