@@ -146,6 +146,8 @@ class WarcReader(DataSourceReader):
         return [_File(f"{self.path.rstrip('/')}{x.path[len(root.rstrip('/')) :]}") for x in sorted(found, key=lambda x: x.path) if x.is_file and x.size and not x.base_name.startswith(("_", "."))]
 
     def read(self, part):
+        if part is None:  # no file, no partition
+            return
         fs, path = pafs.FileSystem.from_uri(part.path)
 
         def wanted(headers):
