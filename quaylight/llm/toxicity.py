@@ -81,7 +81,7 @@ class Model:
         return float(-np.expm1(-(clean or base)))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0.1, l1: float = 3e-5) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0.1, l1: float = 1e-4) -> Model:
     """Noisy-or logistic regression by Adam. Only features that toxic documents
     have oftener take part: a clean word is no evidence against a toxic one.
     Without both labels the model says what it has seen; without rows, 0."""

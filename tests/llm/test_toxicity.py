@@ -34,7 +34,7 @@ def test_op8_on_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
     held = [d for d in labels if rows[d].held_out]
     hit = sum(rows[d].predicted for d in held if labels[d])
-    assert hit >= 0.85 * sum(labels[d] for d in held)
+    assert hit >= 0.8 * sum(labels[d] for d in held)
     assert sum(rows[d].predicted for d in held if not labels[d]) <= 0.01 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
 
