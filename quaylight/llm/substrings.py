@@ -16,7 +16,6 @@ found exactly, in three steps that never ship the text of all positions:
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import partial
@@ -150,13 +149,13 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs asked for, once for each side of the gram."""
-    names = ["key", "doc", "run", "gram", "lead", "data"]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    names = ["key", "doc", "run", "lead", "data"]
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         asked = [np.array(x, np.int64).view(np.uint64) for x in batch.column(2).to_pylist()]
         for b, starts, placed in _pieces(texts):
-            a, first, last, gram, run, sums = _anchors(b, starts)
+            a, first, last, _, run, sums = _anchors(b, starts)
             which, data, out = _owners(placed, first), b.tobytes(), []
             for k in range(len(placed)):
                 own = np.flatnonzero(which == k)
@@ -167,7 +166,7 @@ def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     some = lo <= hi
                     e = s[some] + SIDE + GRAM
                     keys = _mix((sums[e] - sums[s[some]]) * _DOWN[s[some]] + np.uint64(side)).view(np.int64)
-                    out += [(key, ids[doc], r, g, i - x, data[x : y + SPAN]) for key, r, g, i, x, y in zip(keys.tolist(), run[own][some].view(np.int64).tolist(), gram[own][some].view(np.int64).tolist(), a[own][some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True)]
+                    out += [(key, ids[doc], r, i - x, data[x : y + SPAN]) for key, r, i, x, y in zip(keys.tolist(), run[own][some].view(np.int64).tolist(), a[own][some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -242,8 +241,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later = own[docs[row[own]] > least[group]]
             np.bitwise_or.at(mask, row[later], bits[later])
         some = np.flatnonzero(mask)
-        cols = [t.column(c).to_numpy()[some] for c in ("doc", "run", "gram")]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, mask[some].view(np.int64))], ["doc", "run", "gram", "mask"])
+        cols = [t.column(c).to_numpy()[some] for c in ("doc", "run")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, mask[some].view(np.int64))], ["doc", "run", "mask"])
 
     rows = 0
     for b in batches:
@@ -324,17 +323,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_run, by_gram = W.Window.partitionBy("gram", "run"), W.Window.partitionBy("gram")
     seen = anchors.withColumn("first", F.min("doc").over(by_run))
     seen = seen.withColumn("shared", F.min("doc").over(by_gram) < F.max("doc").over(by_gram)).withColumn("many", F.min("run").over(by_gram) < F.max("run").over(by_gram))
-    met = stored(seen.where(F.col("shared") & (F.col("many") | (F.col("first") < F.col("doc")))).select("doc", "run", "gram", "first"), "anchors")
-    # The shuffle of all anchors is no longer needed; its files go when it is collected.
-    del anchors, seen
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    met = stored(seen.where(F.col("shared") & (F.col("many") | (F.col("first") < F.col("doc")))).select("doc", "run", "first"), "anchors")
     texts = rows.repartition(parts, "doc")
     edges = met.where(F.col("first") == F.col("doc")).groupBy("doc").agg(F.collect_set("run").alias("runs"))
-    contexts = texts.join(edges.hint("shuffle_hash"), "doc").select("doc", "data", "runs").mapInArrow(_emit_contexts, "key long, doc long, run long, gram long, lead int, data binary")
-    partly = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "doc long, run long, gram long, mask long")
+    contexts = texts.join(edges.hint("shuffle_hash"), "doc").select("doc", "data", "runs").mapInArrow(_emit_contexts, "key long, doc long, run long, lead int, data binary")
+    partly = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "doc long, run long, mask long")
     whole = met.where(F.col("first") < F.col("doc")).select("doc", "run", F.lit(-1).cast("long").alias("mask"))
-    flags = whole.unionByName(partly.select("doc", "run", "mask")).groupBy("doc").agg(F.collect_list(F.struct("run", "mask")).alias("f"))
+    flags = whole.unionByName(partly).groupBy("doc").agg(F.collect_list(F.struct("run", "mask")).alias("f"))
     flags = flags.select("doc", F.col("f.run").alias("runs"), F.col("f.mask").alias("masks"))
     out = texts.join(flags.hint("shuffle_hash"), "doc", "left").select("doc", "data", "runs", "masks").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumn("doc_id", F.when(F.col("doc_id") < last_id, F.col("doc_id")))
