@@ -110,7 +110,8 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("kid"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    # Both uses of the texts read the same columns, so that one shuffle serves them.
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("kid"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     narrow = rows.groupBy("kid", "h").agg(F.count("*").alias("m"), F.first(F.char_length("text")).cast("long").alias("n"))
     links = stored(with_neighbours(narrow, parts), "links")
     links = links.select("kid", "h", "m", "n", F.col("next.kid").alias("next_kid"), F.col("next.h").alias("next_h"), F.col("prev.kid").alias("prev_kid"), F.col("prev.h").alias("prev_h"), F.floor(F.col("prev.n") / 3).cast("int").alias("lends"))
@@ -128,11 +129,12 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     variants = whole.select(*keys, F.posexplode(F.array("text", "edited")).alias("variant", "text"))
     fps = fingerprints(variants, [*keys, "variant"])
     two = fps.groupBy(*keys).agg(F.max(F.when(F.col("variant") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("variant") == 1, F.col("fp"))).alias("edited_fp"))
-    meta = whole.select("doc_id", *keys, "m", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.when(last, F.col("next_kid")).otherwise(F.col("kid")).alias("next_kid"), F.when(last, F.col("next_h")).otherwise(F.col("h")).alias("next_h"))
+    meta = whole.select(*keys, "m", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.when(last, F.col("next_kid")).otherwise(F.col("kid")).alias("next_kid"), F.when(last, F.col("next_h")).otherwise(F.col("h")).alias("next_h"))
     found = stored(meta.join(two, keys, "left").na.fill(0, ["fp", "edited_fp"]), "fingerprints")
     of_next = found.where("idx = 1").select(F.col("kid").alias("next_kid"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
     out = found.join(of_next, ["next_kid", "next_h"])
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    doc_id = F.when(F.col("kid") > -(2**63), F.col("kid")).alias("doc_id")
+    return out.select(doc_id, F.col("n").alias("n_chars"), "edited_sha256", "fp", "edited_fp", likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
