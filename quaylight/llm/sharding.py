@@ -103,14 +103,54 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def alone(sizes: list[int], total: int, shards: int) -> int:
+    """How many of ``sizes`` (largest first, of groups that sum to ``total``) get a
+    shard of their own: each is above the mean of what then remains."""
+    n = 0
+    while n < len(sizes) and sizes[n] * (shards - n) > total:
+        total -= sizes[n]
+        n += 1
+    return n
+
+
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """Bins for a fixed number of shards: the least capacity at which
-    best-fit-decreasing needs no more than that."""
+    """Bins for a fixed number of shards. Groups above the mean of what remains have
+    a bin each; the others get the least capacity at which best-fit-decreasing needs
+    no more than the remaining bins. A bin that stays empty takes groups of the
+    fullest: none is unused while another holds two groups."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    n = alone([sizes[i] for i in order], sum(sizes), shards)
+    out = [0] * len(sizes)
+    for b, i in enumerate(order[:n]):
+        out[i] = b
+    rest = order[n:]
+    if rest:
+        for i, b in zip(rest, _least_capacity([sizes[i] for i in rest], shards - n), strict=True):
+            out[i] = n + b
+    held: list[list[int]] = [[] for _ in range(shards)]
+    for i in order:
+        held[out[i]].append(i)
+    for b in [b for b in range(shards) if not held[b]]:
+        full = max((x for x in range(shards) if len(held[x]) > 1), key=lambda x: sum(sizes[i] for i in held[x]), default=None)
+        if full is None:
+            break
+        parts, loads = ([], []), [0, 0]
+        for i in held[full]:
+            x = min((0, 1), key=lambda x: (loads[x], len(parts[x])))
+            parts[x].append(i)
+            loads[x] += sizes[i]
+        held[full], held[b] = parts
+        for i in held[b]:
+            out[i] = b
+    return out
+
+
+def _least_capacity(sizes: list[int], shards: int) -> list[int]:
     low = max([1, -(-sum(sizes) // shards), *sizes])
     high, best = low, None
     while best is None:
         found = best_fit_decreasing(sizes, high)
-        if not sizes or max(found) < shards:
+        if max(found) < shards:
             best = found
         else:
             low, high = high + 1, high + max(1, high // 512)
@@ -129,9 +169,9 @@ def shard(rows: DataFrame, shards: int | None = None, capacity: int | None = Non
     """Adds ``shard`` and ``slot`` to ``rows`` (doc_id, size, grp).
 
     Rows of equal ``grp`` share a shard. With ``capacity`` the number of shards is
-    minimised; with ``shards`` the capacity is. Groups above a pool's share are
-    packed one by one: at most ``pools`` times the shards of them can exist. Smaller
-    ones are pooled by hash first, so that the driver packs a bounded number of
+    minimised; with ``shards`` the capacity is, and a group above the mean of what
+    remains has a shard of its own. Groups above a pool's share are packed one by
+    one: at most ``pools`` + 1 times the shards of them can exist. Smaller ones are pooled by hash first, so that the driver packs a bounded number of
     items however many groups there are; a pool is never divided, nor is a group.
     ``slot`` counts from 0 in each shard, by (part, doc_id), where the part is a
     hash of the row: no shard is numbered by one task. Null sizes are 0, null
@@ -143,15 +183,19 @@ def shard(rows: DataFrame, shards: int | None = None, capacity: int | None = Non
     total = kept.agg(F.sum("size")).first()[0] or 0
     shards_about = shards or max(1, -(-total // max(1, capacity)))
     n_pools = shards_about * pools
-    least = max(1, total // n_pools)
     groups = stored(kept.groupBy("grp").agg(F.sum("size").alias("size")), "groups")
+    if shards:
+        # What has a shard of its own doesn't count in a pool's share.
+        tops = [r["size"] for r in groups.orderBy(F.desc("size")).limit(shards).collect()]
+        total -= sum(tops[: alone(tops, total, shards)])
+    least = max(1, total // n_pools)
     large = [(r.grp, None, r["size"]) for r in groups.where(F.col("size") > least).collect()]
     pool = F.pmod(F.xxhash64("grp", F.lit(7)), F.lit(n_pools))
     small = [(None, r.pool, r["size"]) for r in groups.where(F.col("size") <= least).groupBy(pool.alias("pool")).agg(F.sum("size").alias("size")).collect()]
     items = sorted(large + small, key=lambda x: (-x[2], x[0] is None, x[0] or 0, x[1] or 0))
     sizes = [x[2] for x in items]
     bins = pack(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    # At most 2 * n_pools rows, whatever the input.
+    # At most 2 * n_pools + shards rows, whatever the input.
     where = spark.createDataFrame([(g, p, b) for (g, p, _), b in zip(items, bins, strict=True)], "g long, p long, shard int")
     by_group = F.broadcast(where.where("g IS NOT NULL").select(F.col("g").alias("grp"), F.col("shard").alias("s1")))
     by_pool = F.broadcast(where.where("p IS NOT NULL").select(F.col("p").alias("pool"), F.col("shard").alias("s2")))

@@ -66,3 +66,31 @@ def test_capacity_and_odd_rows(spark, odd_docs, no_docs):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(5).alias("size"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("grp"))
     got = sharding.shard(hot, shards=2, pools=16).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     assert max(r.n for r in got) - min(r.n for r in got) <= 1500
+
+
+def test_large_groups_leave_no_shard_empty(spark):
+    rng = random.Random(3)
+    small = [rng.randrange(1, 1000) for _ in range(12000)]
+    for share in (0.05, 0.1, 1 / 3, 0.99):
+        sizes = [*small, int(sum(small) * share / (1 - share))]
+        bins = sharding.pack(sizes, 24)
+        loads = [0] * 24
+        for s, b in zip(sizes, bins, strict=True):
+            loads[b] += s
+        others = [n for b, n in enumerate(loads) if b != bins[-1]]
+        assert loads[bins[-1]] == sizes[-1]
+        assert max(others) <= 1.02 * min(others)
+    bins = sharding.pack([5] * 4, 3)
+    assert sorted(bins.count(b) for b in range(3)) == [1, 1, 2]
+    assert sharding.pack([5, 3], 3) == [0, 1]
+    assert sharding.pack([], 3) == []
+
+
+def test_op7_with_a_group_of_a_third(spark, tmp_path):
+    text = F.concat(F.lit("text "), F.md5(F.col("id").cast("string")))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy " + "c" * 32)).otherwise(text).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    loads = sorted(r.n for r in sharding.op7(spark, str(tmp_path)).groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    assert len(loads) == 24
+    assert loads[-1] == 3000 * 45
+    assert loads[-2] <= 1.05 * loads[0]
