@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 Every element subtree outside the article is hashed; Spark counts on how many
-pages of a host each hash occurs, and subtrees that recur on many of them are
+different pages of a host each hash occurs, and subtrees that recur on many of them are
 deleted, with what is boilerplate by its element, role or class.
 """
 
@@ -204,13 +204,15 @@ def host(url: str | None = "url"):
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Subtrees of each page and the hash of its html; one of null stands for the page."""
     for b in batches:
-        hosts, hashes = [], []
+        hosts, hashes, contents = [], [], []
         for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = Page(source or "").templates()
+            own = [None, *Page(source or "").templates()]
             hosts += [h] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+            contents += [xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["host", "hash", "content"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,15 +225,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html).
 
     Subtree counts are made over all pages; pages without a host share one. Null
-    and empty html has no text; a page of nothing but boilerplate neither. Repeated
-    rows count as pages each. Only hosts of ``least_pages`` or more have templates.
+    and empty html has no text; a page of nothing but boilerplate neither. Copies
+    of a page on a host (equal html) count as one page. Only hosts of ``least_pages``
+    different pages or more have templates.
     """
     spark = pages.sparkSession
     arrow_batches(spark, 200)
     own = pages.select("page_id", "url", "html", host().alias("host"))
-    n = own.groupBy("host").agg(F.count("*").alias("pages"))
-    found = own.select("host", "html").mapInArrow(_subtrees, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    found = found.join(n, "host").where(F.col("n") >= F.col("pages") * share)
+    found = own.select("host", "html").mapInArrow(_subtrees, "host string, hash long, content long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least_pages))
+    found = stored(found, "subtrees")
+    n = found.where("hash IS NULL").select("host", F.col("n").alias("pages"))
+    found = found.where("hash IS NOT NULL").join(n, "host").where(F.col("n") >= F.col("pages") * share)
     known = stored(found.groupBy("host").agg(F.collect_list("hash").alias("recurring"), F.count("*").alias("n")), "templates")
     lists = known.select("host", "recurring")
     if (known.agg(F.sum("n")).first()[0] or 0) <= SMALL:

@@ -42,3 +42,10 @@ def test_op3(spark, tiny):
     rows = H.op3(spark, tiny).collect()
     assert len(rows) == spark.read.parquet(f"{tiny}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) > 0 for r in rows)
+
+
+def test_copies_of_a_page_without_an_article_keep_their_text(spark):
+    page = "<body><div class='x'>Welcome to this site</div><div><p>story {0}</p><p>end of {0}</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(max(i, 4))) for i in range(15)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {max(i, 4)}\nend of {max(i, 4)}" for i in range(15)}
