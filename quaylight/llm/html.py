@@ -1,8 +1,10 @@
 """Main text of web pages, with site templates removed.
 
-Every element subtree outside the article is hashed; Spark counts on how many
-different pages of a host each hash occurs, and subtrees that recur on many of them are
-deleted, with what is boilerplate by its element, role or class.
+Every element subtree is hashed, but the article and what it stands in are never
+template; Spark counts on how many different pages of a host each hash occurs, and
+subtrees that recur on many of them are deleted, with what is boilerplate by its
+element, role or class. Subtrees within articles are counted apart from others, over
+different articles.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ SCOPE = frozenset("table ul ol dl article section main div body html".split())
 NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Cells of a table recur by their values; only whole rows and tables are template.
+CELLS = frozenset("td th".split())
+# What holds running text: an inline element in it is part of a sentence.
+PROSE = frozenset("address caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _token = re.compile(
@@ -60,11 +66,11 @@ def _attributes(attrs: str) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """Elements of a page in order: tag, attributes, parent, subtree hash (0 within
-    the article), and the events (element opened, None for closed, or text) they came in."""
+    """Elements of a page in order: tag, attributes, parent, subtree hash, whether text
+    stands directly in it, whether it holds or is within an article, and the events (element opened, None for closed, or text) they came in."""
 
     def __init__(self, source: str):
-        self.tags, self.attrs, self.parents, self.hashes, self.main, self.inside = [], [], [], [], [], []
+        self.tags, self.attrs, self.parents, self.hashes, self.main, self.inside, self.prose = [], [], [], [], [], [], []
         self.events: list[int | str | None] = []
         self._stack: list[int] = []
         self._parts: list[list[str]] = []
@@ -87,12 +93,9 @@ class Page:
 
     def _text(self, text: str) -> None:
         self.events.append(text)
-        if self._stack and not self._in_article() and (own := " ".join(text.split())):
+        if self._stack and (own := " ".join(text.split())):
             self._parts[-1].append(own)
-
-    def _in_article(self) -> bool:
-        i = self._stack[-1]
-        return self.inside[i] or self.tags[i] in ("article", "main")
+            self.prose[self._stack[-1]] = True
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in NOT_IN_P:
@@ -106,6 +109,7 @@ class Page:
         self.parents.append(self._stack[-1] if self._stack else -1)
         self.hashes.append(0)
         self.main.append(False)
+        self.prose.append(False)
         p = self.parents[i]
         self.inside.append(p >= 0 and (self.inside[p] or self.tags[p] in ("article", "main")))
         if tag in ("article", "main"):
@@ -121,8 +125,6 @@ class Page:
     def _close(self) -> None:
         i, parts = self._stack.pop(), self._parts.pop()
         self.events.append(None)
-        if self.inside[i]:
-            return
         own = self.hashes[i] = xxhash.xxh64_intdigest("\x00".join((self.tags[i], _attributes(self.attrs[i])[0], *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
         if self._parts:
             self._parts[-1].append(str(own))
@@ -143,14 +145,39 @@ class Page:
     def _end(self, tag: str) -> None:
         self._until({tag}, {"article", "main", "body"} if tag not in ("article", "main", "body", "html") else ())
 
-    def templates(self) -> set[int]:
-        """Hashes of the subtrees that may be template: none in or around the article."""
-        return {h for t, h, m, n in zip(self.tags, self.hashes, self.main, self.inside, strict=True) if not m and not n and t not in ("article", "main", "br", "html", "body", "head")}
+    def _may_recur(self, i: int) -> bool:
+        """Whether an element may be template: not an article nor around one; within
+        one, no cell and no part of a sentence."""
+        tag = self.tags[i]
+        if self.main[i] or tag in ("article", "main", "br", "html", "body", "head"):
+            return False
+        if not self.inside[i]:
+            return True
+        p = self.parents[i]
+        return tag not in CELLS if tag in BLOCK else not self.prose[p] and self.tags[p] in BLOCK - PROSE
+
+    def _key(self, i: int) -> int:
+        """Subtree hash, another within articles than outside."""
+        return ~self.hashes[i] if self.inside[i] else self.hashes[i]
+
+    def templates(self) -> tuple[set[int], set[int]]:
+        """Hashes of the subtrees that may be template, outside and within articles."""
+        own: tuple[set[int], set[int]] = (set(), set())
+        for i in range(len(self.tags)):
+            if self._may_recur(i):
+                own[self.inside[i]].add(self._key(i))
+        return own
+
+    def articles(self) -> list[int]:
+        """Hashes of the outermost articles."""
+        return [h for t, h, n in zip(self.tags, self.hashes, self.inside, strict=True) if t in ("article", "main") and not n]
 
     def _dropped(self, i: int, recurring) -> bool:
         tag, holds = self.tags[i], self.main[i]
         if holds and tag not in ("aside", "form", "nav", "footer"):
             return False
+        if recurring and self._may_recur(i) and self._key(i) in recurring:
+            return True
         if tag in HEADINGS and self.inside[i]:
             return False
         _, named, hidden = _attributes(self.attrs[i]) if self.attrs[i] else ("", False, False)
@@ -158,7 +185,7 @@ class Page:
             return hidden
         if tag in ("article", "main"):
             return hidden or named and tag == "article"
-        return tag in DROP or named or hidden or not self.inside[i] and self.hashes[i] in recurring and tag not in ("html", "body")
+        return tag in DROP or named or hidden
 
     def text(self, recurring=frozenset()) -> str:
         """Blocks of the article, or of the body where the page marks no article."""
@@ -204,15 +231,22 @@ def host(url: str | None = "url"):
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtrees of each page and the hash of its html; one of null stands for the page."""
+    """Subtrees of each page with the hash of its html, and those within articles with
+    the hash of its articles; one of null stands for the page."""
     for b in batches:
-        hosts, hashes, contents = [], [], []
+        hosts, withins, hashes, contents = [], [], [], []
         for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = [None, *Page(source or "").templates()]
-            hosts += [h] * len(own)
-            hashes += own
-            contents += [xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["host", "hash", "content"])
+            page = Page(source or "")
+            whole = (source or "", " ".join(map(str, page.articles())))
+            for within, own in enumerate(page.templates()):
+                if within and not whole[1]:
+                    continue
+                content = xxhash.xxh64_intdigest(whole[within].encode("utf-8", "surrogatepass")) - (1 << 63)
+                hosts += [h] * (len(own) + 1)
+                withins += [bool(within)] * (len(own) + 1)
+                hashes += [None, *own]
+                contents += [content] * (len(own) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(withins, pa.bool_()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["host", "within", "hash", "content"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +260,16 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
 
     Subtree counts are made over all pages; pages without a host share one. Null
     and empty html has no text; a page of nothing but boilerplate neither. Copies
-    of a page on a host (equal html) count as one page. Only hosts of ``least_pages``
+    of a page on a host (equal html) count as one page, within articles those of equal articles too. Only hosts of ``least_pages``
     different pages or more have templates.
     """
     spark = pages.sparkSession
     arrow_batches(spark, 200)
     own = pages.select("page_id", "url", "html", host().alias("host"))
-    found = own.select("host", "html").mapInArrow(_subtrees, "host string, hash long, content long").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least_pages))
+    found = own.select("host", "html").mapInArrow(_subtrees, "host string, within boolean, hash long, content long").distinct().groupBy("host", "within", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least_pages))
     found = stored(found, "subtrees")
-    n = found.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    found = found.where("hash IS NOT NULL").join(n, "host").where(F.col("n") >= F.col("pages") * share)
+    n = found.where("hash IS NULL").select("host", "within", F.col("n").alias("pages"))
+    found = found.where("hash IS NOT NULL").join(n, ["host", "within"]).where(F.col("n") >= F.col("pages") * share)
     known = stored(found.groupBy("host").agg(F.collect_list("hash").alias("recurring"), F.count("*").alias("n")), "templates")
     lists = known.select("host", "recurring")
     if (known.agg(F.sum("n")).first()[0] or 0) <= SMALL:

@@ -49,3 +49,13 @@ def test_copies_of_a_page_without_an_article_keep_their_text(spark):
     rows = [(i, f"http://a.org/{i}", page.format(max(i, 4))) for i in range(15)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"story {max(i, 4)}\nend of {max(i, 4)}" for i in range(15)}
+
+
+def test_boxes_that_recur_within_articles_are_deleted(spark):
+    box = "<div class='zz'><h3>Our letter</h3><p>Get it weekly</p></div>"
+    page = "<nav>m</nav><article><h1>T{0}</h1><p>story {0} is <em>not</em> short</p>{1}<table><tr><td>yes<td>{0}</table></article>"
+    rows = [(i, f"http://a.org/{i}", page.format(i, box)) for i in range(8)]
+    rows += [(i, "http://b.org/", page.format(0, box) + f"<p>{i}</p>") for i in range(20, 28)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"T{i}\nstory {i} is not short\nyes\n{i}" for i in range(8)]
+    assert {got[i] for i in range(20, 28)} == {"T0\nstory 0 is not short\nOur letter\nGet it weekly\nyes\n0"}
