@@ -187,11 +187,37 @@ class Page:
             return hidden or named and tag == "article"
         return tag in DROP or named or hidden
 
+    def _survivors(self, recurring) -> tuple[set[str], bool]:
+        """Names (article, main) of the elements that are left, and whether the articles
+        may be teasers or comments: several side by side, or each in what is named so."""
+        n = len(self.tags)
+        gone, doubt, under, left, outer = [False] * n, [False] * n, [False] * n, set(), []
+        for i, (tag, p) in enumerate(zip(self.tags, self.parents, strict=True)):
+            gone[i] = p >= 0 and gone[p] or self._dropped(i, recurring)
+            doubt[i] = p >= 0 and doubt[p] or tag not in ("html", "body", "article", "main") and bool(self.attrs[i]) and _attributes(self.attrs[i])[1]
+            under[i] = p >= 0 and (under[p] or self.tags[p] == "article" and not gone[p])
+            if tag in ("article", "main") and not gone[i]:
+                left.add(tag)
+                if tag == "article" and not under[i]:
+                    outer.append(i)
+        return left, len(outer) > 1 or all(doubt[i] for i in outer)
+
     def text(self, recurring=frozenset()) -> str:
-        """Blocks of the article, or of the body where the page marks no article."""
-        whole = "article" in self.tags or "main" in self.tags
-        if whole:
-            top = "article" if any(t == "article" and not self._dropped(i, recurring) for i, t in enumerate(self.tags)) else "main"
+        """Blocks of the articles, else of main, else of the body: of the first that has
+        text when boilerplate is deleted. Articles that may be teasers or comments are
+        passed over if main, or the body where there is none, has more text beside
+        them."""
+        if "article" not in self.tags and "main" not in self.tags:
+            return self._blocks(None, recurring)
+        left, doubtful = self._survivors(recurring)
+        own = self._blocks("article", recurring) if "article" in left else ""
+        if own and not doubtful:
+            return own
+        wide = "main" in left and self._blocks("main", recurring) or self._blocks(None, recurring)
+        return wide if len(wide) > 2 * len(own) else own
+
+    def _blocks(self, top: str | None, recurring) -> str:
+        whole = top is not None
         blocks, now, open_, off, kept = [], [], [], 0, 0
 
         def end():

@@ -59,3 +59,19 @@ def test_boxes_that_recur_within_articles_are_deleted(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(8)] == [f"T{i}\nstory {i} is not short\nyes\n{i}" for i in range(8)]
     assert {got[i] for i in range(20, 28)} == {"T0\nstory 0 is not short\nOur letter\nGet it weekly\nyes\n0"}
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div><h1>t</h1><p>the story</p></div><article class='comment'>c1</article><article class='comment'>c2</article>", "t\nthe story"),
+        ("<main></main><div>the story</div><article class='comment'>c</article>", "the story"),
+        ("<div><p>a story of many words</p></div><article class='zz'>t1</article><article class='zz'>t2</article>", "a story of many words\nt1\nt2"),
+        ("<main><div>a story of many words</div><article class='zz'>t1</article><article>t2</article></main><p>y", "a story of many words\nt1\nt2"),
+        ("<div>a story of many words</div><section class='comments'><article>c</article></section>", "a story of many words\nc"),
+        ("<div>y</div><article>a story of many words</article><article>another</article>", "a story of many words\nanother"),
+        ("<div>a note of many words</div><article>x</article>", "x"),
+    ],
+)
+def test_text_of_a_story_beside_articles(source, want):
+    assert H.Page(source).text() == want
