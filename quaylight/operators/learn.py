@@ -49,26 +49,46 @@ def svd(df: DataFrame, key: str, array: str, k: int) -> DataFrame:
     return df.select(key, F.array(*(dot(F.col(array), a) for a in axes)).alias("svd"))
 
 
-def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 10) -> DataFrame:
+def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 200, bound: float = 1e-4) -> DataFrame:
     """VEC7: (doc, factors) by multiplicative updates. Factors are arrays beside their
     document or term; each half step is a join on the other side and a sum, and only
-    k x k sums come to the driver. They begin at hashes, so reruns agree."""
+    k x k sums come to the driver. They begin at hashes, so reruns agree. It ends when
+    ten rounds lower the Frobenius error by less than ``bound`` of that of the start,
+    or after ``steps`` rounds."""
     from ..functions.numbers import dot
 
     start = lambda c: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (F.pmod(F.xxhash64(c, i), F.lit(1000)) + 1) / 1000.0)
-    own = weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(w).alias("x"))
+    shared_checkpoints(weights.sparkSession)
+    own = weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(w).alias("x")).checkpoint()
+    square = own.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
     rows, cols = own.select("d").distinct().withColumn("f", start(F.col("d"))), own.select("t").distinct().withColumn("f", start(F.col("t")))
 
-    def half(mine: DataFrame, other: DataFrame, a: str, b: str) -> DataFrame:
-        gram = other.select(F.array(*(F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(k) for j in range(k)))).first()[0] or [0.0] * (k * k)
-        top = own.join(other, b).groupBy(a).agg(F.array(*(F.sum(F.col("x") * F.col("f")[i]) for i in range(k))).alias("top"))
-        down = [dot(F.col("f"), F.array(*(F.lit(float(gram[i * k + j])) for j in range(k)))) for i in range(k)]
-        return mine.join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"))
-
-    shared_checkpoints(weights.sparkSession)
-    for _ in range(steps):
-        rows = half(rows, cols, "d", "t").checkpoint()
-        cols = half(cols, rows, "t", "d").checkpoint()
+    def sums(side: DataFrame, cross: Column) -> tuple[np.ndarray, float]:
+        r = side.agg(F.array(*(F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(k) for j in range(k))).alias("gram"), F.sum(cross).alias("cross")).first()
+        return np.array([v or 0.0 for v in r.gram]).reshape(k, k), r.cross or 0.0
+
+    def half(mine: DataFrame, other: DataFrame, gram: np.ndarray, a: str, b: str) -> DataFrame:
+        top = own.join(other.select(b, "f"), b).groupBy(a).agg(F.array(*(F.sum(F.col("x") * F.col("f")[i]) for i in range(k))).alias("top"))
+        down = [dot(F.col("f"), F.array(*(F.lit(float(gram[i, j])) for j in range(k)))) for i in range(k)]
+        return mine.select(a, "f").join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"), "top").checkpoint()
+
+    def error(cross: float, g: np.ndarray, h: np.ndarray) -> float:
+        return float(np.sqrt(max(0.0, square - 2 * cross + (g * h).sum())))
+
+    of_cols, _ = sums(cols, F.lit(0.0))
+    of_rows, _ = sums(rows, F.lit(0.0))
+    cross = own.join(rows, "d").join(cols.withColumnRenamed("f", "g"), "t").agg(F.sum(F.col("x") * dot(F.col("f"), F.col("g")))).first()[0] or 0.0
+    start_error = before = error(cross, of_rows, of_cols)
+    for step in range(1, steps + 1):
+        rows = half(rows, cols, of_cols, "d", "t")
+        of_rows, _ = sums(rows, F.lit(0.0))
+        cols = half(cols, rows, of_rows, "t", "d")
+        of_cols, cross = sums(cols, dot(F.col("f"), F.col("top")))
+        if step % 10 == 0:
+            now = error(cross, of_rows, of_cols)
+            if before - now < bound * start_error:
+                break
+            before = now
     return rows.select(F.col("d").alias(doc), F.col("f").alias("factors"))
 
 
@@ -100,14 +120,15 @@ def _digamma(x: Column) -> Column:
     return series - sum(1 / (x + i) for i in range(6))
 
 
-def industry_topics(post: DataFrame, doc: str, industry: str, steps: int = 5, alpha: float = 0.1) -> DataFrame:
+def industry_topics(post: DataFrame, doc: str, industry: str, steps: int = 50, alpha: float = 0.1) -> DataFrame:
     """VEC22: (topic, term, phi) of a model with a background topic and one of each
     industry: a word of a document is from the background or from its industry.
     Expectation and maximisation are joins and sums over (doc, term, tf, industry);
     each round is a checkpoint."""
     own = post.select(F.col(doc).alias("d"), "term", F.col("tf").cast("double").alias("tf"), F.col(industry).alias("g")).where("g IS NOT NULL")
-    phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n")).unionByName(own.groupBy("term").agg(F.sum("tf").alias("n")).withColumn("g", F.lit("*")))
     shared_checkpoints(post.sparkSession)
+    own = own.checkpoint()
+    phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n")).unionByName(own.groupBy("term").agg(F.sum("tf").alias("n")).withColumn("g", F.lit("*")))
     theta = own.select("d").distinct().withColumn("own", F.lit(1.0)).withColumn("back", F.lit(1.0))
     for _ in range(steps):
         total = phi.groupBy("g").agg(F.sum("n").alias("all"))
