@@ -157,7 +157,7 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256, token
     table gives no rows; other columns are ignored. ``tokenizer`` is the path of a
     tokenizers file that every executor can read.
     """
-    arrow_batches(turns.sparkSession, 2000)
+    arrow_batches(turns.sparkSession)
     own = turns.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return dealt.mapInArrow(partial(_format, budget, history, tokenizer), "conv_id long, window long, text string, loss array<long>, n_repeated long")

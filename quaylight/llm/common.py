@@ -3,7 +3,6 @@ folder for intermediate tables, Arrow batch sizes."""
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -15,6 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's setting to remove a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of an Arrow batch: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Most rows that are sent to all executors; above it they are joined by shuffle.
+SMALL = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``;
-    where the session has none (tests on one machine) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    A local session without one (tests) gets a temporary one; a cluster's must name
+    it, since a temporary folder of the driver is not seen by executors."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaylight-"))
         found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaylight-"))
-            found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -45,23 +49,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, when all that was made of them is
+    itself stored."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def words(text: str | Column) -> Column:
-    """Native array of the words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to all executors if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, alike for all operators."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns in one struct, out of the way of the operators' own names."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
 
 
 def n_words(text: str | Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def pieces(rows: int, each: int) -> int:
-    return max(1, math.ceil(rows / each))

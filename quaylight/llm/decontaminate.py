@@ -1,11 +1,13 @@
 """Benchmark decontamination with SimHash windows.
 
-For each benchmark item every window of a document with as many words gets a
-SimHash fingerprint from running sums of bit votes; multi-index Hamming blocks
-find all fingerprints within the radius, and the weighted similarity of the
-shingles, counted with repeats, decides. A window as similar as asked shares most
-of its shingles with the item, so windows that share too few are passed over
-before they are fingerprinted: that can't lose a match.
+Every window of a document with as many words as a benchmark item gets a SimHash
+fingerprint from running sums of bit votes; multi-index Hamming blocks over the
+items of that length give all items whose fingerprints are within the radius, and
+the weighted similarity of the shingles, counted with repeats, decides. The radius
+loses no match (``sketch``): the n-th occurrence of a shingle is hashed as a shingle
+of its own, so that weighted similarity is one of sets. A window as similar as asked
+has most of its shingles among those of the benchmark, so windows that have too few
+are passed over before they are fingerprinted.
 """
 
 from __future__ import annotations
@@ -17,23 +19,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import arrow_batches, packed, table, unpacked
+from .sketch import LONG, WORDS, digests, distances, pack, parity, parity_radius, simhash, simhash_radius, votes
 
 SHINGLE = 5
 LIKE = 0.8
-#: Bits that fingerprints of windows of the asked similarity may differ in: at 0.8
-#: the mean is under 10 and the standard deviation under 3.
-RADIUS = 24
-BLOCKS = 8
-#: Items compared in one pass over the documents; more items make more passes.
-ITEMS = 20_000
+#: Blocks of eight bits in a fingerprint.
+BLOCKS = 8 * WORDS
+#: Items and bytes of items compared in one pass over the documents; more of them
+#: make more passes.
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
 
 _word = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 def words_of(text: str) -> list[str]:
@@ -51,42 +53,91 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / (sum(a.values()) + sum(b.values()) - low) if a or b else 0.0
 
 
-def _votes(parts: list[str]) -> np.ndarray:
-    h = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in parts), np.uint64, len(parts))
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def occurrences(parts: list[str]) -> list[bytes]:
+    """Names of shingles in which repeats differ: the n-th occurrence has its number."""
+    seen: Counter = Counter()
+    out = []
+    for x in parts:
+        own = x.encode("utf-8", "surrogatepass")
+        out.append(own if not seen[x] else own + b"\0%d" % seen[x])
+        seen[x] += 1
+    return out
 
 
-def _pack(sums: np.ndarray, n: int) -> np.ndarray:
-    return np.packbits(2 * sums > n, axis=1, bitorder="little").view(np.uint64).ravel()
+class Lengths:
+    """Items of one length with the index of their fingerprints."""
+
+    def __init__(self, n_words: int, size: int, like: float):
+        self.n_words, self.size, self.shingles = n_words, size, n_words - size + 1
+        self.like, self.items, self.bags = like, [], []
+        self._simhash, self._parity = [], []
+
+    def add(self, item: int, parts: list[str]) -> None:
+        d = digests(occurrences(parts))
+        self.items.append(item)
+        self.bags.append(Counter(parts))
+        self._simhash.append(simhash(d))
+        self._parity.append(parity(d))
+
+    def done(self) -> None:
+        self.simhash, self.parity = np.array(self._simhash), np.array(self._parity)
+
+    def by_simhash(self, window: int) -> bool:
+        return min(window, self.shingles) >= LONG
+
+    def within(self, fps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs in the radius. Within radius r some of the blocks differ
+        in r // BLOCKS bits at most: only pairs with such a block are looked at."""
+        own, radius = (self.simhash, simhash_radius(self.like)) if self.by_simhash(window) else (self.parity, int(parity_radius(window + self.shingles, self.like)))
+        a, b = fps.view(np.uint8).reshape(-1, BLOCKS), own.view(np.uint8).reshape(-1, BLOCKS)
+        met = np.zeros((len(a), len(b)), bool)
+        for k in range(BLOCKS):
+            met |= _APART[a[:, k][:, None], b[:, k][None, :]] <= radius // BLOCKS
+        i, j = np.nonzero(met)
+        near = distances(fps[i], own[j]) <= radius
+        return i[near], j[near]
+
+
+def window_fingerprints(parts: list[str], starts: np.ndarray, window: int, by_simhash: bool) -> np.ndarray:
+    """(n, 4) words of the windows of ``window`` shingles at ``starts`` in ``parts``,
+    from running sums; windows that repeat a shingle are made one by one."""
+    last: dict[str, int] = {}
+    before = np.empty(len(parts), np.int64)
+    for i, x in enumerate(parts):
+        before[i] = last.get(x, -1)
+        last[x] = i
+    d = digests([x.encode("utf-8", "surrogatepass") for x in parts])
+    bits = votes(d) if by_simhash else (d[:, :1] == np.arange(256, dtype=np.uint8)[None, :]).astype(np.uint8)
+    sums = np.zeros((len(parts) + 1, bits.shape[1]), np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
+    own = sums[starts + window] - sums[starts]
+    out = pack(2 * own > window if by_simhash else (own & 1).astype(np.uint8))
+    if (before >= 0).any():
+        latest = np.lib.stride_tricks.sliding_window_view(before, window).max(axis=1)[starts]
+        for i in np.flatnonzero(latest >= starts).tolist():
+            one = digests(occurrences(parts[starts[i] : starts[i] + window]))
+            out[i] = simhash(one) if by_simhash else parity(one)
+    return out
 
 
 class Items:
-    """Benchmark items with their shingles, fingerprints and Hamming blocks."""
+    """Benchmark items by length, with the shingles that any of them has."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, like: float = LIKE, radius: int = RADIUS):
-        self.k, self.like, self.radius = k, like, radius
-        self.ids, self.sizes, self.bags, self.fps, self.vocabulary = [], [], [], [], {}
-        grams: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+    def __init__(self, rows: list[tuple[int, str]], k: int = SHINGLE, like: float = LIKE):
+        self.k, self.like, self.vocabulary = k, like, {}
+        lengths: dict[int, Lengths] = {}
+        grams: dict[int, set[int]] = defaultdict(set)
         for item, text in rows:
             own = words_of(text or "")
             if not own:
                 continue
-            n, size = len(self.ids), min(k, len(own))
-            parts = shingles(own, size)
-            self.ids.append(item)
-            self.sizes.append(len(own))
-            self.bags.append(Counter(parts))
-            self.fps.append(int(_pack(_votes(parts).sum(axis=0, dtype=np.int64)[None, :], len(parts))[0]))
+            size = min(k, len(own))
+            lengths.setdefault(len(own), Lengths(len(own), size, like)).add(item, shingles(own, size))
             codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own], np.int64)
-            for key in self._keys(codes, size)[0].tolist():
-                grams[size][key].add(n)
-        self.grams = {}
-        for size, by in grams.items():
-            keys = np.array(sorted(by), np.uint64)
-            self.grams[size] = (keys, [sorted(by[x]) for x in keys.tolist()])
-        # Block values that differ from an item's in few enough bits.
-        pop = np.bitwise_count(np.arange(256, dtype=np.uint8))
-        self.near_bytes = [set(np.flatnonzero(pop[np.arange(256) ^ b] <= radius // BLOCKS).tolist()) for b in range(256)]
+            grams[size].update(self._keys(codes, size)[0].tolist())
+        for x in lengths.values():
+            x.done()
+        self.grams = {size: (np.array(sorted(x), np.uint64), sorted((y for y in lengths.values() if y.size == size), key=lambda y: y.n_words)) for size, x in grams.items()}
 
     @staticmethod
     def _keys(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,16 +153,21 @@ class Items:
             keys ^= keys >> np.uint64(29)
         return keys, at
 
-    def _within(self, item: int, fps: np.ndarray) -> np.ndarray:
-        """Windows in the radius: some block of eight bits is near, then all bits."""
-        mine = np.array([self.fps[item]], np.uint64)
-        bytes_, own = fps.view(np.uint8).reshape(-1, BLOCKS), mine.view(np.uint8)
-        found = np.zeros(len(fps), bool)
-        for b in range(BLOCKS):
-            ok = np.zeros(256, bool)
-            ok[list(self.near_bytes[own[b]])] = True
-            found |= ok[bytes_[:, b]]
-        return np.flatnonzero(found & (np.bitwise_count(fps ^ mine) <= self.radius))
+    def _starts(self, x: Lengths, hits: np.ndarray, window: int, n: int) -> np.ndarray:
+        """Windows with enough shingles of the benchmark to be as similar as asked."""
+        least = self.like * (x.shingles + window) / (1 + self.like) - 1e-9
+        if len(hits) < least:
+            return hits[:0]
+        # Hits to and from which a window may have enough.
+        few = max(1, int(np.ceil(least)))
+        close = np.flatnonzero(hits[few - 1 :] - hits[: len(hits) - few + 1] < window)
+        if not len(close):
+            return hits[:0]
+        low, high = np.maximum(hits[close + few - 1] - window + 1, 0), np.minimum(hits[close], n - window)
+        some = np.zeros(n - window + 2, np.int64)
+        np.add.at(some, low[low <= high], 1)
+        np.add.at(some, high[low <= high] + 1, -1)
+        return np.flatnonzero(np.cumsum(some)[: n - window + 1] > 0)
 
     def matches(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window of each item
@@ -119,45 +175,34 @@ class Items:
         words = words_of(text)
         get = self.vocabulary.get
         codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        hits: dict[int, list[int]] = defaultdict(list)
-        sizes = {}
-        for size, (table_, items) in self.grams.items():
+        out = []
+        for size, (known, lengths) in self.grams.items():
             keys, at = self._keys(codes, size)
             if not len(keys):
                 continue
-            j = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
-            for p, g in zip(at[table_[j] == keys].tolist(), j[table_[j] == keys].tolist(), strict=True):
-                for i in items[g]:
-                    hits[i].append(p)
-                    sizes[i] = size
-        out = []
-        for i, at in hits.items():
-            size = sizes[i]
-            n = min(self.sizes[i], len(words))
-            own, window = sum(self.bags[i].values()), n - size + 1
-            least = self.like * (own + window) / (1 + self.like) - 1e-9
-            if len(at) < least:
+            hits = at[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]
+            if not len(hits):
                 continue
-            p = np.array(sorted(at))
-            starts = np.unique((p[:, None] - np.arange(window)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts + n <= len(words))]
-            shared = np.searchsorted(p, starts + window) - np.searchsorted(p, starts)
-            starts = starts[shared >= least]
-            best = (0.0, 0)
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                if not len(run):
-                    continue
-                low = int(run[0])
-                parts = shingles(words[low : int(run[-1]) + n], size)
-                sums = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(_votes(parts), axis=0, dtype=np.int64)])
-                fps = _pack(sums[run - low + window] - sums[run - low], window)
-                for w in self._within(i, fps).tolist():
-                    s = int(run[w]) - low
-                    like = similarity(self.bags[i], Counter(parts[s : s + window]))
-                    if like >= self.like - 1e-12 and like > best[0]:
-                        best = (like, low + s)
-            if best[0]:
-                out.append((self.ids[i], best[0], best[1], n))
+            n = len(words) - size + 1
+            for x in lengths:
+                window = min(x.shingles, n)
+                starts = self._starts(x, hits, window, n)
+                best: dict[int, tuple[float, int]] = {}
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                    if not len(run):
+                        continue
+                    low = int(run[0])
+                    parts = shingles(words[low : int(run[-1]) + window + size - 1], size)
+                    fps = window_fingerprints(parts, run - low, window, x.by_simhash(window))
+                    bag, of = None, -1
+                    for w, i in zip(*(v.tolist() for v in x.within(fps, window)), strict=True):
+                        if w != of:
+                            s = int(run[w]) - low
+                            bag, of = Counter(parts[s : s + window]), w
+                        like = similarity(x.bags[i], bag)
+                        if like >= self.like - 1e-12 and like > best.get(i, (0.0, 0))[0]:
+                            best[i] = (like, low + s)
+                out += [(x.items[i], like, start, window + size - 1) for i, (like, start) in sorted(best.items())]
         return out
 
 
@@ -169,27 +214,48 @@ def _search(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
 
+def _clean(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([not items.matches(t or "") for t in b.column(1).to_pylist()], pa.bool_()))
+
+
+def item_blocks(benchmark: DataFrame, k: int, like: float) -> Iterator[Items]:
+    """The items in blocks of bounded number and bytes, whatever the benchmark's size."""
+    own = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // ITEMS), -(-size // ITEM_BYTES))
+    for i in range(parts):
+        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else own
+        yield Items([(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()], k, like)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, like: float = LIKE) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words) of every document row and
     item with a window at least ``like`` similar.
 
-    Items are sent to the executors in blocks of ITEMS, one pass each, so that what
-    is sent is bounded. Null and wordless texts and items match nothing; an item
-    shorter than a shingle is one shingle; a document shorter than an item is one
-    window; repeated rows, of either table, each have their matches.
+    Items are sent to the executors in blocks of bounded size, one pass each. Null and
+    wordless texts and items match nothing; an item shorter than a shingle is one
+    shingle, so that an item of one word matches every text with that word; a document
+    shorter than an item is one window; repeated rows, of either table, each have their
+    matches; an empty table on either side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    own = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    n = own.count()
-    parts = -(-n // ITEMS)
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
-    out = None
-    for i in range(parts):
-        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else own
-        found = docs.select("doc_id", "text").mapInArrow(partial(_search, Items([(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()], k, like)), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    out = spark.createDataFrame([], schema)
+    for items in item_blocks(benchmark, k, like):
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(partial(_search, items), schema))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, like: float = LIKE) -> DataFrame:
+    """The rows of ``docs`` without a match, row by row: rows of one doc_id are judged
+    each by its own text. Columns of any name pass through."""
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(packed(docs.columns), F.col("text").alias("_body"))
+    for items in item_blocks(benchmark, k, like):
+        rows = rows.mapInArrow(partial(_clean, items), rows.schema)
+    return rows.select(*unpacked(docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,7 +195,6 @@ def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "k"))
     cut = cut.select("bucket", "fp", "rep", "own", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
     tiled = cut.select("bucket", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp", "rep")
-    arrow_batches(spark, 10000)
     dealt = tiled.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "side")
     return dealt.mapInArrow(partial(_links, radius), "u long, v long")
 
@@ -206,19 +205,21 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFram
     Equal fingerprints are grouped before anything is compared, so copies cost
     one row each; component_id is the smallest doc_id reachable over links of at
     most ``radius`` bits. Null and blank texts have fingerprint zero and are
-    linked like any other. Rows that repeat a doc_id each keep a row; a null
-    doc_id is never a component's name unless its component has no other. Empty
-    tables give no rows; further columns are ignored.
+    linked like any other. Rows that repeat a doc_id each keep a row; a null doc_id
+    is linked like any other, but a component's name only where it has no other.
+    Empty tables give no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     own = stored(docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, k), "doc_id long, fp long"), "fp")
     fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    # A fingerprint whose rows all lack an id still takes part, under a name above all ids.
-    named = fps.select("fp", F.coalesce("rep", F.lit(2**62) + F.pmod(F.col("fp"), F.lit(2**61))).alias("rep"))
-    found = connected_components(stored(fingerprint_links(named, radius), "links"))
-    names = named.join(found, named.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    return own.join(names, "fp").select("doc_id", "fp", F.when(F.col("c") < 2**62, F.col("c")).alias("component_id"))
+    links = stored(fingerprint_links(fps.select("fp", F.col("fp").alias("rep")), radius), "links")
+    # Components are of fingerprints; their names are the least ids among them.
+    found = stored(connected_components(links), "components").join(fps, F.col("node") == F.col("fp"))
+    least = found.groupBy("component").agg(F.min("rep").alias("least")).select(F.bitwise_not("component").alias("_key"), "least")
+    linked = found.withColumn("_key", F.bitwise_not("component")).join(least, "_key").select("fp", "least", F.lit(True).alias("linked"))
+    names = fps.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
+    return own.join(stored(names, "names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,127 +1,177 @@
 """Near-duplicate texts by SimHash with an exact check.
 
 Documents meet by the shingles that a pair of the asked similarity can't avoid
-sharing: of a set in one common order the first size - ceil(like * size) + 1.
-Where they meet, 128-bit fingerprints are compared by bit planes, and the sets
-of those in the radius are compared exactly.
+sharing: of a set in one common order the first size - ceil(like * size) + 1, rare
+shingles first. Where they meet, 256-bit fingerprints are compared by bit planes
+within a radius that loses no pair (``sketch``), and the sets of those in it are
+compared exactly.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_batches, stored
+from .common import arrow_batches, forget, small, stored
 from .components import connected_components
 from .neardup import _roots, close, planes
+from .sketch import LONG, WORDS, digests, distances, longest_partner, parity, parity_radius, simhash, simhash_radius
 
-#: Bits that two fingerprints of 128 may differ in: at a similarity of 0.8 the mean
-#: is 19 and the standard deviation 4; unrelated texts differ in 64 with 6.
-RADIUS = 36
 #: Most fingerprints that are compared with one another at a time.
 CHUNK = 4096
 #: Most documents on one side of an exact comparison.
 TILE = 1024
+#: Rows of a group above that size that all its rows are compared with first, about.
+PIVOTS = 16
 #: One document in so many is looked at to find frequent shingles.
 SAMPLE = 64
-#: Most ids that are sent to all executors; above it they are joined by shuffle.
-SMALL = 1_000_000
+#: Documents of that sample that a frequent shingle is in at least, and how many
+#: shingles are ordered by frequency at most. Both change the work, not the result.
+OFTEN, RANKED = 4, 200_000
+#: Groups of so many fingerprints or fewer are compared pair by pair.
+FEW = 16
+#: What is told apart from the keys of long sets.
+SHORT = np.uint64(0x9E3779B97F4A7C15)
 
+#: Sorted names of shingles and their counts.
+Frequent = tuple[np.ndarray, np.ndarray]
 
-def shingle_set(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, 128-bit fingerprint as two numbers) of the
-    A-Z lower-cased text; shingles vote once each. Fewer words are one shingle,
-    none is none."""
+
+def shingle_digests(raw: bytes, k: int) -> np.ndarray:
+    """Digests of the distinct k-word shingles of the A-Z lower-cased text. Fewer
+    words are one shingle, none is none."""
     words = raw.lower().split()
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(2, np.uint64)
-    n = max(1, len(words) - k + 1)
-    digests = {xxhash.xxh3_128_digest(b" ".join(words[i : i + k])) for i in range(n)} if n == 1 else set(map(xxhash.xxh3_128_digest, map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))))
-    d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(d), 1 << 16):
-        votes += np.unpackbits(d[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.sort(np.ascontiguousarray(d).view(np.uint64)[:, 0]), np.packbits(2 * votes > len(d), bitorder="little").view(np.uint64)
+        return np.zeros((0, 32), np.uint8)
+    if len(words) <= k:
+        return digests([b" ".join(words)])
+    return digests(list(set(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))))
+
 
+def keys_of(d: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit names of digests."""
+    return np.sort(np.ascontiguousarray(d[:, 8:16]).view(np.uint64).ravel())
 
-def prefix(shingles: np.ndarray, like: float) -> np.ndarray:
+
+def prefix(shingles: np.ndarray, like: float, frequent: Frequent | None = None) -> np.ndarray:
     n = len(shingles)
+    if frequent and n and len(frequent[0]):
+        names, counts = frequent
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(names[at] == shingles, counts[at], 0)))]
     return shingles[: n - math.ceil(like * n - 1e-9) + 1]
 
 
-def _meetings(k: int, like: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "a", "b", "doc_id"]
+def _all_keys(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [keys_of(shingle_digests(raw, k)) for raw in batch.column(0).to_pylist()]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["key"])
+
+
+def _meetings(k: int, like: float, frequent: Frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle that a document is met by. Sets around LONG shingles
+    are met twice, by parities and by SimHash, so that any pair has one in common."""
+    names = ["key", *(f"f{i}" for i in range(WORDS)), "n", "doc_id"]
+    reach = longest_partner(LONG, like)
     for batch in batches:
-        keys, fps, ids = [], [], []
+        keys, fps, sizes, ids = [], [], [], []
+
+        def met(d, at, fp, n):
+            keys.append(at)  # noqa: B023
+            fps.append(np.tile(fp, (len(at), 1)))  # noqa: B023
+            sizes.append(np.full(len(at), n, np.int32))  # noqa: B023
+            ids.append(np.full(len(at), d, np.int64))  # noqa: B023
+
         for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own, fp = shingle_set(raw, k)
-            first = prefix(own, like)
-            keys.append(first)
-            fps.append(np.tile(fp, (len(first), 1)))
-            ids.append(np.full(len(first), d, np.int64))
+            own = shingle_digests(raw, k)
+            n = len(own)
+            first = prefix(keys_of(own), like, frequent)
+            if n >= LONG:
+                met(d, first, simhash(own), n)
+            if n <= reach:
+                met(d, first ^ SHORT, parity(own), n)
         if keys:
             fp = np.concatenate(fps)
-            cols = (np.concatenate(keys), np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(np.concatenate(ids))], names)
+            cols = (pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (np.concatenate(keys), *fp.T))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ids))], names)
 
 
-def _near(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left, of right) in the radius: in bit planes of both halves."""
+def _alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, like: float) -> np.ndarray:
+    """Which pairs may be as similar as asked, by sizes and fingerprints. Rows of one
+    key are all parities or all SimHashes: a pair of two long sets that meets by
+    parities is judged by them too."""
+    a, b = n[i], n[j]
+    ok = np.minimum(a, b) >= like * np.maximum(a, b) - 1e-9
+    return ok & (distances(fp[i], fp[j]) <= np.maximum(parity_radius(a + b, like), np.where(np.minimum(a, b) >= LONG, simhash_radius(like), 0)))
+
+
+def _near(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left, of right) that ``_alike`` admits: in bit planes of all words
+    within the widest radius among them, then each by its own."""
     ii, jj = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    index = np.concatenate([planes(np.ascontiguousarray(fp[right, h])) for h in (0, 1)])
+    if not len(left) or not len(right):
+        return ii[0], jj[0]
+    index = np.concatenate([planes(np.ascontiguousarray(fp[right, w])) for w in range(WORDS)])
+    both = int(n[left].max() + n[right].max())
+    radius = max(int(parity_radius(both, like)), simhash_radius(like) if min(n[left].max(), n[right].max()) >= LONG else 0)
     for at in range(0, len(left), 128):
-        i, j = close(fp[left[at : at + 128]], index, len(right), radius)
-        ii.append(left[at + i])
-        jj.append(right[j])
+        own = left[at : at + 128]
+        i, j = close(fp[own], index, len(right), min(radius, 64 * WORDS - 1))
+        i, j = own[i], right[j]
+        keep = (i != j) & _alike(fp, n, i, j, like)
+        ii.append(i[keep])
+        jj.append(j[keep])
     return np.concatenate(ii), np.concatenate(jj)
 
 
-def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the documents of each key that are linked within the radius. Rows come
+def _candidates(like: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the documents of each key and tile that may be similar. Rows come
     sorted by key and tile."""
     held: list[np.ndarray] = []
+    count = 5 + WORDS
 
     def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, tile, side, a, b, ids = cols
+        key, tile, side, n, ids, *words = cols
+        fp = np.stack(words, axis=1).view(np.uint64)
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), True])
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in np.flatnonzero(np.diff(cut) > 1):
-            s = slice(cut[g], cut[g + 1])
-            fp = np.stack([a[s], b[s]], axis=1).view(np.uint64)
-            own, at = ids[s], np.arange(cut[g + 1] - cut[g])
-            left, right = at[side[s] == 0], at[side[s] == 1]
-            ii, jj = [], []
-            if not len(right):
-                if len(at) == 2:
-                    near = np.bitwise_count(fp[0] ^ fp[1]).sum() <= radius
-                    ii, jj = ([np.array([0])], [np.array([1])]) if near else ([], [])
-                else:
-                    for x in range(0, len(at), CHUNK):
-                        for y in range(x, len(at), CHUNK):
-                            i, j = _near(fp, at[x : x + CHUNK], at[y : y + CHUNK], radius)
-                            ii.append(i[i < j])
-                            jj.append(j[i < j])
-            elif len(left):
-                i, j = _near(fp, left, right, radius)
-                ii, jj = [i], [j]
-            if not ii:
-                continue
-            root = _roots(len(at), np.concatenate(ii), np.concatenate(jj))
-            some = np.flatnonzero(root != at)
-            us.append(own[some])
-            vs.append(own[root[some]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+        sizes = np.diff(cut)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        few = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= FEW) & (tile == 0))
+        ii, jj = [], []
+        for d in range(1, FEW):
+            i = few[few + d < len(group)]
+            i = i[group[i] == group[i + d]]
+            if not len(i):
+                break
+            near = _alike(fp, n, i, i + d, like)
+            ii.append(i[near])
+            jj.append(i[near] + d)
+        for g in np.flatnonzero((sizes > FEW) | (sizes > 1) & (tile[cut[:-1]] != 0)):
+            at = np.arange(cut[g], cut[g + 1])
+            left, right = at[side[at] == 0], at[side[at] == 1]
+            if side[at].max() == 1:
+                pairs = [(left, right)]
+            else:
+                pairs = [(at[x : x + CHUNK], at[y : y + CHUNK]) for x in range(0, len(at), CHUNK) for y in range(x, len(at), CHUNK)]
+            for a, b in pairs:
+                i, j = _near(fp, n, a, b, like)
+                ii.append(i)
+                jj.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ii, jj))
+        root = _roots(len(group), i, j)
+        some = np.flatnonzero(root != np.arange(len(group)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["u", "v"])
 
     for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(count)]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
         if len(held[0]) and (held[0][0], held[1][0]) != (held[0][-1], held[1][-1]):
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1] + 1
@@ -131,103 +181,260 @@ def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield out(held)
 
 
-def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Sets:
+    """Documents with their sets and both fingerprints."""
+
+    def __init__(self, sets: list[bytes], sketches: list[bytes]):
+        self.sets = [np.frombuffer(s, np.uint64) for s in sets]
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        both = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, 2 * WORDS)
+        self.simhash, self.parity = both[:, :WORDS], both[:, WORDS:]
+
+    def alike(self, i: int, j: int, like: float) -> bool:
+        n, m = int(self.n[i]), int(self.n[j])
+        if min(n, m) < like * max(n, m) - 1e-9:
+            return False
+        both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return both >= like * (n + m - both) - 1e-9
+
+    def near(self, left: np.ndarray, right: np.ndarray, like: float) -> Iterator[tuple[int, int]]:
+        """Pairs of left and right that may be similar."""
+        reach = longest_partner(LONG, like)
+        for fp, a, b in ((self.simhash, left[self.n[left] >= LONG], right[self.n[right] >= LONG]), (self.parity, left[self.n[left] <= reach], right[self.n[right] <= reach])):
+            i, j = _near(fp, self.n, a, b, like)
+            yield from zip(i.tolist(), j.tolist(), strict=True)
+
+
+class _Union:
+    def __init__(self, n: int):
+        self.label = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.label[x] != x:
+            self.label[x] = self.label[self.label[x]]
+            x = self.label[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.find(x), self.find(y)
+        self.label[max(p, q)] = min(p, q)
+
+
+def _sketched(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [shingle_set(raw, k) for raw in batch.column(1).to_pylist()]
-        cols = [batch.column(0), pa.array([s.tobytes() for s, _ in own], pa.binary()), pa.array([f.tobytes() for _, f in own], pa.binary()), batch.column(2)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "shingles", "fp", "component"])
+        own = [shingle_digests(raw, k) for raw in batch.column(1).to_pylist()]
+        cols = [batch.column(0), pa.array([keys_of(d).tobytes() for d in own], pa.binary()), pa.array([simhash(d).tobytes() + parity(d).tobytes() for d in own], pa.binary()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "shingles", "fp", "key"])
 
 
-def _exact(radius: int, like: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the documents of each tile whose sets are as similar as asked."""
+def _exact(like: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the documents of each tile whose sets are as similar as asked. Rows
+    of one label are known to be connected."""
     now, rows = None, []
 
     def out() -> pa.RecordBatch:
-        ids = np.array([r[1] for r in rows], np.int64)
-        fp = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, 2)
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        side, at = np.array([r[0] for r in rows]), np.arange(len(rows))
-        left, right = at[side == 0], at[side == 1]
-        alone = not len(right)
-        i, j = _near(fp, left, left if alone else right, radius) if len(left) else (at[:0], at[:0])
-        if alone:
-            i, j = i[i < j], j[i < j]
-        label = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while label[x] != x:
-                label[x] = label[label[x]]
-                x = label[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        side, labels, ids, sets, fps = zip(*rows, strict=True)
+        own, side, at, one = _Sets(list(sets), list(fps)), np.array(side), np.arange(len(rows)), _Union(len(rows))
+        first: dict[int, int] = {}
+        for i, x in enumerate(labels):
+            if x is not None:
+                one.join(i, first.setdefault(x, i))
+        known = [one.find(i) for i in range(len(rows))]
+        left, right = (at[side == 0], at[side == 1]) if side.max() else (at, at)
+        for x, y in own.near(left, right, like):
             # What is connected already needs no comparison.
-            p, q = find(x), find(y)
-            n, m = len(sets[x]), len(sets[y])
-            if p == q or min(n, m) < like * max(n, m) - 1e-9:
-                continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if both >= like * (n + m - both) - 1e-9:
-                label[max(p, q)] = min(p, q)
-        root = np.array([find(x) for x in range(len(rows))], np.int64)
-        some = np.flatnonzero(root != at)
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["u", "v"])
+            if one.find(x) != one.find(y) and own.alike(x, y, like):
+                one.join(x, y)
+        root = [one.find(x) for x in range(len(rows))]
+        some = [i for i in range(len(rows)) if root[i] != known[i]]
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.int64()), pa.array([ids[root[i]] for i in some], pa.int64())], ["u", "v"])
 
     for batch in batches:
-        for c, t, *row in zip(*(batch.column(n).to_pylist() for n in ("component", "tile", "side", "doc_id", "fp", "shingles")), strict=True):
-            if now != (c, t):
+        for key, tile, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != (key, tile):
                 if len(rows) > 1:
                     yield out()
-                now, rows = (c, t), []
+                now, rows = (key, tile), []
             rows.append(row)
     if len(rows) > 1:
         yield out()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def _tiled(df: DataFrame, by: str, n: str, most: int) -> DataFrame:
-    """Cuts groups of over ``most`` rows into chunks that meet pairwise."""
-    k = F.coalesce(F.ceil(F.col(n) / most), F.lit(1)).cast("long")
-    cut = df.withColumn("_k", k).withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    return cut.withColumn("tile", F.least("_own", "_other") * F.col("_k") + F.greatest("_own", "_other")).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_k", "_own", "_other", n)
-
-
-def similar_components(docs: DataFrame, k: int = 5, like: float = 0.8, radius: int = RADIUS) -> DataFrame:
+class _KeyPivots:
+    """Labels fingerprints by the first pivot that may be similar, with pivots that may
+    be similar to one another taken for one."""
+
+    def __init__(self, pivots: pa.Table, like: float):
+        self.like, self.ids = like, pivots.column("doc_id").to_pylist()
+        self.fp, self.n = self._read(pivots)
+        m = len(self.ids)
+        self.one = _Union(m)
+        for a in range(m):
+            b = np.arange(a + 1, m)
+            for y in b[_alike(self.fp, self.n, np.full(len(b), a), b, like)].tolist():
+                self.one.join(a, y)
+
+    @staticmethod
+    def _read(rows) -> tuple[np.ndarray, np.ndarray]:
+        words = [rows.column(f"f{i}").to_numpy() for i in range(WORDS)]
+        return np.stack(words, axis=1).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)
+
+    def labels(self, rows: pa.Table) -> list[int | None]:
+        own, n = self._read(rows)
+        m, at = len(self.ids), np.arange(len(n))
+        fp, n, found = np.concatenate([self.fp, own]), np.r_[self.n, n], np.full(len(at), m)
+        for a in reversed(range(m)):
+            found[_alike(fp, n, np.full(len(at), a), m + at, self.like)] = self.one.find(a)
+        return [self.ids[a] if a < m else None for a in found.tolist()]
+
+
+class _SetPivots:
+    """Labels sets by the first pivot that is similar, with pivots similar to one another
+    taken for one."""
+
+    def __init__(self, pivots: pa.Table, like: float):
+        self.like, self.ids = like, pivots.column("doc_id").to_pylist()
+        self.raw = pivots.column("shingles").to_pylist(), pivots.column("fp").to_pylist()
+        own, m = _Sets(*self.raw), len(self.ids)
+        self.one = _Union(m)
+        for a, b in own.near(np.arange(m), np.arange(m), like):
+            if self.one.find(a) != self.one.find(b) and own.alike(a, b, like):
+                self.one.join(a, b)
+
+    def labels(self, rows: pa.Table) -> list[int | None]:
+        m = len(self.ids)
+        own = _Sets(self.raw[0] + rows.column("shingles").to_pylist(), self.raw[1] + rows.column("fp").to_pylist())
+        found: list[int | None] = [None] * rows.num_rows
+        for a, b in own.near(np.arange(m), m + np.arange(rows.num_rows), self.like):
+            if found[b - m] is None and own.alike(a, b, self.like):
+                found[b - m] = self.ids[self.one.find(a)]
+        return found
+
+
+def _labels(kind: type, like: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``label`` to rows that come sorted by key and salt, pivots first."""
+    now, held, judge = None, [], None
+    for batch in batches:
+        names = [x for x in batch.schema.names if x not in ("salt", "member")]
+        key, salt, member = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "salt", "member"))
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (member[1:] != member[:-1]), True]) if len(key) else []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if now != (key[a], salt[a]):
+                now, held, judge = (key[a], salt[a]), [], None
+            rows = pa.Table.from_batches([batch.slice(a, b - a)]).select(names)
+            if not member[a]:
+                held.append(rows)
+                continue
+            if judge is None:
+                judge = kind(pa.concat_tables(held) if held else rows.slice(0, 0), like)
+            yield from rows.append_column("label", pa.array(judge.labels(rows), pa.int64())).combine_chunks().to_batches()
+
+
+def _labelled(rows: DataFrame, sizes: DataFrame, kind: type, like: float) -> DataFrame:
+    """Large groups of ``rows`` (key, doc_id ...) with ``label``: about PIVOTS rows of
+    each group, whatever its size, are what all its rows are compared with. Groups are
+    dealt to tasks in salted parts, each with its own copy of the pivots."""
+    sized = rows.join(small(sizes), "key").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("size") / PIVOTS)) == 0
+    pivots = sized.where(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("member", F.lit(False))
+    members = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("parts")).cast("int")).withColumn("member", F.lit(True))
+    both = pivots.unionByName(members).select(*rows.columns, "salt", "member").repartition("key", "salt").sortWithinPartitions("key", "salt", "member", "doc_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return stored(both.mapInArrow(partial(_labels, kind, like), kinds + ", label long"), "labelled")
+
+
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, doc_id, label ...) with ``tile`` and ``side``, once for each tile a
+    row is in: groups by key and label are cut into chunks of about ``most``, and a
+    tile is a pair of chunks that are not of one label. A group whose rows share a
+    label is in no tile; the tiles grow with the pairs still in question."""
+    sizes = rows.groupBy("key", "label").agg(F.ceil(F.count("*") / most).cast("int").alias("k"))
+    sizes = stored(sizes, "sizes")
+    order = W.Window.partitionBy("key").orderBy("label", "c")
+    chunks = sizes.select("key", "label", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    chunks = stored(chunks.withColumn("i", F.row_number().over(order)).withColumn("all", F.count("*").over(W.Window.partitionBy("key"))), "chunks")
+    a, b = chunks.select("key", F.col("label").alias("la"), F.col("i").alias("a"), "all"), chunks.select("key", F.col("label").alias("lb"), F.col("i").alias("b"))
+    pairs = a.join(b, "key").where("a <= b AND NOT coalesce(la = lb, false)")
+    tile = (F.col("a").cast("long") * (F.col("all") + 1) + F.col("b")).alias("tile")
+    pairs = pairs.select("key", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("i"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("i"), F.lit(0).alias("side")), F.struct(F.col("b").alias("i"), F.lit(1).alias("side"))))).alias("x"), tile)
+    pairs = stored(pairs.select("key", "x.i", "x.side", "tile"), "tiles")
+    keyed = rows.withColumn("_l", F.coalesce(F.col("label"), F.lit(0))).withColumn("_n", F.col("label").isNull())
+    named = chunks.select("key", F.coalesce("label", F.lit(0)).alias("_l"), F.col("label").isNull().alias("_n"), "c", "i")
+    counts = sizes.select("key", F.coalesce("label", F.lit(0)).alias("_l"), F.col("label").isNull().alias("_n"), "k")
+    placed = keyed.join(small(counts), ["key", "_l", "_n"]).withColumn("c", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("k")).cast("int"))
+    placed = placed.join(small(named), ["key", "_l", "_n", "c"]).drop("_l", "_n", "c", "k")
+    return placed.join(small(pairs), ["key", "i"]).drop("i")
+
+
+def _compared(rows: Callable[[DataFrame | None, str], DataFrame], sizes: DataFrame, most: int, kind: type, like: float) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with tile, side and label; edges that labels stand for). ``rows`` gives the
+    rows whose key is in a table (left_semi) or is not (left_anti); ``sizes`` are the
+    large groups (key, size), above which a group isn't one tile."""
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(0)).withColumn("label", F.lit(None).cast("long"))
+
+    if not sizes.count():
+        return whole(rows(None, "")), None
+    hot = _labelled(rows(small(sizes.select("key")), "left_semi"), sizes, kind, like)
+    rest = whole(rows(small(sizes.select("key")), "left_anti"))
+    linked = hot.where("label IS NOT NULL AND label <> doc_id").select(F.col("doc_id").alias("u"), F.col("label").alias("v")).distinct()
+    return rest.unionByName(_dealt(hot, most)), linked
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "side")
+
+
+def frequent_shingles(own: DataFrame, k: int) -> Frequent:
+    """(sorted names, counts) of the shingles that are frequent in a sample of the
+    documents; at most RANKED of them, whatever the input."""
+    sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLE)) == 0).select("data")
+    found = sample.mapInArrow(partial(_all_keys, k), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = found.orderBy(F.desc("n"), "key").limit(RANKED).collect()
+    names, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(names)
+    return names[order], counts[order]
+
+
+def similar_components(docs: DataFrame, k: int = 5, like: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents of ``docs`` (doc_id, text) that have a
     near-duplicate: equal texts, or a share of ``like`` of k-word shingles (as sets)
     in common; component_id is the smallest doc_id reachable.
 
-    Equal texts are grouped before shingles are made. Frequent shingles, found in a
-    sample of the documents, are cut into tiles: that divides the work and changes
-    no result. Candidate groups are cut likewise before sets are compared. Rows
-    without a doc_id are left out, rows of one doc_id with different texts are one
-    document with the first text in order; texts without words are only equal.
+    Equal texts are grouped before shingles are made. Rare shingles, by counts in a
+    sample, come first in the order; that changes the work and no result. Groups that
+    meet by one shingle, and candidate groups before sets are compared, are compared
+    with a few of their own rows first when they are large, and what that connects is
+    not compared again; the rest meets in tiles. Rows without a doc_id are left out;
+    rows of one doc_id are one document that has the links of all its texts; texts
+    without words are only equal to the same text; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark, 400)
+    arrow_batches(docs.sparkSession)
     own = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    digests = own.select("doc_id", F.md5("data").alias("m")).groupBy("doc_id").agg(F.min("m").alias("m"))
-    names = stored(digests.withColumn("first", F.min("doc_id").over(W.Window.partitionBy("m"))), "digests")
-    copies = stored(names.where("first <> doc_id").select("doc_id", "first"), "copies")
-    rest = own.join(_small(copies.select("doc_id")), "doc_id", "left_anti")
-    met = stored(rest.mapInArrow(partial(_meetings, k, like), "key long, a long, b long, doc_id long"), "meetings")
-    often = met.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > CHUNK)
-    tiled = _tiled(met.join(_small(stored(often, "often")), "key", "left"), "key", "n", CHUNK)
-    arrow_batches(spark, 10000)
-    dealt = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "side").select("key", "tile", "side", "a", "b", "doc_id")
-    linked = stored(dealt.mapInArrow(partial(_candidates, radius), "u long, v long").distinct(), "candidates")
-    groups = stored(connected_components(linked), "groups")
-    arrow_batches(spark, 400)
-    size = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(size, "component").select(F.col("node").alias("doc_id"), "component", "n")
-    texts = rest.join(_small(groups.select(F.col("node").alias("doc_id"), "component")), "doc_id").select("doc_id", "data", "component")
-    sets = texts.mapInArrow(partial(_sets, k), "doc_id long, shingles binary, fp binary, component long")
-    dealt = _tiled(sets.join(members.select("doc_id", "n"), "doc_id"), "component", "n", TILE).repartition("component", "tile").sortWithinPartitions("component", "tile", "side", "doc_id")
-    proven = stored(dealt.select("component", "tile", "side", "doc_id", "fp", "shingles").mapInArrow(partial(_exact, radius, like), "u long, v long"), "proven")
-    all_ = proven.union(copies.toDF("u", "v"))
-    found = connected_components(all_)
+    digests_ = stored(own.select("doc_id", F.md5("data").alias("m")), "digests")
+    # The join's key is another than the aggregate's, so that a large group of copies can be split.
+    same = digests_.groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.reverse("m").alias("r"), "first")
+    copies = stored(digests_.withColumn("r", F.reverse("m")).join(same, "r").where("doc_id > first").select("doc_id", "m", "first"), "copies")
+    rest = own.withColumn("m", F.md5("data")).join(small(copies.select("doc_id", "m")), ["doc_id", "m"], "left_anti").select("doc_id", "data")
+    met = stored(rest.mapInArrow(partial(_meetings, k, like, frequent_shingles(own, k)), "key long, " + ", ".join(f"f{i} long" for i in range(WORDS)) + ", n int, doc_id long"), "meetings")
+    often = met.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("size")).where(F.col("size") > CHUNK)
+    often = stored(often, "often")
+    rows, linked = _compared(lambda keys, how: met if keys is None else met.join(keys, "key", how), often, CHUNK, _KeyPivots, like)
+    dealt = _sorted(rows.select("key", "tile", "side", "n", "doc_id", *(f"f{i}" for i in range(WORDS))))
+    links = dealt.mapInArrow(partial(_candidates, like), "u long, v long")
+    links = stored((links.union(linked) if linked is not None else links).distinct(), "candidates")
+    forget(met, often)
+    groups = stored(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("key")), "groups")
+    large = stored(groups.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > TILE), "large")
+
+    def sets(keys: DataFrame | None, how: str) -> DataFrame:
+        members = groups if keys is None else groups.join(keys, "key", how)
+        return rest.join(small(members), "doc_id").select("doc_id", "data", "key").mapInArrow(partial(_sketched, k), "doc_id long, shingles binary, fp binary, key long")
+
+    rows, linked = _compared(sets, large, TILE, _SetPivots, like)
+    proven = _sorted(rows.select("key", "tile", "side", "label", "doc_id", "shingles", "fp")).mapInArrow(partial(_exact, like), "u long, v long")
+    proven = stored(proven.union(linked) if linked is not None else proven, "proven")
+    forget(links, groups, large)
+    found = connected_components(proven.union(copies.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -1,7 +1,11 @@
+import random
 from collections import Counter
 
+import numpy as np
+
 from quaylight.llm import decontaminate as D
 from quaylight.llm.common import table
+from quaylight.llm.sketch import pack
 
 
 def brute(docs, items, like=D.LIKE):
@@ -43,3 +47,56 @@ def test_near_windows_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.contaminated(df, bench).collect()} == want
     assert D.contaminated(no_docs, bench).count() == 0
     assert D.contaminated(df, bench.where("item_id > 99")).count() == 0
+
+
+def test_short_windows_at_the_similarity_lose_no_match(spark):
+    rng, items, docs = random.Random(6), [], []
+    for n in range(5, 60):
+        for _ in range(6):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            items.append((len(items), " ".join(words)))
+            # As many words less as keep the similarity at 0.8 or above; or some others at the end.
+            docs.append((len(docs), " ".join(words[: n - (n - 4) // 5])))
+            docs.append((len(docs), " ".join(["lead", *words[: n - (n - 4) // 9], *(f"x{i}" for i in range(9)), "tail"])))
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_same(docs, items)
+    assert len(want) > len(items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.contaminated(df, bench).collect()} == want
+
+
+def brute_same(docs, items):
+    """As ``brute``, for items that share no words: only the item of a document is tried."""
+    out = {}
+    for d, t in docs:
+        out |= brute([(d, t)], [items[d // 2]])
+    return out
+
+
+def test_repeated_shingles(spark):
+    line = "the same line of words again and "
+    items = [(1, line * 6), (2, line * 12 + "end"), (3, "buy " * 50), (4, "buy " * 45 + "sell now")]
+    docs = [(1, "first " + line * 6), (2, line * 11), (3, "buy " * 47), (4, line * 3), (5, "buy " * 10), (6, ("word " + line) * 6)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, items)
+    assert want
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in D.contaminated(df, bench).collect()} == want
+
+
+def test_blocks_give_all_within_the_radius():
+    rng = np.random.default_rng(8)
+    x = D.Lengths(40, 5, 0.8)
+    for i in range(50):
+        x.add(i, [f"p{i} {j}" for j in range(36)])
+    x.done()
+    fps = np.concatenate([x.simhash ^ pack((rng.random((50, 256)) < p).astype(np.uint8)) for p in (0.05, 0.2, 0.3, 0.34, 0.5)])
+    i, j = x.within(fps, 36)
+    want = {(a, b) for a in range(len(fps)) for b in range(50) if int(np.bitwise_count(fps[a] ^ x.simhash[b]).sum()) <= 84}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_clean_keeps_rows_by_their_own_text(spark):
+    rows = [(1, "one two three four five six", 1, 2), (1, "an innocent text", 3, 4), (None, None, 5, 6), (2, "one two three four five six", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text int, item_id int")
+    bench = spark.createDataFrame([(4, "one two three four five six")], "item_id long, text string")
+    assert sorted(r._text for r in D.clean(df.withColumnRenamed("item_id", "similarity"), bench).collect()) == [3, 5]
+    assert D.clean(df, bench).columns == df.columns

@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from quaylight.llm import components, nearsets, neardup
+from quaylight.llm import components, nearsets, neardup, sketch
 from quaylight.llm.common import table
 
 
@@ -82,21 +84,109 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert nearsets.similar_components(no_docs).count() == 0
 
 
-def test_similar_sets_against_brute_force(spark, monkeypatch):
-    for name in ("CHUNK", "TILE"):
-        monkeypatch.setattr(nearsets, name, 8)
-    monkeypatch.setattr(nearsets, "SAMPLE", 1)
+def plain_shingles(text, k=5):
+    """Sets of word tuples, without the operator's code."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(spark, docs):
+    sets = {d: plain_shingles(t) for d, t in docs.items()}
+    want = grouped(sorted(docs), lambda a, b: docs[a] == docs[b] or bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    alone = {d for d in docs if list(want.values()).count(want[d]) == 1}
+    rows = list(docs.items())
+    random.Random(4).shuffle(rows)
+    got = {r.doc_id: r.component_id for r in nearsets.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, c in want.items() if d not in alone}
+    return got
+
+
+def edited(rng, base, n):
+    w = list(base)
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similar_sets_against_brute_force(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
-    docs = {}
-    for i in range(60):
-        w = list(base)
-        for _ in range(rng.randrange(8)):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
-        docs[i] = " ".join(w)
+    docs = {i: edited(rng, base, rng.randrange(8)) for i in range(60)}
     docs |= {60: "quite another text with other words", 61: "quite another text with other words too"}
-    sets = {d: set(nearsets.shingle_set(t.encode(), 5)[0].tolist()) for d, t in docs.items()}
-    want = grouped(sorted(docs), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
-    got = {r.doc_id: r.component_id for r in nearsets.similar_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
-    alone = {d for d in docs if list(want.values()).count(want[d]) == 1}
-    assert got == {d: c for d, c in want.items() if d not in alone}
+    similar(spark, docs)
+
+
+def test_large_groups_lose_nothing_and_are_not_compared_twice(spark, monkeypatch):
+    monkeypatch.setattr(nearsets, "CHUNK", 8)
+    monkeypatch.setattr(nearsets, "TILE", 8)
+    monkeypatch.setattr(nearsets, "SAMPLE", 1)
+    monkeypatch.setattr(nearsets, "PIVOTS", 3)
+    rng = random.Random(12)
+    docs = {}
+    for n in (12, 40, 150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        docs |= {len(docs) + i: edited(rng, base, rng.randrange(1 + n // 25)) for i in range(40)}
+    common = " ".join(f"c{i}" for i in range(30))
+    docs |= {200 + i: f"{common} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(20))}" for i in range(40)}
+    similar(spark, docs)
+    # A group whose rows share a label is in no tile.
+    one = spark.createDataFrame([(1, i, 7) for i in range(100)] + [(2, i, None) for i in range(100)], "key long, doc_id long, label long")
+    assert {r.key for r in nearsets._dealt(one, 8).select("key").distinct().collect()} == {2}
+
+
+def test_short_texts_at_the_similarity_lose_no_link(spark):
+    rng, docs = random.Random(9), {}
+    for n in range(8, 60):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            i = len(docs)
+            docs[i] = " ".join(words)
+            # Without the last m // 5 of m shingles the similarity is 0.8 or a little more.
+            docs[i + 1] = " ".join(words[: n - (n - 4) // 5])
+    assert len(similar(spark, docs)) == len(docs)
+
+
+def test_radius_loses_fewer_than_one_in_ten_billion_pairs():
+    def signs(n):
+        logs = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(n + 1)]) - n * math.log(2)
+        return 2 * np.arange(n + 1) - n, np.exp(logs)
+
+    def apart(both, a, b):
+        (s, ps), (x, px), (y, py) = signs(both), signs(a), signs(b)
+        p, q = (np.array([w[v > -t].sum() for t in s]) for v, w in ((x, px), (y, py)))
+        return float((ps * (p * (1 - q) + (1 - p) * q)).sum())
+
+    for both in (*range(26, 90), 150, 400):
+        rest = int(both / 0.8 + 1e-9) - both
+        p = max(apart(both, a, rest - a) for a in range(rest + 1))
+        tail = sum(math.comb(256, i) * p**i * (1 - p) ** (256 - i) for i in range(sketch.RADIUS + 1, 257))
+        assert tail < 1e-11
+
+
+def test_parities_differ_in_no_more_bits_than_shingles():
+    rng = random.Random(3)
+    for _ in range(300):
+        both, a, b = (rng.randrange(k) for k in (40, 6, 6))
+        parts = [str(rng.random()).encode() for _ in range(both + a + b)]
+        x, y = sketch.parity(sketch.digests(parts[: both + a])), sketch.parity(sketch.digests(parts[:both] + parts[both + a :]))
+        assert sketch.distances(x, y) <= a + b
+
+
+def test_voting_rule_against_plain_counts():
+    text = "The quick brown fox and the quick brown fox and the lazy Dog"
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), seed=42) for i in range(len(words) - 3)]
+    want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    assert neardup.simhash(text.encode(), 4) == want
+
+
+def test_ids_of_any_size_and_none(spark):
+    rows = [(2**63 - 1, "one text of some words"), (2**62 + 5, "one text of some words"), (-(2**63), "quite another text here"), (None, "a third text without an id"), (None, "one text of some words")]
+    got = neardup.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(2**63 - 1, 2**62 + 5), (2**62 + 5, 2**62 + 5), (-(2**63), -(2**63)), (None, None), (None, 2**62 + 5)}
+
+
+def test_one_id_with_two_texts_has_the_links_of_both(spark):
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "p q r s t u v w x y"), (9, "p q r s t u v w x y"), (9, "nothing like the others at all")]
+    got = {r.doc_id: r.component_id for r in nearsets.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 9: 1}
