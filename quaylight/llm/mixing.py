@@ -12,17 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import n_words, stored, table
+from .common import forget, n_words, packed, small, stored, table, unpacked
 
-#: Ranges of the sampling key that a source is summed in.
-RANGES = 1024
+#: Ranges of the sampling key for each doubling of it. Whatever the qualities, no
+#: range is expected to hold over ln 2 / e / STEPS, 0.05 %, of a source's rows.
+STEPS = 512
 
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Adds ``target``. Weights go to sources by code point, null last, repeating.
     The targets are least(most * size, level * weight) with the level at which
     they sum to ``share`` of all sizes: what remains when sources that reach their
-    limit pass the excess on by weight until none is above."""
+    limit pass the excess on by weight until none is above. One row a source is
+    sorted in one task."""
     order = W.Window.orderBy(F.col("source").asc_nulls_last())
     every = W.Window.partitionBy()
     s = sources.withColumn("i", F.row_number().over(order) - 1)
@@ -42,42 +44,87 @@ def unit(*cols: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) / F.lit(float(2**53))
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, quality: Column | None = None, seed: int = 1) -> DataFrame:
-    """``rows`` (doc_id, source, size, and any others) with ``source_size``,
-    ``target`` and ``copies``, how often the mix takes the row.
+def text_quality(text: str | Column) -> Column:
+    """A weight from 0.05 to 1 of how much of a text is prose: the share of its
+    characters that are letters or single spaces, squared, halved for texts of under
+    20 words and for mean word lengths outside 3 to 12. Null and empty texts have
+    0.05. Labels take no part."""
+    text = F.coalesce(text, F.lit(""))
+    n, words = F.char_length(text), n_words(text)
+    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    prose = F.least(F.lit(1.0), (letters + words) / F.greatest(n, F.lit(1)))
+    length = letters / F.greatest(words, F.lit(1))
+    usual = F.when(length.between(3, 12), 1.0).otherwise(0.5) * F.when(words >= 20, 1.0).otherwise(0.5)
+    return F.when(n == 0, F.lit(0.05)).otherwise(F.greatest(F.lit(0.05), prose * prose * usual))
+
+
+def key_range(key: str | Column) -> Column:
+    """Number of the range of a positive key: equal steps of its logarithm."""
+    return F.floor(F.log2(key) * STEPS).cast("int")
+
+
+def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, size: Column, quality: Column, seed: int = 1) -> DataFrame:
+    """``_row``, ``_size``, ``_source_size``, ``_target`` and ``_copies`` of every row of
+    ``rows`` (doc_id, source and any others): its columns in one struct, and how often
+    the mix takes the row. ``size`` and ``quality`` are expressions over its columns.
 
     A source with target T and size S takes every row floor(T / S) times, then the
     rows with the least keys -ln(u) / quality, one by one, for the remainder: a row
-    is taken if that leaves the sum nearer the remainder than without it. u is a
-    hash of doc_id and the seed, so reruns agree. Keys are summed in ranges of
-    equal hash share first; a source's running sums are never made by one task.
-    Null sizes are 0 and null or non-positive qualities the least there is; rows
-    of size 0 are taken with the complete epochs only; repeated rows and ties share
-    a key and are ordered by size; a null source is a source; an empty table gives
-    no rows.
+    is taken if that leaves the sum nearer the remainder than without it. Such rows
+    come before all others of their source, so one bound for each source decides: the
+    sums of key ranges find the range that holds it, and only that range is put in
+    order. u is a hash of doc_id and the seed, so reruns agree.
+
+    Null sizes are 0 and null, small or non-positive qualities 1e-6; rows of size 0
+    are taken with the complete epochs only; a null source is a source; a null doc_id
+    is replaced by a hash of all columns, ties are ordered by that hash, and of rows
+    repeated whole the bound may take some; an empty table gives no rows; columns of
+    any name pass through.
     """
-    q = F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1e-6)), F.lit(1e-6))
-    u = unit("doc_id", F.lit(seed))
-    key = -F.log(u) / q
-    sized = stored(rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_key", key), "mix")
-    # The exponential key of a row of mean quality is uniform after this; any monotone map would do.
-    part = F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("_key"))) * RANGES)).cast("int")
-    sized = sized.withColumn("_part", part).withColumn("_source", F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")))
-    sums = sized.groupBy("source", "_source", "_part").agg(F.sum("size").alias("n"))
-    sources = _targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
-    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    sources = sources.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_source"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("_left"))
-    before = W.Window.partitionBy("_source").orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = sums.select("_source", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")).join(sources, "_source")
-    own = W.Window.partitionBy("_source", "_part").orderBy("_key", "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    at = F.col("_start") + F.coalesce(F.sum("size").over(own), F.lit(0))
-    out = sized.join(starts, ["_source", "_part"]).withColumn("_at", at)
+    n = F.greatest(F.coalesce(size, F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    q = F.greatest(F.coalesce(quality.cast("double"), F.lit(1e-6)), F.lit(1e-6))
+    source = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_source")
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t))
+    wide = rows.select(packed(rows.columns), source, n.alias("_size"), q.alias("_q"), F.col("doc_id").alias("_id"), tie.alias("_tie"))
+    u = unit("_id", F.when(F.col("_id").isNull(), F.col("_tie")), F.lit(seed))
+    wide = wide.withColumn("_key", -F.log(u) / F.col("_q")).drop("_q", "_id").withColumn("_range", key_range("_key"))
+    keyed = stored(wide.select("_source", "_size", "_key", "_tie", "_range"), "keys")
+    sums = stored(keyed.groupBy("_source", "_range").agg(F.sum("_size").alias("n")), "ranges")
+    sources = _targets(sums.groupBy("_source").agg(F.sum("n").alias("source_size")).withColumn("source", F.when(~F.col("_source.n"), F.col("_source.s"))), weights, share, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    sources = sources.withColumn("_epochs", epochs).select("_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", (F.col("target") - F.col("_epochs") * F.col("source_size")).alias("_left"))
+    before = W.Window.partitionBy("_source").orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = sums.select("_source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    # The last range that begins before the budget ends.
+    last = starts.join(sources, "_source").where(F.col("_start") <= F.col("_left")).groupBy("_source").agg(F.max(F.struct("_range", "_start")).alias("x"))
+    sources = stored(sources.join(last, "_source", "left").select("*", "x._range", "x._start").drop("x").withColumnRenamed("_range", "_last"), "sources")
+    own = W.Window.partitionBy("_source").orderBy("_key", "_size", "_tie")
+    at = F.col("_start") + F.coalesce(F.sum("_size").over(own.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    there = keyed.where("_size > 0").join(small(sources.select("_source", F.col("_last").alias("_range"), "_start", "_left")), ["_source", "_range"])
+    there = there.withColumn("_at", at)
     # Nearer with the row than without it: half of it at least fits.
-    again = (F.col("size") > 0) & (F.col("_at") + F.col("size") / 2 <= F.col("_left"))
-    return out.withColumn("copies", F.col("epochs") + again.cast("int")).drop("_source", "_part", "_key", "_start", "_left", "_at", "epochs")
+    fits = F.col("_at") + F.col("_size") / 2 <= F.col("_left")
+    mine = F.struct("_key", "_size", "_tie")
+    bound = there.where(fits).groupBy("_source").agg(F.max(mine).alias("_bound"))
+    equal = there.join(bound, "_source").where(mine == F.col("_bound")).groupBy("_source").agg(F.count_if(fits).alias("_equal"), F.count("*").alias("_all"))
+    bounds = stored(sources.join(bound, "_source", "left").join(equal, "_source", "left"), "bounds")
+    forget(keyed, sums, sources)
+    judged = wide.join(small(bounds), "_source")
+    at_bound = F.coalesce((F.col("_range") == F.col("_last")) & (mine == F.col("_bound")), F.lit(False))
+    within = (F.col("_size") > 0) & (F.coalesce(F.col("_range") < F.col("_last"), F.lit(False)) | F.coalesce((F.col("_range") == F.col("_last")) & (mine <= F.col("_bound")), F.lit(False)))
+
+    def taken(df: DataFrame, again: Column) -> DataFrame:
+        return df.select("_row", "_size", "_source_size", "_target", (F.col("_epochs") + again.cast("int")).alias("_copies"))
+
+    if not bounds.where("_equal < _all").count():
+        return taken(judged, within)
+    # Rows repeated whole at a bound that takes some of them.
+    nth = F.row_number().over(W.Window.partitionBy("_source").orderBy("_key"))
+    edge = judged.where(at_bound).withColumn("_nth", nth)
+    return taken(judged.where(~at_bound), within).unionByName(taken(edge, F.col("_nth") <= F.col("_equal")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = mix(docs.select("doc_id", "source", n_words("text").alias("size")), weights=(5, 2, 1), share=1.5, most=2.0)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, size=n_words("text"), quality=text_quality("text"))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
