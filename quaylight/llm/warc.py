@@ -21,15 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .common import shared_dir, stored, table
+from .common import shared_dir, small, stored, table
 
 CRLF = "\r\n"
 #: Revisits by equal payload digest, as in the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes read from a file at a time.
 BLOCK = 1 << 20
-#: Most revisits that are sent to all executors; above it they are joined by shuffle.
-SMALL = 100_000
 
 #: Column of the data source -> WARC header.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "date": "WARC-Date"}
@@ -217,9 +215,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-
     keyed = pages.select(F.col("page_id"), body.alias("_body"), F.coalesce("url", F.lit("")).alias("_url"), digest.alias("_digest"), F.octet_length(body).alias("_n"))
     same = keyed.where(F.col("_n") >= least).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
     same = stored(same.select("_digest", "_first"), "copies")
-    if same.count() <= SMALL:
-        same = F.broadcast(same)
-    all_ = keyed.join(same, "_digest", "left").withColumn("_revisit", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
+    all_ = keyed.join(small(same), "_digest", "left").withColumn("_revisit", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
     uid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     none = F.lit("")
@@ -244,9 +240,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(table(spark, sf_dir, "pages"), path)
     found = read_warc(spark, path).select("record_id", "record_type", "payload_digest", "refers_to", "payload_bytes", "payload_sha256")
     own = found.where(F.col("record_type") == "response").select("record_id", "record_type", F.lit(None).cast("string").alias("refers_to"), "payload_bytes", "payload_sha256")
-    again = read_warc(spark, path, "none").where(F.col("record_type") == "revisit").select(F.col("record_id").alias("r"), "record_type", "refers_to")
-    whole = own.select(F.col("record_id").alias("refers_to"), "payload_bytes", "payload_sha256").distinct()
-    both = own.unionByName(again.join(whole, "refers_to").select(F.col("r").alias("record_id"), "record_type", "refers_to", "payload_bytes", "payload_sha256"))
+    again = read_warc(spark, path, "none").where(F.col("record_type") == "revisit").select("record_id", "record_type", "refers_to", F.expr("substring_index(payload_digest, ':', -1)").alias("digest"))
+    # A page_id may repeat, so a revisit is of an id and a digest. The join's key is another
+    # than that of distinct: adaptive execution can split the revisits of one page.
+    whole = own.select(F.col("record_id").alias("of"), "payload_bytes", F.col("payload_sha256").alias("sha")).distinct().withColumn("_key", F.reverse("sha"))
+    again = again.withColumn("_key", F.reverse("digest")).join(whole, "_key").where("refers_to = of")
+    both = own.unionByName(again.select("record_id", "record_type", "refers_to", "payload_bytes", F.col("sha").alias("payload_sha256")))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return both.select(as_id("record_id").alias("page_id"), "payload_bytes", F.col("payload_sha256").alias("payload_digest"), "record_type", as_id("refers_to").alias("refers_to"))

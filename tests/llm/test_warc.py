@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import io
 
 import pytest
@@ -53,3 +54,14 @@ def test_gzip_members_and_truncation():
 def test_no_pages(spark, tmp_path):
     path = archive(spark, tmp_path, [])
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_op4_where_a_page_id_repeats(spark, tmp_path):
+    a, b = "A" * 200, "B" * 200
+    rows = [(5, "u", a), (5, "u", b), (7, "u", a), (9, "v", b), (9, "v", b), (3, "u", "x"), (4, "u", "x"), (None, None, a), (6, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op4(spark, str(tmp_path)).collect()), key=str)
+    want = [(5, 200, sha(a), "response", None), (5, 200, sha(b), "response", None), (7, 200, sha(a), "revisit", 5), (9, 200, sha(b), "revisit", 5), (9, 200, sha(b), "revisit", 5)]
+    want += [(3, 1, sha("x"), "response", None), (4, 1, sha("x"), "response", None), (None, 200, sha(a), "revisit", 5), (6, 0, sha(""), "response", None)]
+    assert got == sorted(want, key=str)
