@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,17 @@ def unpacked(columns: list[str]) -> list[Column]:
     return [F.col("_row").getField(c).alias(c) for c in columns]
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``_row`` with the ``keep`` columns, and the text beside it if it isn't in it."""
+    return docs.select(packed(keep), *([] if "text" in keep else [F.col("text").alias("_text")]))
+
+
+def row_texts(batch: pa.RecordBatch) -> list[str | None]:
+    """Texts of a batch of ``with_text``."""
+    found = batch.column(1) if batch.num_columns > 1 else batch.column(0).field("text")
+    return found.to_pylist()
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

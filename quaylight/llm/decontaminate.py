@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, packed, table, unpacked
+from .common import arrow_batches, row_texts, table, unpacked, with_text
 from .sketch import LONG, WORDS, digests, distances, pack, parity, parity_radius, simhash, simhash_radius, votes
 
 SHINGLE = 5
@@ -216,7 +216,7 @@ def _search(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _clean(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.filter(pa.array([not items.matches(t or "") for t in b.column(1).to_pylist()], pa.bool_()))
+        yield b.filter(pa.array([not items.matches(t or "") for t in row_texts(b)], pa.bool_()))
 
 
 def item_blocks(benchmark: DataFrame, k: int, like: float) -> Iterator[Items]:
@@ -252,7 +252,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, like: float =
     """The rows of ``docs`` without a match, row by row: rows of one doc_id are judged
     each by its own text. Columns of any name pass through."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(packed(docs.columns), F.col("text").alias("_body"))
+    rows = with_text(docs, docs.columns)
     for items in item_blocks(benchmark, k, like):
         rows = rows.mapInArrow(partial(_clean, items), rows.schema)
     return rows.select(*unpacked(docs.columns))

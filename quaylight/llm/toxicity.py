@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batches, table
+from .common import arrow_batches, row_texts, table, with_text
 
 #: Labelled documents of each label that the classifier is fitted on at most.
 SAMPLE = 2500
@@ -158,16 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
 
 def _scores(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        own = [model.score(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own, pa.float64())], [*b.schema.names[:-1], "score"])
+        own = [model.score(t or "") for t in row_texts(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.float64())], ["_row", "_score"])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and the score of each whole text. Null and empty
-    texts score as one sentence without words; repeated rows each have a score."""
+    """``_row``, a struct of the ``keep`` columns of ``docs``, and the ``_score`` of each
+    whole text. Null and empty texts score as one sentence without words; repeated
+    rows each have a score; an empty table gives no rows; columns of any name pass."""
     arrow_batches(docs.sparkSession)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(partial(_scores, model), schema)
+    rows = with_text(docs, keep)
+    return rows.mapInArrow(partial(_scores, model), T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))
 
 
 def _offending(model: Model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +194,5 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    out = score(docs.select("doc_id", "text"), model, ["doc_id"])
+    out = score(docs, model, ["doc_id"]).select("_row.doc_id", F.col("_score").alias("score"))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -41,9 +41,11 @@ def test_op8_on_held_out_rows(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     m = T.Model(-3.0, {"=one": 9.0})
-    out = T.score(odd_docs, m, ["doc_id", "fp"]).collect()
-    assert len(out) == odd_docs.count()
-    assert {r.doc_id for r in out if r.score > 0.9} == {1, 2, 5}
+    wide = odd_docs.withColumn("_score", T.F.lit("mine")).withColumn("_text", T.F.lit(1))
+    for keep in (["doc_id", "fp"], wide.columns):
+        out = T.score(wide, m, keep).collect()
+        assert len(out) == odd_docs.count()
+        assert {r._row.doc_id for r in out if r._score > 0.9} == {1, 2, 5}
     assert {r.doc_id for r in T.locate(odd_docs, m, 0.9).collect()} == {1, 2, 5}
     assert T.score(no_docs, m, ["doc_id"]).count() == 0
     labels = spark.createDataFrame([(1, 1), (8, 0), (3, None), (None, 1), (1, 0)], "doc_id long, toxic int")
