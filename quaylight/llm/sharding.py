@@ -7,15 +7,16 @@ tree by remaining capacity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import stored, table
+from .common import forget, packed, small, stored, table
 
-#: Buckets that small groups are pooled in, for each shard.
-POOLS = 512
+#: Buckets that small groups are pooled in, for each shard; with many shards, so many
+#: that the driver packs about 2 * ITEMS items, but LEAST_POOLS a shard at least.
+POOLS, LEAST_POOLS = 512, 8
+ITEMS = 1 << 20
 #: Parts that the rows of a shard are numbered in.
 PARTS = 512
 
@@ -165,53 +166,68 @@ def _least_capacity(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard(rows: DataFrame, shards: int | None = None, capacity: int | None = None, pools: int = POOLS) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to ``rows`` (doc_id, size, grp).
+def shard(rows: DataFrame, size: Column, group: Column, shards: int | None = None, capacity: int | None = None, pools: int = POOLS) -> DataFrame:
+    """``_row``, ``_size``, ``_shard`` and ``_slot`` of every row of ``rows`` (doc_id and
+    any others): its columns in one struct, and where it goes. ``size`` and ``group`` are
+    expressions over its columns.
 
-    Rows of equal ``grp`` share a shard. With ``capacity`` the number of shards is
+    Rows of equal ``group`` share a shard. With ``capacity`` the number of shards is
     minimised; with ``shards`` the capacity is, and a group above the mean of what
-    remains has a shard of its own. Groups above a pool's share are packed one by
-    one: at most ``pools`` + 1 times the shards of them can exist. Smaller ones are pooled by hash first, so that the driver packs a bounded number of
-    items however many groups there are; a pool is never divided, nor is a group.
-    ``slot`` counts from 0 in each shard, by (part, doc_id), where the part is a
-    hash of the row: no shard is numbered by one task. Null sizes are 0, null
-    groups are one group; ties and repeated rows get slots in any order; an empty
-    table gives no rows.
+    remains has a shard of its own. Groups above a pool's share are packed one by one:
+    at most ``pools`` + 1 times the shards of them can exist. Smaller ones are pooled by
+    hash first, so that the driver packs a bounded number of items however many groups
+    there are; a pool is never divided, nor is a group. The slot counts from 0 in each
+    shard, by (part, doc_id), where the part is a hash of the row: no shard is numbered
+    by one task. Null sizes are 0, null groups are one group; rows of one doc_id are in
+    the order of size and a hash of all columns, and rows repeated whole in any; an
+    empty table gives no rows; columns of any name pass through.
     """
     spark = rows.sparkSession
-    kept = stored(rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("grp", F.xxhash64("grp")), "sized")
-    total = kept.agg(F.sum("size")).first()[0] or 0
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t))
+    wide = rows.select(packed(rows.columns), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.xxhash64(group).alias("_grp"), F.col("doc_id").alias("_id"), tie.alias("_tie"))
+    wide = wide.withColumn("_part", F.pmod(F.xxhash64("_tie", "_id"), F.lit(PARTS)).cast("int"))
+    narrow = stored(wide.select("_grp", "_size", "_part"), "sized")
+    groups = stored(narrow.groupBy("_grp").agg(F.sum("_size").alias("n")), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
     shards_about = shards or max(1, -(-total // max(1, capacity)))
-    n_pools = shards_about * pools
-    groups = stored(kept.groupBy("grp").agg(F.sum("size").alias("size")), "groups")
+    n_pools = shards_about * max(LEAST_POOLS, min(pools, ITEMS // shards_about))
     if shards:
         # What has a shard of its own doesn't count in a pool's share.
-        tops = [r["size"] for r in groups.orderBy(F.desc("size")).limit(shards).collect()]
+        tops = [r.n for r in groups.orderBy(F.desc("n")).limit(shards).collect()]
         total -= sum(tops[: alone(tops, total, shards)])
     least = max(1, total // n_pools)
-    large = [(r.grp, None, r["size"]) for r in groups.where(F.col("size") > least).collect()]
-    pool = F.pmod(F.xxhash64("grp", F.lit(7)), F.lit(n_pools))
-    small = [(None, r.pool, r["size"]) for r in groups.where(F.col("size") <= least).groupBy(pool.alias("pool")).agg(F.sum("size").alias("size")).collect()]
-    items = sorted(large + small, key=lambda x: (-x[2], x[0] is None, x[0] or 0, x[1] or 0))
+    large = [(r["_grp"], None, r.n) for r in groups.where(F.col("n") > least).collect()]
+    pool = F.pmod(F.xxhash64("_grp", F.lit(7)), F.lit(n_pools))
+    few = [(None, r.pool, r.n) for r in groups.where(F.col("n") <= least).groupBy(pool.alias("pool")).agg(F.sum("n").alias("n")).collect()]
+    items = sorted(large + few, key=lambda x: (-x[2], x[0] is None, x[0] or 0, x[1] or 0))
     sizes = [x[2] for x in items]
     bins = pack(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
     # At most 2 * n_pools + shards rows, whatever the input.
-    where = spark.createDataFrame([(g, p, b) for (g, p, _), b in zip(items, bins, strict=True)], "g long, p long, shard int")
-    by_group = F.broadcast(where.where("g IS NOT NULL").select(F.col("g").alias("grp"), F.col("shard").alias("s1")))
-    by_pool = F.broadcast(where.where("p IS NOT NULL").select(F.col("p").alias("pool"), F.col("shard").alias("s2")))
-    placed = kept.withColumn("pool", pool).join(by_group, "grp", "left").join(by_pool, "pool", "left")
-    placed = placed.withColumn("shard", F.coalesce("s1", "s2")).drop("pool", "s1", "s2", "grp")
-    placed = stored(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "placed")
-    before = W.Window.partitionBy("shard").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    where = stored(spark.createDataFrame([(g, p, b) for (g, p, _), b in zip(items, bins, strict=True)], "g long, p long, shard int"), "bins")
+    by_group = small(where.where("g IS NOT NULL").select(F.col("g").alias("_grp"), F.col("shard").alias("_s1")))
+    by_pool = small(where.where("p IS NOT NULL").select(F.col("p").alias("_pool"), F.col("shard").alias("_s2")))
+
+    def placed(df: DataFrame) -> DataFrame:
+        found = df.withColumn("_pool", pool).join(by_group, "_grp", "left").join(by_pool, "_pool", "left")
+        return found.withColumn("_shard", F.coalesce("_s1", "_s2")).drop("_pool", "_s1", "_s2", "_grp")
+
+    before = W.Window.partitionBy("_shard").orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
     # At most PARTS rows for each shard.
-    starts = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    at = F.row_number().over(W.Window.partitionBy("shard", "part").orderBy("doc_id", "size"))
-    return placed.withColumn("at", at).join(starts, ["shard", "part"]).withColumn("slot", (F.col("start") + F.col("at") - 1).cast("long")).drop("at", "start", "part")
+    starts = placed(narrow).groupBy("_shard", "_part").agg(F.count("*").alias("n")).select("_shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    starts = stored(starts, "starts")
+    forget(narrow, groups)
+    at = F.row_number().over(W.Window.partitionBy("_shard", "_part").orderBy("_id", "_size", "_tie"))
+    return placed(wide).withColumn("_at", at).join(small(starts), ["_shard", "_part"]).select("_row", "_size", "_shard", (F.col("_start") + F.col("_at") - 1).cast("long").alias("_slot"))
+
+
+def text_group(text: str | Column) -> Column:
+    """Names equal texts; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text), F.length(text))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.struct(F.xxhash64(text), F.length(text)).alias("grp"))
-    out = shard(rows, shards=24)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text) + 8).alias("size"), text_group("text").alias("grp"))
+    out = shard(docs, size=F.col("size"), group=F.col("grp"), shards=24)
+    return out.select("_row.doc_id", F.col("_size").alias("size"), "_row.text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

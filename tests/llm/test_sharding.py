@@ -56,18 +56,36 @@ def test_op7(spark, tiny):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def sharded(rows, **how):
+    return sharding.shard(rows, size=F.col("size"), group=F.col("grp"), **how)
+
+
 def test_capacity_and_odd_rows(spark, odd_docs, no_docs):
-    rows = odd_docs.select("doc_id", F.length("text").alias("size"), F.col("text").alias("grp"))
-    out = sharding.shard(rows, capacity=4000).collect()
+    rows = odd_docs.withColumn("size", F.length("text")).withColumn("grp", F.col("text"))
+    for c in ("pool", "at", "start", "_grp", "_tie", "_part", "_shard", "_slot", "_at", "_s1"):
+        rows = rows.withColumn(c, F.lit("mine"))
+    out = sharded(rows, capacity=4000).collect()
     assert len(out) == odd_docs.count()
-    for s in {r.shard for r in out}:
-        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
-    assert sharding.shard(no_docs.select("doc_id", F.col("n_chars").alias("size"), F.col("text").alias("grp")), shards=3).count() == 0
+    assert {tuple(r._row) for r in out} == {tuple(r) for r in rows.collect()}
+    for s in {r._shard for r in out}:
+        assert sorted(r._slot for r in out if r._shard == s) == list(range(sum(r._shard == s for r in out)))
+    assert sharded(no_docs.select("doc_id", F.col("n_chars").alias("size"), F.col("text").alias("grp")), shards=3).count() == 0
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(5).alias("size"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("grp"))
-    got = sharding.shard(hot, shards=2, pools=16).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    got = sharded(hot, shards=2, pools=16).groupBy("_shard").agg(F.sum("_size").alias("n")).collect()
     assert max(r.n for r in got) - min(r.n for r in got) <= 1500
 
 
+def test_many_shards_are_packed_from_a_bounded_number_of_items(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ITEMS", 1000)
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit(5).alias("size"), F.col("id").alias("grp"))
+    seen = []
+    pack = sharding.best_fit_decreasing
+    monkeypatch.setattr(sharding, "best_fit_decreasing", lambda sizes, capacity: seen.append(len(sizes)) or pack(sizes, capacity))
+    loads = [r.n for r in sharded(rows, capacity=1000).groupBy("_shard").agg(F.sum("_size").alias("n")).collect()]
+    assert max(loads) <= 1000
+    assert seen[0] <= 2 * 1000 + 100
+
+
 def test_large_groups_leave_no_shard_empty(spark):
     rng = random.Random(3)
     small = [rng.randrange(1, 1000) for _ in range(12000)]
