@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_batches, forget, small, stored
+from .common import arrow_batches, forget, packed, small, stored, unpacked
 from .components import connected_components
 from .neardup import _roots, close, planes
 from .sketch import LONG, WORDS, digests, distances, longest_partner, parity, parity_radius, simhash, simhash_radius
@@ -437,4 +437,27 @@ def similar_components(docs: DataFrame, k: int = 5, like: float = 0.8) -> DataFr
     proven = stored(proven.union(linked) if linked is not None else proven, "proven")
     forget(links, groups, large)
     found = connected_components(proven.union(copies.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
+    forget(digests_, copies, proven)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, like: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest
+    doc_id, null last. Where ids repeat or are null, rows are numbered first (the
+    numbers are written down with the rows), so that each row is judged by its own
+    text: an unlike row of the same id stays, and a row repeated whole goes. Texts
+    without words are alike only if equal; an empty table gives no rows; columns of
+    any name pass through.
+    """
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        found = similar_components(docs, k, like)
+        gone = stored(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = stored(docs.select(packed(docs.columns), F.monotonically_increasing_id().alias("_n")), "numbered")
+    found = similar_components(rows.select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text")), k, like)
+    members = found.join(rows.select(F.col("_n").alias("doc_id"), F.col("_row.doc_id").alias("own")), "doc_id")
+    members = stored(members.select("doc_id", "component_id", F.struct(F.col("own").isNull().alias("no"), "own", "doc_id").alias("rank")), "members")
+    first = members.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.bitwise_not("component_id").alias("_key"), "least")
+    gone = stored(members.withColumn("_key", F.bitwise_not("component_id")).join(first, "_key").where("rank <> least").select(F.col("doc_id").alias("_n")), "near-copies")
+    forget(members)
+    return rows.join(small(gone), "_n", "left_anti").select(*unpacked(docs.columns))

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -190,3 +191,14 @@ def test_one_id_with_two_texts_has_the_links_of_both(spark):
     rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "p q r s t u v w x y"), (9, "p q r s t u v w x y"), (9, "nothing like the others at all")]
     got = {r.doc_id: r.component_id for r in nearsets.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 5: 1, 9: 1}
+
+
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "nothing like the others at all"), (None, "a b c d e f g"), (7, "twice the same row of words"), (7, "twice the same row of words"), (9, None), (8, ""), (6, "p q r s t u")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _n int, component_id int")
+    kept = nearsets.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, "A b c d e f g"), (3, "nothing like the others at all"), (7, "twice the same row of words"), (8, ""), (6, "p q r s t u")])
+    one = df.where("doc_id IN (5, 6, 8)")
+    assert sorted(r.doc_id for r in nearsets.keep_one(one.union(one.where("doc_id = 5").withColumn("doc_id", F.lit(4)))).collect()) == [4, 6, 8]
+    assert nearsets.keep_one(df.limit(0)).count() == 0
