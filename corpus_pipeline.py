@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.llm import decontaminate, mixing, nearsets, sharding, toxicity
-from quaylight.llm.common import n_words, stored, table
+from quaylight.llm.common import forget, n_words, stored, table, unpacked
 
 #: A document at or above this score goes.
 TOXIC = 0.7
@@ -16,35 +16,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that the multiple-instance model, trained on the labels of
     this stage's own documents, scores as toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, docs.columns).where(F.col("_score") < TOXIC).select(*unpacked(docs.columns))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates (five-word shingles, similarity 0.8) the
-    document with the smallest doc_id; rows without an id stay."""
-    found = nearsets.similar_components(docs, k=5, like=0.8)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    document with the smallest doc_id."""
+    return nearsets.keep_one(docs, k=5, like=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that sources come to their target weights;
-    a document taken twice is two rows."""
-    mixed = mixing.mix(docs.withColumn("size", n_words("text")), weights=(5, 2, 1), share=1.5, most=2.0)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Repeats and drops documents so that sources come to their target weights, better
+    texts first; a document taken twice is two rows."""
+    mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, size=n_words("text"), quality=mixing.text_quality("text"))
+    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unpacked(docs.columns))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot: 24 shards of near equal bytes, equal texts together."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("size", (F.octet_length(text) + 8).cast("long")).withColumn("grp", F.struct(F.xxhash64(text), F.length(text)))
-    return sharding.shard(rows, shards=24).select(*docs.columns, "shard", "slot")
+    """Adds shard and slot, in place of columns of these names: 24 shards of near equal
+    bytes, equal texts together."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 8
+    out = sharding.shard(docs, size=size, group=sharding.text_group("text"), shards=24)
+    return out.select(*unpacked([c for c in docs.columns if c.lower() not in ("shard", "slot")]), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 STAGES = [
@@ -61,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else stored(out, name.replace(" ", "-"))
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
