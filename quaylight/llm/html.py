@@ -19,14 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, stored, table
+from .common import SMALL, arrow_batches, stored, table
 
 #: A subtree is template on a host if it is on so many pages and so large a share.
 #: By the share a host has a bounded number of template subtrees.
 LEAST_PAGES = 5
 SHARE = 0.3
-#: Most template subtrees that are sent to all executors; above it hosts are joined.
-SMALL = 200_000
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +39,9 @@ SCOPE = frozenset("table ul ol dl article section main div body html".split())
 NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Of these, names that parts of a story bear too: within an article they count only where
+# most of the text is links.
+WEAK = frozenset("banner dialog header menu modal related respond search social toolbar widget widgets".split())
 # Cells of a table recur by their values; only whole rows and tables are template.
 CELLS = frozenset("td th".split())
 # What holds running text: an inline element in it is part of a sentence.
@@ -56,22 +57,27 @@ _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(20_000)
-def _attributes(attrs: str) -> tuple[str, bool, bool]:
-    """(class and id, whether they name boilerplate, whether it is hidden)"""
+def _attributes(attrs: str) -> tuple[str, int, bool]:
+    """(class and id, 2 if they name boilerplate, 1 if by weak names only, whether it is
+    hidden)"""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _named.finditer(attrs)}
     own = f"{got.get('class', '')} {got.get('id', '')}"
     parts = {p.lower() for p in _part.findall(f"{own} {got.get('role', '')}")}
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.sub(r"\s", "", got.get("style", "")).lower().find("display:none") >= 0
-    return own.strip(), bool(parts & NAMES), hidden
+    return own.strip(), 2 if parts & (NAMES - WEAK) else int(bool(parts & WEAK)), hidden
 
 
 class Page:
-    """Elements of a page in order: tag, attributes, parent, subtree hash, whether text
-    stands directly in it, whether it holds or is within an article, and the events (element opened, None for closed, or text) they came in."""
+    """Elements of a page in order: tag, attributes, parent, subtree hash, characters of
+    text and of linked text, whether text stands directly in it, whether it holds or is
+    within an article, and the events (element opened, None for closed, or text) they
+    came in."""
 
     def __init__(self, source: str):
         self.tags, self.attrs, self.parents, self.hashes, self.main, self.inside, self.prose = [], [], [], [], [], [], []
         self.events: list[int | str | None] = []
+        self.chars: list[int] = []
+        self.linked: list[int] = []
         self._stack: list[int] = []
         self._parts: list[list[str]] = []
         at = 0
@@ -95,6 +101,7 @@ class Page:
         self.events.append(text)
         if self._stack and (own := " ".join(text.split())):
             self._parts[-1].append(own)
+            self.chars[self._stack[-1]] += len(own)
             self.prose[self._stack[-1]] = True
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -110,6 +117,8 @@ class Page:
         self.hashes.append(0)
         self.main.append(False)
         self.prose.append(False)
+        self.chars.append(0)
+        self.linked.append(0)
         p = self.parents[i]
         self.inside.append(p >= 0 and (self.inside[p] or self.tags[p] in ("article", "main")))
         if tag in ("article", "main"):
@@ -126,8 +135,13 @@ class Page:
         i, parts = self._stack.pop(), self._parts.pop()
         self.events.append(None)
         own = self.hashes[i] = xxhash.xxh64_intdigest("\x00".join((self.tags[i], _attributes(self.attrs[i])[0], *parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
+        if self.tags[i] == "a":
+            self.linked[i] = self.chars[i]
         if self._parts:
             self._parts[-1].append(str(own))
+            up = self._stack[-1]
+            self.chars[up] += self.chars[i]
+            self.linked[up] += self.linked[i]
 
     def _until(self, names, stop) -> bool:
         """Closes the nearest open element of these names, if none of ``stop`` is
@@ -180,12 +194,14 @@ class Page:
             return True
         if tag in HEADINGS and self.inside[i]:
             return False
-        _, named, hidden = _attributes(self.attrs[i]) if self.attrs[i] else ("", False, False)
+        _, named, hidden = _attributes(self.attrs[i]) if self.attrs[i] else ("", 0, False)
+        if named == 1 and self.inside[i] and 2 * self.linked[i] <= self.chars[i]:
+            named = 0
         if tag == "header" and self.inside[i]:
             return hidden
         if tag in ("article", "main"):
-            return hidden or named and tag == "article"
-        return tag in DROP or named or hidden
+            return hidden or bool(named) and tag == "article"
+        return tag in DROP or bool(named) or hidden
 
     def _survivors(self, recurring) -> tuple[set[str], bool]:
         """Names (article, main) of the elements that are left, and whether the articles
@@ -194,7 +210,7 @@ class Page:
         gone, doubt, under, left, outer = [False] * n, [False] * n, [False] * n, set(), []
         for i, (tag, p) in enumerate(zip(self.tags, self.parents, strict=True)):
             gone[i] = p >= 0 and gone[p] or self._dropped(i, recurring)
-            doubt[i] = p >= 0 and doubt[p] or tag not in ("html", "body", "article", "main") and bool(self.attrs[i]) and _attributes(self.attrs[i])[1]
+            doubt[i] = p >= 0 and doubt[p] or tag not in ("html", "body", "article", "main") and bool(self.attrs[i]) and _attributes(self.attrs[i])[1] > 0
             under[i] = p >= 0 and (under[p] or self.tags[p] == "article" and not gone[p])
             if tag in ("article", "main") and not gone[i]:
                 left.add(tag)
@@ -298,6 +314,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     found = found.where("hash IS NOT NULL").join(n, ["host", "within"]).where(F.col("n") >= F.col("pages") * share)
     known = stored(found.groupBy("host").agg(F.collect_list("hash").alias("recurring"), F.count("*").alias("n")), "templates")
     lists = known.select("host", "recurring")
+    # Hashes are counted, not hosts: a list is as long as its host has templates.
     if (known.agg(F.sum("n")).first()[0] or 0) <= SMALL:
         lists = F.broadcast(lists)
     return own.join(lists, "host", "left").select("page_id", "url", "html", "recurring").mapInArrow(_texts, "page_id long, url string, text string")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quaylight.llm import html as H
@@ -75,3 +77,38 @@ def test_boxes_that_recur_within_articles_are_deleted(spark):
 )
 def test_text_of_a_story_beside_articles(source, want):
     assert H.Page(source).text() == want
+
+
+def by_plain_counts(pages, least, share):
+    """Template subtrees of each host, counted in dictionaries."""
+    seen, whole = {}, {}
+    for url, source in pages:
+        page, at = H.Page(source), url.split("/")[2].removeprefix("www.")
+        kinds = (source, " ".join(map(str, page.articles())))
+        for within, own in enumerate(page.templates()):
+            if within and not kinds[1]:
+                continue
+            whole.setdefault((at, within), set()).add(kinds[within])
+            for x in own:
+                seen.setdefault((at, within, x), set()).add(kinds[within])
+    out = {}
+    for (at, within, x), own in seen.items():
+        if len(own) >= max(least, share * len(whole[at, within])):
+            out.setdefault(at, set()).add(x)
+    return out
+
+
+def test_counts_against_plain_ones(spark):
+    rng = random.Random(4)
+    boxes = [f"<div class='b{i}'><p>box {i}</p><span>of a <b>site</b></span></div>" for i in range(12)]
+    rows = []
+    for i in range(120):
+        own = "".join(b for j, b in enumerate(boxes) if rng.random() < j / 12)
+        story = f"<p>story {i % 100} of {rng.choice(['old', 'new'])} days</p>"
+        body = f"<div class='top'>{own}</div><article><h1>T{i}</h1>{story}{own}</article>" if i % 2 else f"{own}<div>{story}</div>"
+        rows.append((i, f"http://www.h{i % 3}.org/{i}", f"<body>{body}</body>"))
+    found = by_plain_counts([r[1:] for r in rows], H.LEAST_PAGES, H.SHARE)
+    want = {i: H.Page(s).text(frozenset(found.get(u.split("/")[2].removeprefix("www."), ()))) for i, u, s in rows}
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert sum(want[i] != H.Page(s).text() for i, _, s in rows) == len(rows)
