@@ -80,6 +80,32 @@ def within(queries: DataFrame, fps: DataFrame, radius: int = 3, agree: int = 2)
     return queries.select("query", F.col("fp").alias("qf")).join(pairs, "qf").join(fps.select("id", "fp"), "fp").select("query", "id", distance("qf", "fp").cast("int").alias("distance"))
 
 
+def class_links(docs: DataFrame, queries: Column, radius: int = 3, agree: int = 2) -> DataFrame:
+    """(query_class, class, n_queries, n_rows, distance) for each two fingerprints in the
+    radius of which the first is of a row that ``queries`` admits: a class is the rows of
+    ``docs`` (doc_id, text) with one fingerprint, named by its smallest doc_id (null only
+    where it has no other); n_queries and n_rows are the rows of either side. Copies are
+    not expanded into pairs. Texts without words have fingerprint 0, null ids are not
+    queries, an empty table gives no rows."""
+    numbered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Equal texts have equal fingerprints, so each different text is fingerprinted once.
+    texts = numbered.select(F.md5("text").alias("m"), "text", "doc_id", queries.alias("asked"))
+    own = texts.groupBy("m").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.count_if("asked").alias("asked"))
+    fps = fingerprints(texts.select("m", "text").dropDuplicates(["m"]), ["m"])
+    known = own.join(fps, "m", "left").na.fill(0, ["fp"])
+    classes = stored(known.groupBy("fp").agg(F.min("least").alias("id"), F.sum("rows").alias("n_rows"), F.sum("asked").alias("n_queries")), "classes")
+    asked = classes.where("n_queries > 0")
+    found = within(asked.select(F.col("fp").alias("query"), "fp"), classes.select(F.col("fp").alias("id"), "fp"), radius, agree)
+    left = asked.select(F.col("fp").alias("query"), F.col("id").alias("query_class"), "n_queries")
+    right = classes.select("fp", F.col("id").alias("class"), "n_rows")
+    return found.withColumnRenamed("id", "fp").join(left, "query").join(right, "fp").select("query_class", "class", "n_queries", "n_rows", "distance")
+
+
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints within three bits of those of the rows whose id 20 divides."""
+    return class_links(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def with_neighbours(narrow: DataFrame, parts: int) -> DataFrame:
     """Adds next_* and prev_* (kid, h, n) in the order of kid descending, h; the
     last row's next is the first. Rows are dealt by range and chained there, and
@@ -115,8 +141,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     narrow = rows.groupBy("kid", "h").agg(F.count("*").alias("m"), F.first(F.char_length("text")).cast("long").alias("n"))
     links = stored(with_neighbours(narrow, parts), "links")
     links = links.select("kid", "h", "m", "n", F.col("next.kid").alias("next_kid"), F.col("next.h").alias("next_h"), F.col("prev.kid").alias("prev_kid"), F.col("prev.h").alias("prev_h"), F.floor(F.col("prev.n") / 3).cast("int").alias("lends"))
-    # Shuffle hash joins keep texts from being sorted.
-    both = rows.join(links.hint("shuffle_hash"), ["kid", "h"])
+    both = rows.join(links, ["kid", "h"])
     at = F.row_number().over(W.Window.partitionBy("kid", "h").orderBy(F.lit(1)))
     own = both.withColumn("idx", at)
     heads = own.where("idx = 1").select(F.col("prev_kid").alias("kid"), F.col("prev_h").alias("h"), F.substring("text", F.lit(1), F.col("lends")).alias("head"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import op5
 from .decontaminate import op9
-from .fingerprints import op2
+from .fingerprints import op2, search
 from .html import op3
 from .mixing import op10
 from .neardup import op1
@@ -16,6 +16,7 @@ from .warc import op4
 QUERIES = {
     "op1_simhash_neardup": op1,
     "op2_fingerprints": op2,
+    "fingerprint_search": search,
     "op3_html_text": op3,
     "op4_warc": op4,
     "op5_chat": op5,

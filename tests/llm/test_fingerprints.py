@@ -49,3 +49,43 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[6].n_chars == 8000
     assert P.edited_likeness(no_docs).count() == 0
     assert P.edited_likeness(odd_docs.where("doc_id = 6")).first().near_next == 1.0
+
+
+def plain_fingerprint(spark, text):
+    """Votes of weighted word pairs, counted in Python."""
+    words = text.split()
+    pairs = [*zip(words, words[1:], strict=False), *([(words[-1], None)] if words else [])]
+    if not pairs:
+        return 0
+    h = spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a", "b").alias("h"), F.length("a").alias("w")).collect()
+    return sum(1 << k for k in range(64) if sum(r.w if r.h >> k & 1 else -r.w for r in h) > 0)
+
+
+def test_edited_fingerprints_against_plain_votes(spark, tmp_path):
+    texts = ["the first text of a few words", None, "a second one, somewhat longer than the first text", "x", "the first text of a few words", "last one é ü ß"]
+    spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in P.op2(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        own, other, after = (plain_fingerprint(spark, x) for x in (t, edited, nxt))
+        assert (rows[i * 3].fingerprint, rows[i * 3].edited_fingerprint) == (f"{own:016x}", f"{other:016x}")
+        assert rows[i * 3].near_edited == 1 - (own ^ other).bit_count() / 64
+        assert rows[i * 3].near_next == 1 - (own ^ after).bit_count() / 64
+
+
+def test_search_against_brute_force(spark, tiny):
+    docs = table(spark, tiny, "documents")
+    rows = [(r.doc_id, int(r.fingerprint, 16)) for r in P.op2(spark, tiny).select("doc_id", "fingerprint").collect()]
+    by = {}
+    for d, f in rows:
+        by.setdefault(f, []).append(d)
+    want = {
+        (min(a), min(b), sum(d % 20 == 0 for d in a), len(b), (f ^ g).bit_count())
+        for f, a in by.items() for g, b in by.items() if any(d % 20 == 0 for d in a) and (f ^ g).bit_count() <= 3
+    }
+    got = [tuple(r) for r in P.search(spark, tiny).collect()]
+    assert sorted(got) == sorted(want)
+    assert P.class_links(docs.limit(0), F.lit(True)).count() == 0
