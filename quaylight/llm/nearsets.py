@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -106,11 +106,11 @@ def _meetings(k: int, like: float, frequent: Frequent, batches: Iterator[pa.Reco
 
 def _alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, like: float) -> np.ndarray:
     """Which pairs may be as similar as asked, by sizes and fingerprints. Rows of one
-    key are all parities or all SimHashes: a pair of two long sets that meets by
-    parities is judged by them too."""
+    key are all parities or all SimHashes; two long sets that meet by parities are
+    within the radius of either."""
     a, b = n[i], n[j]
     ok = np.minimum(a, b) >= like * np.maximum(a, b) - 1e-9
-    return ok & (distances(fp[i], fp[j]) <= np.maximum(parity_radius(a + b, like), np.where(np.minimum(a, b) >= LONG, simhash_radius(like), 0)))
+    return ok & (distances(fp[i], fp[j]) <= np.where(np.minimum(a, b) >= LONG, simhash_radius(like), parity_radius(a + b, like)))
 
 
 def _near(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, like: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _near(fp: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, li
     if not len(left) or not len(right):
         return ii[0], jj[0]
     index = np.concatenate([planes(np.ascontiguousarray(fp[right, w])) for w in range(WORDS)])
-    both = int(n[left].max() + n[right].max())
+    both = min(int(n[left].max() + n[right].max()), LONG + longest_partner(LONG, like))
     radius = max(int(parity_radius(both, like)), simhash_radius(like) if min(n[left].max(), n[right].max()) >= LONG else 0)
     for at in range(0, len(left), 128):
         own = left[at : at + 128]
@@ -343,30 +343,38 @@ def _labelled(rows: DataFrame, sizes: DataFrame, kind: type, like: float) -> Dat
     return stored(both.mapInArrow(partial(_labels, kind, like), kinds + ", label long"), "labelled")
 
 
+def size_class(n: Column, like: float) -> Column:
+    """Number of the class of a set of n: sets whose sizes allow the similarity are in
+    one class or in neighbouring ones. Classes are a little wider than that needs, so
+    that rounding parts none."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(1.0001 * math.log(1 / like))).cast("int")
+
+
 def _dealt(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` (key, doc_id, label ...) with ``tile`` and ``side``, once for each tile a
-    row is in: groups by key and label are cut into chunks of about ``most``, and a
-    tile is a pair of chunks that are not of one label. A group whose rows share a
-    label is in no tile; the tiles grow with the pairs still in question."""
-    sizes = rows.groupBy("key", "label").agg(F.ceil(F.count("*") / most).cast("int").alias("k"))
-    sizes = stored(sizes, "sizes")
-    order = W.Window.partitionBy("key").orderBy("label", "c")
-    chunks = sizes.select("key", "label", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    chunks = stored(chunks.withColumn("i", F.row_number().over(order)).withColumn("all", F.count("*").over(W.Window.partitionBy("key"))), "chunks")
-    a, b = chunks.select("key", F.col("label").alias("la"), F.col("i").alias("a"), "all"), chunks.select("key", F.col("label").alias("lb"), F.col("i").alias("b"))
-    pairs = a.join(b, "key").where("a <= b AND NOT coalesce(la = lb, false)")
-    tile = (F.col("a").cast("long") * (F.col("all") + 1) + F.col("b")).alias("tile")
-    pairs = pairs.select("key", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("i"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("i"), F.lit(0).alias("side")), F.struct(F.col("b").alias("i"), F.lit(1).alias("side"))))).alias("x"), tile)
-    pairs = stored(pairs.select("key", "x.i", "x.side", "tile"), "tiles")
+    """``rows`` (key, doc_id, label, class ...) with ``tile`` and ``side``, once for each
+    tile a row is in: groups by key, label and size class are cut into chunks of about
+    ``most``, and a tile is a pair of chunks of the same or neighbouring classes that are
+    not of one label. A group whose rows share a label is in no tile; the tiles grow with
+    the pairs still in question."""
+    group = ["key", "class", "_l", "_n"]
     keyed = rows.withColumn("_l", F.coalesce(F.col("label"), F.lit(0))).withColumn("_n", F.col("label").isNull())
-    named = chunks.select("key", F.coalesce("label", F.lit(0)).alias("_l"), F.col("label").isNull().alias("_n"), "c", "i")
-    counts = sizes.select("key", F.coalesce("label", F.lit(0)).alias("_l"), F.col("label").isNull().alias("_n"), "k")
-    placed = keyed.join(small(counts), ["key", "_l", "_n"]).withColumn("c", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("k")).cast("int"))
-    placed = placed.join(small(named), ["key", "_l", "_n", "c"]).drop("_l", "_n", "c", "k")
-    return placed.join(small(pairs), ["key", "i"]).drop("i")
+    sizes = stored(keyed.groupBy(*group).agg(F.ceil(F.count("*") / most).cast("int").alias("k")), "sizes")
+    chunks = sizes.select(*group, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    chunks = chunks.withColumn("i", F.row_number().over(W.Window.partitionBy("key").orderBy("class", "_n", "_l", "c")))
+    chunks = stored(chunks.withColumn("all", F.count("*").over(W.Window.partitionBy("key"))), "chunks")
+    # By class, so that chunks of one class and the next meet.
+    a = chunks.select("key", F.col("i").alias("a"), "all", "_l", "_n", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("class").alias("own"))
+    b = chunks.select("key", F.col("i").alias("b"), F.col("_l").alias("l"), F.col("_n").alias("n"), "class")
+    pairs = a.join(b, ["key", "class"]).where("(own < class OR a <= b) AND (_n OR n OR _l <> l)")
+    side = lambda i, x: F.struct(F.col(i).alias("i"), F.lit(x).alias("side"))
+    both = F.when(F.col("a") == F.col("b"), F.array(side("a", 0))).otherwise(F.array(side("a", 0), side("b", 1)))
+    pairs = pairs.select("key", F.explode(both).alias("x"), (F.col("a").cast("long") * (F.col("all") + 1) + F.col("b")).alias("tile"))
+    pairs = stored(pairs.select("key", "x.i", "x.side", "tile"), "tiles")
+    placed = keyed.join(small(sizes), group).withColumn("c", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("k")).cast("int"))
+    return placed.join(small(chunks.drop("all")), [*group, "c"]).drop("_l", "_n", "class", "c", "k").join(small(pairs), ["key", "i"]).drop("i")
 
 
-def _compared(rows: Callable[[DataFrame | None, str], DataFrame], sizes: DataFrame, most: int, kind: type, like: float) -> tuple[DataFrame, DataFrame | None]:
+def _compared(rows: Callable[[DataFrame | None, str], DataFrame], sizes: DataFrame, most: int, kind: type, n: Column, like: float) -> tuple[DataFrame, DataFrame | None]:
     """(rows with tile, side and label; edges that labels stand for). ``rows`` gives the
     rows whose key is in a table (left_semi) or is not (left_anti); ``sizes`` are the
     large groups (key, size), above which a group isn't one tile."""
@@ -378,8 +386,9 @@ def _compared(rows: Callable[[DataFrame | None, str], DataFrame], sizes: DataFra
         return whole(rows(None, "")), None
     hot = _labelled(rows(small(sizes.select("key")), "left_semi"), sizes, kind, like)
     rest = whole(rows(small(sizes.select("key")), "left_anti"))
+    hot_tiles = _dealt(hot.withColumn("class", size_class(n, like)), most)
     linked = hot.where("label IS NOT NULL AND label <> doc_id").select(F.col("doc_id").alias("u"), F.col("label").alias("v")).distinct()
-    return rest.unionByName(_dealt(hot, most)), linked
+    return rest.unionByName(hot_tiles), linked
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -420,7 +429,7 @@ def similar_components(docs: DataFrame, k: int = 5, like: float = 0.8) -> DataFr
     met = stored(rest.mapInArrow(partial(_meetings, k, like, frequent_shingles(own, k)), "key long, " + ", ".join(f"f{i} long" for i in range(WORDS)) + ", n int, doc_id long"), "meetings")
     often = met.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("size")).where(F.col("size") > CHUNK)
     often = stored(often, "often")
-    rows, linked = _compared(lambda keys, how: met if keys is None else met.join(keys, "key", how), often, CHUNK, _KeyPivots, like)
+    rows, linked = _compared(lambda keys, how: met if keys is None else met.join(keys, "key", how), often, CHUNK, _KeyPivots, F.col("n"), like)
     dealt = _sorted(rows.select("key", "tile", "side", "n", "doc_id", *(f"f{i}" for i in range(WORDS))))
     links = dealt.mapInArrow(partial(_candidates, like), "u long, v long")
     links = stored((links.union(linked) if linked is not None else links).distinct(), "candidates")
@@ -432,7 +441,7 @@ def similar_components(docs: DataFrame, k: int = 5, like: float = 0.8) -> DataFr
         members = groups if keys is None else groups.join(keys, "key", how)
         return rest.join(small(members), "doc_id").select("doc_id", "data", "key").mapInArrow(partial(_sketched, k), "doc_id long, shingles binary, fp binary, key long")
 
-    rows, linked = _compared(sets, large, TILE, _SetPivots, like)
+    rows, linked = _compared(sets, large, TILE, _SetPivots, F.octet_length("shingles") / 8, like)
     proven = _sorted(rows.select("key", "tile", "side", "label", "doc_id", "shingles", "fp")).mapInArrow(partial(_exact, like), "u long, v long")
     proven = stored(proven.union(linked) if linked is not None else proven, "proven")
     forget(links, groups, large)

@@ -131,7 +131,7 @@ def test_large_groups_lose_nothing_and_are_not_compared_twice(spark, monkeypatch
     docs |= {200 + i: f"{common} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(20))}" for i in range(40)}
     similar(spark, docs)
     # A group whose rows share a label is in no tile.
-    one = spark.createDataFrame([(1, i, 7) for i in range(100)] + [(2, i, None) for i in range(100)], "key long, doc_id long, label long")
+    one = spark.createDataFrame([(1, i, 7) for i in range(100)] + [(2, i, None) for i in range(100)], "key long, doc_id long, label long").withColumn("class", F.lit(3))
     assert {r.key for r in nearsets._dealt(one, 8).select("key").distinct().collect()} == {2}
 
 
