@@ -98,7 +98,7 @@ def test_ranges_are_even_whatever_the_qualities(spark):
 
 
 def test_quality_of_texts(spark):
-    texts = ["prose of quite usual words that run on and on for a while until there are enough of them to count as a text here", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2", "", None]
+    texts = ["prose of quite usual words that run on and on for a while until there are enough of them to count as a text here.", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2", "", None]
     got = [r.q for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(mixing.text_quality("text").alias("q")).collect()]
     assert got[0] > 0.9
     assert got[1] < 0.2
