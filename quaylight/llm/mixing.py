@@ -8,12 +8,16 @@ order while the running sum of words stays nearest the budget.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import forget, n_words, packed, small, stored, table, unpacked
 
+#: What is made of the measure of a row.
+Measured = Callable[[Column], Column]
 #: Ranges of the sampling key for each doubling of it. Whatever the qualities, no
 #: range is expected to hold over ln 2 / e / STEPS, 0.05 %, of a source's rows.
 STEPS = 512
@@ -44,20 +48,23 @@ def unit(*cols: str | Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11) + F.lit(0.5)) / F.lit(float(2**53))
 
 
-def text_quality(text: str | Column) -> Column:
-    """A weight from 0.05 to 1 of how much a text looks like prose, halved for each of:
-    under 20 words, a mean word length outside 2 to 12, under 4 words a line, and under 3
-    or over 80 words a full stop; a quarter less for each tenth of its bytes that are
-    digits. Null and empty texts have 0.05. Counts are of bytes taken out, which is
-    cheaper than patterns. Labels take no part."""
+def text_counts(text: str | Column) -> Column:
+    """Words, characters, lines and full stops of a text; 0 for null. The last two are
+    bytes taken out, which is cheaper than patterns."""
     text = F.coalesce(text, F.lit(""))
-    words = n_words(text)
     count = lambda c: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+    return F.struct(n_words(text).alias("words"), F.char_length(text).alias("chars"), (count("\n") + 1).alias("lines"), count(".").alias("stops"))
+
+
+def prose_weight(m: Column) -> Column:
+    """A weight from 0.05 to 1 of how much a text of ``text_counts`` looks like prose,
+    halved for each of: under 20 words, a mean word length outside 2 to 12, under 4 words
+    a line, and under 3 or over 80 words a full stop. Null and empty texts have 0.05.
+    Labels take no part."""
     half = lambda ok: F.when(ok, 1.0).otherwise(0.5)
-    stops, digits = count("."), sum((count(str(d)) for d in range(1, 10)), count("0"))
-    usual = half(words >= 20) * half(((F.char_length(text) - words) / words).between(2, 12)) * half(words >= 4 * count("\n"))
-    usual = usual * half((words >= 3 * stops) & (words <= 80 * (stops + 1)))
-    return F.when(words == 0, F.lit(0.05)).otherwise(F.greatest(F.lit(0.05), usual * (1 - 2.5 * digits / F.octet_length(text))))
+    usual = half(m["words"] >= 20) * half(((m["chars"] - m["words"]) / m["words"]).between(2, 12)) * half(m["words"] >= 4 * m["lines"])
+    usual *= half((m["words"] >= 3 * m["stops"]) & (m["words"] <= 80 * (m["stops"] + 1)))
+    return F.when(m["words"] == 0, F.lit(0.05)).otherwise(usual)
 
 
 def key_range(key: str | Column) -> Column:
@@ -65,10 +72,11 @@ def key_range(key: str | Column) -> Column:
     return F.floor(F.log2(key) * STEPS).cast("int")
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, size: Column, quality: Column, seed: int = 1) -> DataFrame:
+def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, measure: Column, size: Measured, quality: Measured, seed: int = 1) -> DataFrame:
     """``_row``, ``_size``, ``_source_size``, ``_target`` and ``_copies`` of every row of
     ``rows`` (doc_id, source and any others): its columns in one struct, and how often
-    the mix takes the row. ``size`` and ``quality`` are expressions over its columns.
+    the mix takes the row. ``measure`` is an expression over its columns that is worked
+    out once a row, ``size`` and ``quality`` are made of it.
 
     A source with target T and size S takes every row floor(T / S) times, then the
     rows with the least keys -ln(u) / quality, one by one, for the remainder: a row
@@ -83,11 +91,12 @@ def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float,
     repeated whole the bound may take some; an empty table gives no rows; columns of
     any name pass through.
     """
-    n = F.greatest(F.coalesce(size, F.lit(0)).cast("long"), F.lit(0).cast("long"))
-    q = F.greatest(F.coalesce(quality.cast("double"), F.lit(1e-6)), F.lit(1e-6))
+    n = F.greatest(F.coalesce(size(F.col("_m")), F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    q = F.greatest(F.coalesce(quality(F.col("_m")).cast("double"), F.lit(1e-6)), F.lit(1e-6))
     source = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_source")
     tie = F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t))
-    wide = rows.select(packed(rows.columns), source, n.alias("_size"), q.alias("_q"), F.col("doc_id").alias("_id"), tie.alias("_tie"))
+    wide = rows.select(packed(rows.columns), source, measure.alias("_m"), F.col("doc_id").alias("_id"), tie.alias("_tie"))
+    wide = wide.select("_row", "_source", n.alias("_size"), q.alias("_q"), "_id", "_tie")
     u = unit("_id", F.when(F.col("_id").isNull(), F.col("_tie")), F.lit(seed))
     wide = wide.withColumn("_key", -F.log(u) / F.col("_q")).drop("_q", "_id").withColumn("_range", key_range("_key"))
     keyed = stored(wide.select("_source", "_size", "_key", "_tie", "_range"), "keys")
@@ -128,5 +137,5 @@ def mix(rows: DataFrame, weights: tuple[float, ...], share: float, most: float,
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, size=n_words("text"), quality=text_quality("text"))
+    out = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, measure=text_counts("text"), size=lambda m: m["words"], quality=prose_weight)
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

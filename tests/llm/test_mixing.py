@@ -47,7 +47,7 @@ def test_op10(spark, tiny):
 
 
 def mixed(rows, weights, share, most, quality=None):
-    out = mixing.mix(rows, weights, share, most, size=F.col("size"), quality=F.lit(1.0) if quality is None else quality)
+    out = mixing.mix(rows, weights, share, most, measure=F.struct("size", (F.lit(1.0) if quality is None else quality).alias("q")), size=lambda m: m["size"], quality=lambda m: m["q"])
     return out.select("_row.*", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"))
 
 
@@ -98,8 +98,8 @@ def test_ranges_are_even_whatever_the_qualities(spark):
 
 
 def test_quality_of_texts(spark):
-    texts = ["prose of quite usual words that run on and on for a while until there are enough of them to count as a text here.", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2", "", None]
-    got = [r.q for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(mixing.text_quality("text").alias("q")).collect()]
+    texts = ["prose of quite usual words that run on and on for a while until there are enough of them to count as a text here.", "1.\n2.\n3.\n4.\n5.\n6.\n7.\n8.\n9.\n0", "", None]
+    got = [r.q for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(mixing.prose_weight(mixing.text_counts("text")).alias("q")).collect()]
     assert got[0] > 0.9
     assert got[1] < 0.2
     assert got[2:] == [0.05, 0.05]
@@ -109,8 +109,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.withColumn("size", mixing.n_words("text"))
     for c in ("copies", "target", "_size", "_key", "_range", "_bound", "_left", "_epochs"):
         rows = rows.withColumn(c, F.lit("mine"))
-    out = mixing.mix(rows, (5, 2, 1), 1.5, 2.0, size=F.col("size"), quality=F.lit(None)).collect()
+    out = mixing.mix(rows, (5, 2, 1), 1.5, 2.0, measure=F.col("size"), size=lambda m: m, quality=lambda m: F.lit(None)).collect()
     assert len(out) == odd_docs.count()
     assert all(r._copies <= 2 and r._row.copies == r._row._key == "mine" for r in out)
     assert {r._source_size for r in out if r._row.source is None} == {5}
-    assert mixing.mix(no_docs, (1,), 1.0, 1.0, size=F.lit(1), quality=F.lit(1.0)).count() == 0
+    assert mixing.mix(no_docs, (1,), 1.0, 1.0, measure=F.lit(1), size=lambda m: m, quality=lambda m: F.lit(1.0)).count() == 0
