@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.llm import decontaminate, mixing, nearsets, sharding, toxicity
-from quaylight.llm.common import forget, n_words, stored, table, unpacked
+from quaylight.llm.common import forget, stored, table, unpacked
 
 #: A document at or above this score goes.
 TOXIC = 0.7
@@ -33,7 +33,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that sources come to their target weights, better
     texts first; a document taken twice is two rows."""
-    mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, size=n_words("text"), quality=mixing.text_quality("text"))
+    mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, measure=mixing.text_counts("text"), size=lambda m: m["words"], quality=mixing.prose_weight)
     return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unpacked(docs.columns))
 
 
