@@ -24,8 +24,7 @@ def tokens(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """STR8: tokens of two letters or more that aren't stop words."""
-    stop = F.array(*map(F.lit, STOP))
-    return F.filter(tokens(c), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(tokens(c), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
 
 
 def ngrams(c: Column, n: int = 2) -> Column:

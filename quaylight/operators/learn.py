@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -13,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import shared_folder
+
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where the cluster has named none (on one machine)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaylight-"))
+    """Sets the session's checkpoint folder where only its setting names one."""
+    found = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
 
 
 def svd(df: DataFrame, key: str, array: str, k: int) -> DataFrame:

@@ -102,9 +102,17 @@ def merge_by_type(df: DataFrame, key: str, sep: str = ", ") -> DataFrame:
     return df.groupBy(key).agg(*out)
 
 
-def blocked_pairs(queries: DataFrame, rows: DataFrame, by: str, blocks: int = 8) -> DataFrame:
-    """A stated query set against all rows, in blocks: queries are dealt to blocks by
-    their key, rows meet each block by an equi-join that can be dealt anew."""
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int"))
-    r = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return q.join(r, "_block").drop("_block")
+def blocked_pairs(queries: DataFrame, rows: DataFrame, by: str, of: str, each: int = 4096) -> DataFrame:
+    """A stated query set against all rows. Up to ``each`` queries are sent to the rows,
+    which are neither copied nor shuffled; more are cut into blocks of that size, and a
+    task has one block and one part of the rows: there are as many parts as leave every
+    shuffle partition a pair of them, however many rows there are."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // each))
+    if blocks == 1:
+        one = F.lit(0).alias("_block")
+        return rows.select("*", one).join(F.broadcast(queries.select("*", one)), "_block").drop("_block")
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = rows.withColumn("_part", F.pmod(F.xxhash64(of, F.lit(3)), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return q.join(r, ["_block", "_part"]).drop("_block", "_part")

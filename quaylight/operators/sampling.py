@@ -47,6 +47,17 @@ def negatives(bases: DataFrame, base: str, pool: DataFrame, row_id: str, size: i
     return draws.join(pool, row_id)
 
 
+def negatives_within(bases: DataFrame, base: str, pool: DataFrame, member: str, group: str, k: int, seed: int = 0) -> DataFrame:
+    """JN11, ARR2: as ``negatives``, from the members of the base's group in their order.
+    A group of the pool is numbered as a whole: it is a list of ids."""
+    own = W.Window.partitionBy(group)
+    numbered = pool.select(member, group).withColumn("_i", F.row_number().over(own.orderBy(member)) - 1).withColumn("_n", F.count("*").over(own))
+    sizes = numbered.groupBy(group).agg(F.max("_n").alias("_n"))
+    draws = bases.select(base, group).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(sizes, group)
+    draws = draws.withColumn("_i", arithmetic_hash(F.col(base) * 131 + F.col("draw"), seed) % F.col("_n")).drop("_n")
+    return draws.join(numbered.drop("_n"), [group, "_i"]).drop("_i")
+
+
 def some(df: DataFrame, n: int, seed: int) -> DataFrame:
     """SMP3: n random rows without replacement, all if there are fewer."""
     return df.orderBy(F.rand(seed)).limit(n)

@@ -23,10 +23,10 @@ def yoy(df: DataFrame, keys: list[str], year: str = "year", val: str = "val") ->
 
 
 def level_delta(df: DataFrame, keys: list[str], cap: float, year: str = "year", val: str = "val") -> DataFrame:
-    """WIN14: the capped level and the capped change to the next year."""
+    """WIN14: the capped level and the capped change to the next year; null for the last."""
     clip = lambda c: F.greatest(F.lit(-cap), F.least(F.lit(cap), c))
     nxt = F.lead(val).over(W.Window.partitionBy(*keys).orderBy(year))
-    return df.withColumn("level", clip(F.col(val))).withColumn("delta", clip(nxt - F.col(val)))
+    return df.withColumn("level", clip(F.col(val))).withColumn("delta", F.when(nxt.isNotNull(), clip(nxt - F.col(val))))
 
 
 def common_years(df: DataFrame, entity: str, item: str, least_items: int, k: int = 3, which: str = "earliest") -> DataFrame:

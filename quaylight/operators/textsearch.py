@@ -10,9 +10,9 @@ from ..functions import text as X
 from .relational import top_k
 
 
-def postings(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """AGG18, TXT1, ARR6: (doc, term, tf)."""
-    return df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+def postings(df: DataFrame, doc: str, tokens: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """AGG18, TXT1, ARR6: (doc, term, tf), with further columns of the document."""
+    return df.select(doc, *also, F.explode(tokens).alias("term")).groupBy(doc, *also, "term").agg(F.count("*").alias("tf"))
 
 
 def frequencies(post: DataFrame, least: int = 0) -> DataFrame:
@@ -35,19 +35,18 @@ def with_idf(terms: DataFrame, docs: DataFrame, kind: str = "a") -> DataFrame:
 def tfidf(post: DataFrame, idfs: DataFrame, doc: str, damped: bool = True) -> DataFrame:
     """TXT3, TXT4: weights ln(tf+1)·idf, or tf·idf."""
     tf = F.log1p("tf") if damped else F.col("tf")
-    return post.join(idfs.select("term", "idf"), "term").withColumn("w", tf * F.col("idf")).select(doc, "term", "tf", "idf", "w")
+    also = [c for c in post.columns if c not in (doc, "term", "tf")]
+    return post.join(idfs.select("term", "idf"), "term").withColumn("w", tf * F.col("idf")).select(doc, *also, "term", "tf", "idf", "w")
 
 
-def more_like_this(weights: DataFrame, queries: DataFrame, doc: str, terms: int = 10, k: int = 20, within: DataFrame | None = None) -> DataFrame:
+def more_like_this(weights: DataFrame, queries: DataFrame, doc: str, terms: int = 10, k: int = 20, within: tuple[str, ...] = ()) -> DataFrame:
     """TXT15, FLT17: for each query document its ``terms`` heaviest terms, all
     documents that hold one, scored by the sum of products of weights, the query
-    itself left out; the k best. ``within`` (doc, grp) keeps both in one group."""
-    heavy = top_k(weights.join(queries, doc, "left_semi"), [doc], [F.desc("w"), F.asc("term")], terms).select(F.col(doc).alias("query"), "term", F.col("w").alias("qw"))
-    hits = heavy.join(weights.select(doc, "term", "w"), "term").where(F.col("query") != F.col(doc))
+    itself left out; the k best. Both sides are of one group by the columns ``within`` of
+    the weights, which are part of the join's key."""
+    heavy = top_k(weights.join(queries, doc, "left_semi"), [doc], [F.desc("w"), F.asc("term")], terms).select(F.col(doc).alias("query"), *within, "term", F.col("w").alias("qw"))
+    hits = heavy.join(weights.select(doc, *within, "term", "w"), [*within, "term"]).where(F.col("query") != F.col(doc))
     scored = hits.groupBy("query", doc).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    if within is not None:
-        q = within.select(F.col(doc).alias("query"), F.col("grp").alias("_qg"))
-        scored = scored.join(within, doc).join(q, "query").where("grp = _qg").drop("grp", "_qg")
     return top_k(scored, ["query"], [F.desc("score"), F.asc(doc)], k)
 
 
@@ -91,15 +90,25 @@ def negative_words(similar: DataFrame, post: DataFrame, idfs: DataFrame, doc: st
     return both.withColumn("front", F.row_number().over(down).cast("long")).withColumn("tail", F.row_number().over(up).cast("long")).where((F.col("front") <= front) | (F.col("tail") <= tail))
 
 
+def _shortened(word: str) -> Column:
+    """A word and what is left of it without any one and any two of its letters."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = without(F.col(word))
+    two = F.flatten(F.transform(F.filter(one, lambda w: w != ""), without))
+    return F.array_distinct(F.concat(F.array(F.col(word)), one, two))
+
+
 def fuzzy_names(queries: DataFrame, names: DataFrame, key: str, name: str, k: int = 10) -> DataFrame:
     """TXT17: names that share a token with a query up to two edits, both tokens
     beginning alike: 4 for an equal token, 2 for one edit, 1 for two; the k best.
-    Tokens meet by first letter and length, which two edits change by two at most."""
+    Tokens meet by what is left of them without up to two letters: tokens two edits
+    apart have that in common."""
     words = lambda d, as_: d.select(F.col(key).alias(as_), F.explode(F.array_distinct(F.filter(F.split(X.normal_name(F.col(name)), " "), lambda w: w != ""))).alias(f"{as_}_w"))
     q, n = words(queries, "query"), words(names, "hit")
     vocabulary_q, vocabulary_n = q.select("query_w").distinct(), n.select("hit_w").distinct()
-    near = vocabulary_q.withColumn("_len", F.explode(F.sequence(F.length("query_w") - 2, F.length("query_w") + 2)))
-    near = near.join(vocabulary_n, (F.left("query_w", F.lit(1)) == F.left("hit_w", F.lit(1))) & (F.col("_len") == F.length("hit_w")))
+    left = vocabulary_q.withColumn("_rest", F.explode(_shortened("query_w")))
+    near = left.join(vocabulary_n.withColumn("_rest", F.explode(_shortened("hit_w"))), "_rest").select("query_w", "hit_w").distinct()
+    near = near.where(F.left("query_w", F.lit(1)) == F.left("hit_w", F.lit(1)))
     near = near.withColumn("e", F.levenshtein("query_w", "hit_w")).where("e <= 2").withColumn("points", F.element_at(F.array(F.lit(4), F.lit(2), F.lit(1)), F.col("e") + 1))
     best = q.join(near, "query_w").join(n, "hit_w").groupBy("query", "hit", "query_w").agg(F.max("points").alias("p")).groupBy("query", "hit").agg(F.sum("p").alias("score"))
     return top_k(best, ["query"], [F.desc("score"), F.asc("hit")], k)
@@ -128,3 +137,33 @@ def kl(p: DataFrame, q: DataFrame, keys: list[str], term: str = "term") -> DataF
     """TXT26, TXT27: sum p ln(p / (q + 1e-9)) over the words of p."""
     both = p.join(q.select(*keys, term, F.col("p").alias("q")), [*keys, term], "left")
     return both.groupBy(*keys).agg(F.round(F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln(F.col("p") / (F.coalesce("q", F.lit(0.0)) + 1e-9))).otherwise(0.0)), 6).alias("kl"))
+
+
+def boolean_search(df: DataFrame, must: list[Column], should: list[tuple[Column, float]], above: float) -> DataFrame:
+    """FLT16, FLT22: rows for which all of ``must`` holds, with ``score``, the weights of
+    what holds of ``should``, where that is over ``above``. One pass, no join."""
+    kept = df
+    for x in must:
+        kept = kept.where(x)
+    score = sum((F.when(x, F.lit(float(w))).otherwise(F.lit(0.0)) for x, w in should), F.lit(0.0))
+    return kept.withColumn("score", score).where(F.col("score") > above)
+
+
+def explained(weights: DataFrame, best: DataFrame, doc: str, terms: int = 10) -> DataFrame:
+    """TXT28: for pairs (query, doc) of ``more_like_this`` what each shared heavy term of
+    the query adds: (query, doc, term, query_tf, tf, idf, contribution)."""
+    asked = weights.join(best.select(F.col("query").alias(doc)).distinct(), doc, "left_semi")
+    heavy = top_k(asked, [doc], [F.desc("w"), F.asc("term")], terms).select(F.col(doc).alias("query"), "term", F.col("tf").alias("query_tf"), F.col("w").alias("qw"))
+    pairs = best.select("query", doc).join(heavy, "query")
+    return pairs.join(weights, [doc, "term"]).withColumn("contribution", F.col("qw") * F.col("w")).drop("qw", "w")
+
+
+def shingle_counts(df: DataFrame, doc: str, tokens: str, sizes: tuple[int, ...]) -> DataFrame:
+    """TXT16: (n, shingle, times, items) of the word sequences of the given sizes."""
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("shingle")))
+
+    all_ = df.select(doc, F.explode(F.concat(*map(of, sizes))).alias("x")).groupBy("x.n", "x.shingle", doc).agg(F.count("*").alias("k"))
+    return all_.groupBy("n", "shingle").agg(F.sum("k").alias("times"), F.count("*").alias("items"))

@@ -18,7 +18,7 @@ def knn(queries: DataFrame, rows: DataFrame, key: str, array: str, k: int, kind:
     filled from wider groups only when the narrower have too few. Queries are a stated
     set, dealt in blocks; each task keeps k a query before anything is shuffled."""
     q = queries.select(F.col(key).alias("query"), F.col(array).alias("_q"), *(F.col(c).alias(f"query_{c}") for c in carry))
-    both = blocked_pairs(q, rows.select(key, F.col(array).alias("_v"), *carry), "query").where(F.col("query") != F.col(key))
+    both = blocked_pairs(q, rows.select(key, F.col(array).alias("_v"), *carry), "query", key).where(F.col("query") != F.col(key))
     scored = both.select("query", key, (F.lit(0) if tier is None else tier).cast("long").alias("tier"), F.round(SCORES[kind](F.col("_q"), F.col("_v")), 6).alias("score")).where("score IS NOT NULL")
     return top_k(scored, ["query"], [F.asc("tier"), F.desc("score"), F.asc(key)], k)
 

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from . import core, facts, learning, pages, pairs, rankings, texts, vectors  # noqa: E402, F401
+from . import core, extras, facts, learning, pages, pairs, rankings, storage, texts, vectors  # noqa: E402, F401

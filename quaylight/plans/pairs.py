@@ -96,7 +96,7 @@ def flagship_peers(spark, sf):
     """The product's question, in one plan: retrieve by text, featurise, score, keep
     five. RNK1 RNK5 TXT7 TXT10 TXT15 WIN3"""
     p, i = TX.base(spark, sf)
-    sim = TS.pair_similarity(TX._terms_of(spark, sf, p, i), "query", "peer").select("query", "peer", "cosine", "idf_jaccard")
+    sim = TS.pair_similarity(TX._terms_of(TX.similar(spark, sf, p, i), p, i), "query", "peer").select("query", "peer", "cosine", "idf_jaccard")
     d = table(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("n"))
     both = sim.join(d.toDF("query", "sa", "na"), "query").join(d.toDF("peer", "sb", "nb"), "peer")
     f = both.withColumns({"same_source": (F.col("sa") == F.col("sb")).cast("double"), "length_0_20": N.log_window(F.col("nb"), F.col("na"), 0.2), "length_0_60": N.log_window(F.col("nb"), F.col("na"), 0.6)})

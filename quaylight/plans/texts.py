@@ -8,7 +8,7 @@ from ..functions import stem
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import textsearch as TS
-from ..sources.io import table
+from ..sources.io import kept, spread, table
 from .catalogue import query
 
 _stop = ", ".join(f"'{w}'" for w in X.STOP)
@@ -28,22 +28,25 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
+def spread_texts(spark, sf):
+    return spread(docs(spark, sf).select("doc_id", "lang", "text"))
+
+
 def post(spark, sf):
-    return TS.postings(docs(spark, sf), "doc_id", X.terms(F.col("text")))
+    return TS.postings(spread_texts(spark, sf), "doc_id", X.terms(F.col("text")))
 
 
 def base(spark, sf):
-    """(postings, idf table) of the documents."""
-    p = post(spark, sf)
+    """(postings with the language, idf table) of the documents; postings are made once."""
+    p = kept(TS.postings(spread_texts(spark, sf), "doc_id", X.terms(F.col("text")), ("lang",)), "postings")
     return p, TS.with_idf(TS.frequencies(p), docs(spark, sf), "a")
 
 
-def similar(spark, sf, k=20):
+def similar(spark, sf, p, i, k=20):
     """The k documents most like each query, in its language."""
-    p, i = base(spark, sf)
     w = TS.tfidf(p, i, "doc_id")
     queries = docs(spark, sf).where("doc_id % 20 = 0").select("doc_id")
-    return TS.more_like_this(w, queries, "doc_id", 10, k, docs(spark, sf).select("doc_id", F.col("lang").alias("grp")))
+    return TS.more_like_this(w, queries, "doc_id", 10, k, ("lang",))
 
 
 @query("term_frequency", f"WITH post AS ({_post}) SELECT doc_id, term, tf FROM post")
@@ -138,7 +141,7 @@ def ngram_counts(spark, sf):
 @query("more_like_this", f"WITH {_mlt} SELECT query, doc_id, score, rank FROM m")
 def more_like_this(spark, sf):
     """TXT15 TXT28 FLT16 FLT17 FLT22 SRC13 SRT8"""
-    return similar(spark, sf)
+    return similar(spark, sf, *base(spark, sf))
 
 
 _terms = """t AS MATERIALIZED (SELECT m.query, m.doc_id, x.term, x.idf, max(x.in_a) AS in_a, max(x.in_b) AS in_b FROM m, LATERAL (SELECT w.term, w.idf, 1 AS in_a, 0 AS in_b FROM w WHERE w.doc_id = m.query UNION ALL SELECT w.term, w.idf, 0, 1 FROM w WHERE w.doc_id = m.doc_id) x GROUP BY 1, 2, 3, 4)"""
@@ -155,11 +158,12 @@ _terms = """t AS MATERIALIZED (SELECT m.query, m.doc_id, x.term, x.idf, max(x.in
 def pair_similarity(spark, sf):
     """TXT7-11 SET4 RNK1: of each query and the documents most like it."""
     p, i = base(spark, sf)
-    return TS.pair_similarity(_terms_of(spark, sf, p, i), "query", "peer").withColumnRenamed("peer", "doc_id")
+    return TS.pair_similarity(_terms_of(similar(spark, sf, p, i), p, i), "query", "peer").withColumnRenamed("peer", "doc_id")
 
 
-def _terms_of(spark, sf, p, i):
-    pairs = similar(spark, sf).select("query", F.col("doc_id").alias("peer"))
+def _terms_of(found, p, i):
+    """Terms of either side of each query and document found; read on both sides."""
+    pairs = kept(found.select("query", F.col("doc_id").alias("peer")), "pairs")
     return TS.pair_terms(pairs, p, i, "query", "peer", "doc_id")
 
 
@@ -173,7 +177,7 @@ def _terms_of(spark, sf, p, i):
 def peer_only_idf(spark, sf):
     """TXT12"""
     p, i = base(spark, sf)
-    return TS.peer_only(_terms_of(spark, sf, p, i), "query", "peer").withColumnRenamed("peer", "doc_id")
+    return TS.peer_only(_terms_of(similar(spark, sf, p, i), p, i), "query", "peer").withColumnRenamed("peer", "doc_id")
 
 
 _negative = f"""{_mlt}, theirs AS (SELECT DISTINCT m.query, w.term FROM m JOIN w ON w.doc_id = m.doc_id), both_ AS (SELECT t.query, t.term, w.idf FROM theirs t JOIN w ON w.doc_id = t.query AND w.term = t.term),
@@ -184,7 +188,7 @@ _negative = f"""{_mlt}, theirs AS (SELECT DISTINCT m.query, w.term FROM m JOIN w
 def negative_words(spark, sf):
     """TXT14 SRT7"""
     p, i = base(spark, sf)
-    return TS.negative_words(similar(spark, sf), p, i, "doc_id").withColumn("idf", F.round("idf", 6))
+    return TS.negative_words(kept(similar(spark, sf, p, i), "similar"), p, i, "doc_id").withColumn("idf", F.round("idf", 6))
 
 
 @query(
@@ -198,8 +202,9 @@ def negative_words(spark, sf):
 def jaccard_without_negative(spark, sf):
     """TXT13: idf Jaccard without negative words, and without the last ten of them."""
     p, i = base(spark, sf)
-    neg = TS.negative_words(similar(spark, sf), p, i, "doc_id").select("query", "term", "tail")
-    t = _terms_of(spark, sf, p, i).join(neg, ["query", "term"], "left")
+    found = kept(similar(spark, sf, p, i), "similar")
+    neg = TS.negative_words(found, p, i, "doc_id").select("query", "term", "tail")
+    t = _terms_of(found, p, i).join(neg, ["query", "term"], "left")
     both = F.col("idf") * F.col("in_a") * F.col("in_b")
     return t.groupBy("query", F.col("peer").alias("doc_id")).agg(
         F.round(F.try_divide(F.sum(F.when(F.col("tail").isNull(), both).otherwise(0.0)), F.sum("idf")), 6).alias("idf_jaccard"),
@@ -241,11 +246,16 @@ def similar_names(spark, sf):
     return s.select("c_name", "other", (F.levenshtein(F.lower("c_name"), F.lower("other")) < 2).alias("similar"), F.round(X.positional_match(strip("c_name"), strip("other")), 6).alias("positional"))
 
 
-@query("first_three_sentences", r"SELECT doc_id, array_to_string(regexp_split_to_array(text, '([.!?])\s+')[1:1], ' ') IS NOT NULL AS ok, length(text)::BIGINT AS n FROM documents")
+_sentences = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query("first_three_sentences", f"SELECT doc_id, array_to_string(({_sentences})[1:3], ' ') AS first_three, md5(replace(regexp_replace(array_to_string(list_filter({_sentences}, lambda x: NOT regexp_matches(x, '(?i)copyright|license')), ' '), '\\[source[^\\]]*\\]', '', 'g'), source, '')) AS kept_md5 FROM documents")
 def first_three_sentences(spark, sf):
-    """STR14 STR16 STR17"""
+    """STR14 STR16 STR17: at most three sentences, and the text without the sentences of
+    licenses, source notes and the source's name."""
     d = docs(spark, sf)
-    return d.select("doc_id", X.first_sentences(F.col("text")).isNotNull().alias("ok"), F.length("text").cast("long").alias("n"))
+    kept = X.without_boilerplate(F.col("text"), "(?i)copyright|license", F.col("source"))
+    return d.select("doc_id", X.first_sentences(F.col("text")).alias("first_three"), F.md5(kept).alias("kept_md5"))
 
 
 @query("detected_language")
@@ -289,5 +299,5 @@ def cleaned_keywords(spark, sf):
 
 @query("money_text", "SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN 'N/A' ELSE 'EUR ' || printf('%.1f', floor(c_acctbal)) || 'm' END AS money FROM customer")
 def money_text(spark, sf):
-    """STR19 STR21"""
+    """STR19"""
     return table(spark, sf, "customer").select("c_custkey", X.money(F.floor("c_acctbal").cast("double"), F.lit("EUR"), F.lit("m")).alias("money"))

@@ -123,7 +123,7 @@ def standardised(spark, sf):
 
 @query("mean_hop", "WITH n AS (SELECT n_nationkey, dense_rank() OVER (ORDER BY n_name) - 1 AS node FROM nation), m AS (SELECT c_nationkey, avg(c_acctbal) AS h FROM customer GROUP BY 1) SELECT c.c_custkey, n.node, round(m.h, 4) AS h FROM customer c JOIN n ON c.c_nationkey = n.n_nationkey JOIN m ON m.c_nationkey = c.c_nationkey")
 def mean_hop(spark, sf):
-    """GRF1 GRF2: edges customer -> nation with node ids, and one mean hop over them."""
+    """GRF1: edges customer -> nation with node ids, and one mean hop over them."""
     from pyspark.sql import window as W
 
     n = table(spark, sf, "nation").select("n_nationkey", (F.dense_rank().over(W.Window.orderBy("n_name")) - 1).cast("long").alias("node"))
@@ -142,7 +142,7 @@ def link_auc(spark, sf):
 
     e = table(spark, sf, "embeddings")
     q = queries_of(spark, sf).select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), F.col("label").alias("ql"))
-    s = blocked_pairs(q, e, "query").where("query <> vec_id").select(F.round(N.dot(F.col("a"), F.col("embedding")), 6).alias("score"), (F.col("ql") == F.col("label")).cast("int").alias("y"))
+    s = blocked_pairs(q, e, "query", "vec_id").where("query <> vec_id").select(F.round(N.dot(F.col("a"), F.col("embedding")), 6).alias("score"), (F.col("ql") == F.col("label")).cast("int").alias("y"))
     t = s.groupBy("score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
     t = t.withColumn("bin", F.floor(F.col("score") * 10))
     starts = t.groupBy("bin").agg(F.sum("c").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(W.Window.orderBy("bin").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows in a batch of a loader that asks for ids.
+BATCH = 100
 FORMATS = ("orc", "parquet", "csv", "json")
 
 
@@ -31,6 +36,63 @@ def read_tsv(spark: SparkSession, path: str, names: list[str], required: list[st
     return df.na.drop(subset=required or names).distinct()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A local
+    session without one gets a temporary one; a cluster's must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaylight-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """Rows of a small table, by its size in the plan, dealt to all cores: a file of one
+    row group is read by one task. Larger tables have row groups enough."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) <= most else df
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for results that a plan uses several times:
+    they are computed once, and not again when an executor goes."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def batches(ids: DataFrame, key: str, size: int = BATCH) -> DataFrame:
+    """SRC9, SRC10, SRC13: ids with the number of the batch that asks for them, gapless
+    and in order; no id is in two batches."""
+    from ..operators.relational import gapless_ids
+
+    return gapless_ids(ids.select(key).distinct(), key, "_at").select(key, F.floor(F.col("_at") / size).cast("long").alias("batch"))
+
+
+def bulk_query(source: str, entity: str, item: str, value: str, items: list[str]) -> str:
+    """SRC11: one query for a list of items, a column each, instead of a query each."""
+    name = lambda x: x.replace("`", "")
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    columns = ", ".join(f"sum(CASE WHEN {item} = {text(x)} THEN {value} END) AS `{name(x)}`" for x in items)
+    return f"SELECT {entity}, {columns} FROM {source} WHERE {item} IN ({', '.join(map(text, items))}) GROUP BY {entity}"
+
+
+def sheet_rows(rows: DataFrame, ids: DataFrame, header: int = 1, base_row: bool = True) -> DataFrame:
+    """SRC8: rows (sheet, row, company, ...) of workbooks: header rows skipped, each sheet
+    cut at its first blank company, the base's row left out, and the id sheet joined."""
+    body = rows.where(F.col("row") >= header)
+    blank = F.coalesce(F.trim("company"), F.lit("")) == ""
+    ends = body.where(blank).groupBy("sheet").agg(F.min("row").alias("_end"))
+    kept = body.join(ends, "sheet", "left").where((F.col("_end").isNull() | (F.col("row") < F.col("_end"))) & (F.col("row") >= header + int(base_row)))
+    return kept.drop("_end").join(ids, "company", "left")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load(spark, f"{sf_dir}/{name}.parquet")
 
@@ -67,7 +129,8 @@ def save_index(df: DataFrame, path: str, doc: str, tokens: str, mode: str = "app
     frequencies, in place of a search server's."""
     postings = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
     postings.write.mode(mode).parquet(f"{path}/postings")
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    # Frequencies are of all postings, also those of earlier appends.
+    df.sparkSession.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def json_lines(df: DataFrame) -> DataFrame:
