@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import arrow_batches, stored, table
+from .common import arrow_batches, small, stored, table
 
 SPAN = 50
 GRAM = 16
@@ -34,6 +34,9 @@ GRAM = 16
 SIDE = (SPAN - GRAM) // 2
 #: Period and differences of the cover: any two residues reach it by one shift.
 PERIOD, COVER = 7, (0, 1, 3)
+#: Rows of a gram in a task, about, and one document in how many is looked at to find the
+#: grams that have more. Both change the work, not the result.
+HOT, SAMPLE = 1 << 13, 64
 #: Positions of a suffix bucket sorted at a time.
 BUCKET = 1 << 19
 #: Bytes of text looked at together.
@@ -305,6 +308,39 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+def _frequent_grams(rows: DataFrame) -> DataFrame | None:
+    """(gram, parts) of the grams that stand in over HOT rows by a sample of documents."""
+    sample = rows.where(F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(SAMPLE)) == 0).mapInArrow(_emit_anchors, "doc long, run long, gram long")
+    found = sample.groupBy("gram").agg(F.ceil(F.count("*") * SAMPLE / HOT).cast("int").alias("parts")).where("parts > 1")
+    found = stored(found, "hot")
+    return found if found.count() else None
+
+
+def _met(anchors: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(doc, run, first) of the runs whose gram an earlier or later document has too, with
+    the first document that has the run; runs alone of their gram and run are left out
+    where they can't matter. The rows of a frequent gram are dealt to parts, and what the
+    parts found is put together by minima, so that no gram is one task's."""
+    if hot is None:
+        keyed = anchors.withColumn("part", F.lit(None).cast("int"))
+    else:
+        keyed = anchors.join(small(hot), "gram", "left").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(19)), F.col("parts")).cast("int"))
+    by = ["gram"] if hot is None else ["gram", "part"]
+    by_run, by_gram = W.Window.partitionBy(*by, "run"), W.Window.partitionBy(*by)
+    seen = keyed.withColumn("first", F.min("doc").over(by_run))
+    seen = seen.withColumn("shared", F.min("doc").over(by_gram) < F.max("doc").over(by_gram)).withColumn("many", F.min("run").over(by_gram) < F.max("run").over(by_gram))
+    matters = F.col("shared") & (F.col("many") | (F.col("first") < F.col("doc")))
+    if hot is None:
+        return stored(seen.where(matters).select("doc", "run", "first"), "anchors")
+    found = stored(seen.where(matters | F.col("part").isNotNull()).select("doc", "run", "first", F.when(F.col("part").isNotNull(), F.col("gram")).alias("gram")), "anchors")
+    often = found.where("gram IS NOT NULL")
+    runs = stored(often.groupBy("gram", "run").agg(F.min("first").alias("least"), F.min("doc").alias("low"), F.max("doc").alias("high")), "runs")
+    grams = runs.groupBy("gram").agg((F.min("low") < F.max("high")).alias("shared"), (F.min("run") < F.max("run")).alias("many"))
+    known = stored(runs.join(small(stored(grams, "grams")), "gram").select("gram", "run", "least", "shared", "many"), "known")
+    kept = often.join(small(known), ["gram", "run"]).where(F.col("shared") & (F.col("many") | (F.col("least") < F.col("doc"))))
+    return found.where("gram IS NULL").select("doc", "run", "first").unionByName(stored(kept.select("doc", "run", F.col("least").alias("first")), "frequent"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of
     ``docs`` (doc_id, text); ``spans`` lists the bounds of the bytes removed.
@@ -320,10 +356,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     last_id = F.lit(2**63 - 1)
     rows = docs.select(F.coalesce("doc_id", last_id).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     anchors = rows.mapInArrow(_emit_anchors, "doc long, run long, gram long")
-    by_run, by_gram = W.Window.partitionBy("gram", "run"), W.Window.partitionBy("gram")
-    seen = anchors.withColumn("first", F.min("doc").over(by_run))
-    seen = seen.withColumn("shared", F.min("doc").over(by_gram) < F.max("doc").over(by_gram)).withColumn("many", F.min("run").over(by_gram) < F.max("run").over(by_gram))
-    met = stored(seen.where(F.col("shared") & (F.col("many") | (F.col("first") < F.col("doc")))).select("doc", "run", "first"), "anchors")
+    met = _met(anchors, _frequent_grams(rows))
     texts = rows.repartition(parts, "doc")
     edges = met.where(F.col("first") == F.col("doc")).groupBy("doc").agg(F.collect_set("run").alias("runs"))
     contexts = texts.join(edges.hint("shuffle_hash"), "doc").select("doc", "data", "runs").mapInArrow(_emit_contexts, "key long, doc long, run long, lead int, data binary")

@@ -81,3 +81,16 @@ def test_suffix_buckets_against_sorting(monkeypatch):
 
 def test_no_rows(spark, no_docs):
     assert S.remove_repeats(no_docs).count() == 0
+
+
+def test_frequent_grams_in_parts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcde ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randrange(80))) + base[rng.randrange(60) :] + str(rng.random()) * rng.randrange(4)) for i in range(40)]
+    rows += [(100, base), (101, base), (101, base), (None, base), (102, "f" * 300), (102, "f" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = df.selectExpr("coalesce(doc_id, 9223372036854775807) AS doc", "cast(text AS binary) AS data")
+    assert S._frequent_grams(own).count() > 3
+    check(df)
