@@ -36,7 +36,7 @@ SIDE = (SPAN - GRAM) // 2
 PERIOD, COVER = 7, (0, 1, 3)
 #: Rows of a gram in a task, about, and one document in how many is looked at to find the
 #: grams that have more. Both change the work, not the result.
-HOT, SAMPLE = 1 << 13, 64
+HOT, SAMPLE = 1 << 18, 64
 #: Positions of a suffix bucket sorted at a time.
 BUCKET = 1 << 19
 #: Bytes of text looked at together.
@@ -144,8 +144,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             doc = ids[np.array([x[0] for x in placed])[_owners(placed, first)]]
             rows = np.stack([doc.view(np.uint64), run, gram])
             # A document counts once for a run that it repeats.
-            order = np.lexsort(rows)
-            rows = rows[:, order]
+            rows = rows[:, np.argsort(rows[1] ^ rows[0] * _P)]
             keep = np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)] if rows.shape[1] else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(r[keep].view(np.int64)) for r in rows], ["doc", "run", "gram"])
 
