@@ -10,7 +10,7 @@ from quaylight.functions import stem
 from quaylight.functions import text as X
 from quaylight.operators import formula, geometry, learn, parse, ranking, relational, sampling, series, web
 from quaylight.operators import textsearch as TS
-from quaylight.sources import io
+from quaylight.sources import fetch, io
 from quaylight.streaming import events
 
 
@@ -217,3 +217,55 @@ def test_streams_match_batch(spark, tiny, tmp_path):
     batch_windows = events.windowed(batch)
     assert batch_windows.agg(F.sum("n")).first()[0] == batch.count()
     assert events.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_rolled_forward_values_against_a_plain_search(spark):
+    y = [1.0, 1.1, 1.2, 1.15, 1.3]
+    rows = [(e, i, v * (1 + e / 10), v) for e in (0, 1, 2) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "entity long, pos int, x double, y double")
+    out = series.roll_forward(df, "entity", [1.35, 1.4])
+    got = {(r.entity, r.pos): r.x for r in out.collect()}
+    for e in (0, 1, 2):
+        x, c = [v * (1 + e / 10) for v in y], list(y)
+        for nxt in (1.35, 1.4):
+            one = spark.createDataFrame([(e, i, a, b, nxt) for i, (a, b) in enumerate(zip(x, c, strict=True))], "entity long, pos int, x double, y double, next_y double")
+            f = series.correlation_forecast(one, "entity", "x", "y", "next_y").first().forecast
+            x.append(f)
+            c.append(nxt)
+        assert [got[e, 5], got[e, 6]] == x[5:]
+
+
+def test_fetch_tries_again_and_gives_up():
+    asked = []
+
+    def get(url, n):
+        asked.append((url, n))
+        if url == "down":
+            raise TimeoutError
+        return (503, "") if n < 3 else (200, "text")
+
+    assert fetch.fetch(get, "u", 5) == (200, "text", 3)
+    assert fetch.fetch(get, "u", 2) == (503, None, 2)
+    assert fetch.fetch(get, "down", 4) == (0, None, 4)
+    assert fetch.fetch(lambda u, n: (404, "no"), "u") == (404, None, 1)
+
+
+def test_index_of_two_appends(spark, tmp_path):
+    for terms in (["a", "b"], ["b"]):
+        df = spark.createDataFrame([(len(terms), terms)], "doc long, terms array<string>")
+        io.save_index(df, f"{tmp_path}/i", "doc", "terms")
+    assert {r.term: r.df for r in io.load(spark, f"{tmp_path}/i/terms").collect()} == {"a": 1, "b": 2}
+
+
+def test_queries_in_blocks_meet_all_rows(spark):
+    q, r = spark.range(30).withColumnRenamed("id", "q"), spark.range(40).withColumnRenamed("id", "r")
+    for each in (4, 100):
+        got = relational.blocked_pairs(q, r, "q", "r", each).collect()
+        assert sorted((x.q, x.r) for x in got) == [(a, b) for a in range(30) for b in range(40)]
+
+
+def test_tokens_two_edits_apart_meet(spark):
+    pairs = [("walker", "wlker"), ("walker", "wxlkxr"), ("walker", "walkers"), ("ab", "a"), ("abc", "a"), ("abcd", "abxycd"), ("abcd", "acbd")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    met = df.select(F.arrays_overlap(TS._shortened("a"), TS._shortened("b")).alias("m")).collect()
+    assert all(r.m for r in met)
