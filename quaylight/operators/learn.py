@@ -7,18 +7,11 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.io import shared_folder
-
-
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Sets the session's checkpoint folder where only its setting names one."""
-    found = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+from ..sources.io import drop_kept, kept
 
 
 def svd(df: DataFrame, key: str, array: str, k: int) -> DataFrame:
@@ -59,8 +52,8 @@ def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 20
     from ..functions.numbers import dot
 
     start = lambda c: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (F.pmod(F.xxhash64(c, i), F.lit(1000)) + 1) / 1000.0)
-    shared_checkpoints(weights.sparkSession)
-    own = weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(w).alias("x")).checkpoint()
+    own = weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(w).alias("x"))
+    own = kept(own, "nmf")
     square = own.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
     rows, cols = own.select("d").distinct().withColumn("f", start(F.col("d"))), own.select("t").distinct().withColumn("f", start(F.col("t")))
 
@@ -71,7 +64,10 @@ def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 20
     def half(mine: DataFrame, other: DataFrame, gram: np.ndarray, a: str, b: str) -> DataFrame:
         top = own.join(other.select(b, "f"), b).groupBy(a).agg(F.array(*(F.sum(F.col("x") * F.col("f")[i]) for i in range(k))).alias("top"))
         down = [dot(F.col("f"), F.array(*(F.lit(float(gram[i, j])) for j in range(k)))) for i in range(k)]
-        return mine.select(a, "f").join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"), "top").checkpoint()
+        new = kept(mine.select(a, "f").join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"), "top"), "nmf")
+        if hasattr(mine, "_kept_at"):
+            drop_kept(mine)
+        return new
 
     def error(cross: float, g: np.ndarray, h: np.ndarray) -> float:
         return float(np.sqrt(max(0.0, square - 2 * cross + (g * h).sum())))
@@ -90,6 +86,8 @@ def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 20
             if before - now < bound * start_error:
                 break
             before = now
+    if steps:
+        drop_kept(own, cols)
     return rows.select(F.col("d").alias(doc), F.col("f").alias("factors"))
 
 
@@ -125,22 +123,32 @@ def industry_topics(post: DataFrame, doc: str, industry: str, steps: int = 50, a
     """VEC22: (topic, term, phi) of a model with a background topic and one of each
     industry: a word of a document is from the background or from its industry.
     Expectation and maximisation are joins and sums over (doc, term, tf, industry);
-    each round is a checkpoint."""
+    each round is a table, and the one before it is deleted."""
     own = post.select(F.col(doc).alias("d"), "term", F.col("tf").cast("double").alias("tf"), F.col(industry).alias("g")).where("g IS NOT NULL")
-    shared_checkpoints(post.sparkSession)
-    own = own.checkpoint()
-    phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n")).unionByName(own.groupBy("term").agg(F.sum("tf").alias("n")).withColumn("g", F.lit("*")))
-    theta = own.select("d").distinct().withColumn("own", F.lit(1.0)).withColumn("back", F.lit(1.0))
-    for _ in range(steps):
-        total = phi.groupBy("g").agg(F.sum("n").alias("all"))
-        p = phi.join(total, "g").select("g", "term", (F.col("n") / F.col("all")).alias("p"))
-        e = own.join(p, ["g", "term"], "left").join(p.where("g = '*'").select("term", F.col("p").alias("b")), "term").join(theta, "d")
-        a, b = F.coalesce("p", F.lit(1e-12)) * F.exp(_digamma(F.col("own") + alpha)), F.col("b") * F.exp(_digamma(F.col("back") + alpha))
-        e = e.withColumn("q", a / (a + b)).select("d", "term", "g", "tf", "q").checkpoint()
+    own = kept(own, "topics")
+    # Words of each industry and term from the industry, from the background, and the background's over all industries.
+    phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n"), F.sum("tf").alias("m"))
+    theta = own.select("d").distinct().select("d", F.lit(1.0).alias("own"), F.lit(1.0).alias("back"))
+    for step in range(steps):
+        back = phi.groupBy("term").agg(F.sum("m").alias("m"))
+        sums = phi.groupBy("g").agg(F.sum("n").alias("of_g"), F.sum("m").alias("m"))
+        of_all = sums.agg(F.sum("m").alias("of_all"))  # one row
+        p = phi.select("g", "term", "n").join(sums.drop("m"), "g").join(F.broadcast(of_all)).join(back, "term").select("g", "term", (F.col("n") / F.col("of_g")).alias("p"), (F.col("m") / F.col("of_all")).alias("b"))
+        share = theta.select("d", F.exp(_digamma(F.col("own") + alpha)).alias("own"), F.exp(_digamma(F.col("back") + alpha)).alias("back"))
+        e = own.join(p, ["g", "term"]).join(share, "d")
+        x, y = F.col("p") * F.col("own"), F.col("b") * F.col("back")
+        e = kept(e.select("d", "term", "g", "tf", (x / (x + y)).alias("q")), "topics")
+        if step:
+            drop_kept(last)
+        last = e
         theta = e.groupBy("d").agg(F.sum(F.col("tf") * F.col("q")).alias("own"), F.sum(F.col("tf") * (1 - F.col("q"))).alias("back"))
-        phi = e.groupBy("g", "term").agg(F.sum(F.col("tf") * F.col("q")).alias("n")).unionByName(e.groupBy("term").agg(F.sum(F.col("tf") * (1 - F.col("q"))).alias("n")).withColumn("g", F.lit("*")))
-    total = phi.groupBy("g").agg(F.sum("n").alias("all"))
-    return phi.join(total, "g").select(F.col("g").alias("topic"), "term", F.round(F.col("n") / F.col("all"), 9).alias("phi"))
+        phi = e.groupBy("g", "term").agg(F.sum(F.col("tf") * F.col("q")).alias("n"), F.sum(F.col("tf") * (1 - F.col("q"))).alias("m"))
+    if steps:
+        drop_kept(own)
+    flat = phi.select("term", F.explode(F.array(F.struct("g", "n"), F.struct(F.lit("*").alias("g"), F.col("m").alias("n")))).alias("r"))
+    out = flat.groupBy("r.g", "term").agg(F.sum("r.n").alias("n"))
+    total = out.groupBy("g").agg(F.sum("n").alias("all"))
+    return out.join(total, "g").select(F.col("g").alias("topic"), "term", F.round(F.col("n") / F.col("all"), 9).alias("phi"))
 
 
 def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> float:

@@ -1,23 +1,6 @@
-"""Registry of the analytics queries and their SQL."""
+"""All analytics queries: importing this registers those of every module."""
 
-from __future__ import annotations
+from . import core, extras, facts, learning, pages, pairs, rankings, storage, texts, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a (spark, sf_dir) function, with its SQL where SQL can say it."""
-
-    def keep(f: Callable) -> Callable:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-from . import core, extras, facts, learning, pages, pairs, rankings, storage, texts, vectors  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import relational as R
 from ..operators import sampling as S
 from ..sources.io import lower_columns, of_types, prefix_columns, table
-from .catalogue import query
+from .registry import query
 
 
 @query("scan_project_filter", "SELECT doc_id, lang, source, n_chars, text AS description FROM documents WHERE text IS NOT NULL AND length(text) > 10")

@@ -16,7 +16,7 @@ from ..operators import textsearch as TS
 from ..operators import web
 from ..sources.io import table
 from . import texts
-from .catalogue import query
+from .registry import query
 from .rankings import _a, annotations
 
 

@@ -10,7 +10,7 @@ from ..operators import formula as FM
 from ..operators import relational as R
 from ..operators import series as S
 from ..sources.io import table
-from .catalogue import query
+from .registry import query
 
 #: Items of the facts: order priority -> mnemonic.
 ITEMS = {"1-URGENT": "revenue", "2-HIGH": "ebitda", "3-MEDIUM": "debt", "4-NOT SPECIFIED": "cash", "5-LOW": "assets"}

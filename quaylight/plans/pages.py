@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import geometry as G
 from ..operators import web as WB
 from ..sources.io import table
-from .catalogue import query
+from .registry import query
 
 _links = """SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages"""
 

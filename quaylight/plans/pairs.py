@@ -12,7 +12,7 @@ from ..operators import textsearch as TS
 from ..sources.io import table
 from . import facts as FX
 from . import texts as TX
-from .catalogue import query
+from .registry import query
 
 _last = f"l AS MATERIALIZED (SELECT entity, max(year) AS year, arg_max(val, year) AS val FROM ({FX._latest}) WHERE mnemonic = 'revenue' AND val <> 0 AND year >= 1995 GROUP BY 1), p AS (SELECT c_custkey AS base, lead(c_custkey) OVER w AS p1, lead(c_custkey, 2) OVER w AS p2 FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)), c AS (SELECT base, p1 AS peer FROM p WHERE p1 IS NOT NULL UNION ALL SELECT base, p2 FROM p WHERE p2 IS NOT NULL)"
 _near = "(abs(b.year - q.year) <= 2 AND b.val IS NOT NULL AND q.val IS NOT NULL)"

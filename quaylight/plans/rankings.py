@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking as K
 from ..operators import relational as R
 from ..sources.io import table
-from .catalogue import query
+from .registry import query
 
 #: Labels as annotations: task = source, analyst = doc_id % 3, relevance 0..2.
 _a = "SELECT d.source AS task, d.doc_id % 3 AS analyst, d.doc_id, d.n_chars, (l.quality + 1 - l.toxic)::INTEGER AS rel FROM labels l JOIN documents d USING (doc_id)"

@@ -11,7 +11,7 @@ from ..operators import relational as R
 from ..operators import textsearch as TS
 from ..sources import fetch
 from ..sources.io import batches, bulk_query, json_lines, load, new_path, read_tsv, save, save_index, save_vocabulary, sheet_rows, table
-from .catalogue import query
+from .registry import query
 
 
 def written(df, name, fmt="parquet", **options):

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import relational as R
 from ..operators import textsearch as TS
 from ..sources.io import kept, spread, table
-from .catalogue import query
+from .registry import query
 
 _stop = ", ".join(f"'{w}'" for w in X.STOP)
 _clean = "trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g'))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..operators import vectorsearch as V
 from ..sources.io import table
-from .catalogue import query
+from .registry import query
 
 _pairs = "SELECT q.vec_id AS query, v.vec_id, q.label AS ql, v.label AS vl, q.embedding::DOUBLE[] AS a, v.embedding::DOUBLE[] AS b FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0"
 _kinds = {

@@ -61,10 +61,21 @@ def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for results that a plan uses several times:
-    they are computed once, and not again when an executor goes."""
+    they are computed once, and not again when an executor goes. Its size in later plans
+    is that of its files; a checkpoint keeps the estimate of the plan it cuts, which over
+    rounds of joins grows until planning takes longer than the round."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop_kept(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` wrote, when nothing lazy reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def batches(ids: DataFrame, key: str, size: int = BATCH) -> DataFrame:
