@@ -12,6 +12,7 @@ from .sharding import op7
 from .substrings import op6
 from .toxicity import op8
 from .warc import op4
+from .whitening import op12
 
 QUERIES = {
     "op1_simhash_neardup": op1,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_decontaminate": op9,
     "op10_mix": op10,
+    "op12_whitening": op12,
 }
 
 ORACLES = {
