@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op5
 from .decontaminate import op9
+from .divergence import OP13_SQL, op13
 from .fingerprints import op2, search
 from .html import op3
 from .mixing import op10
@@ -27,9 +28,11 @@ QUERIES = {
     "op9_decontaminate": op9,
     "op10_mix": op10,
     "op12_whitening": op12,
+    "op13_source_audit": op13,
 }
 
 ORACLES = {
+    "op13_source_audit": OP13_SQL,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body FROM pages
