@@ -9,6 +9,7 @@ from .fingerprints import op2, search
 from .html import op3
 from .mixing import op10
 from .neardup import op1
+from .neighbours import op11
 from .sharding import op7
 from .substrings import op6
 from .toxicity import op8
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": op8,
     "op9_decontaminate": op9,
     "op10_mix": op10,
+    "op11_neighbours": op11,
     "op12_whitening": op12,
     "op13_source_audit": op13,
 }
