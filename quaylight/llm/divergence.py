@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, forget, stored, table
 
-#: Between terms: all of ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of terms: letters, and all of UTF-8 that isn't ASCII.
+OF_TERM = np.array([chr(c).isalpha() or c > 0x7F for c in range(256)])
+#: Bytes with A-Z in lower case.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Rows of the sketch; a term is kept if all of them allow it.
 ROWS = 3
 #: A row has a counter for so many bytes of text, within these bounds: at most 96 MB in
@@ -40,37 +41,53 @@ PIECE = 1 << 16
 WHOLE = 1_000_000_000
 
 
-def terms(text: str | Column) -> Column:
-    """Terms of a text in order, A-Z in lower case; null has none."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lower, BETWEEN), lambda t: t != "")
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row of each term, the distinct terms and the number of each in them."""
-    sizes = np.diff(column.offsets.to_numpy())
-    coded = column.flatten().dictionary_encode()
-    return np.repeat(np.arange(len(column)), sizes), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _grouped(batch: pa.RecordBatch) -> tuple[list[tuple], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(groups, distinct terms, pairs of both as codes, occurrences,
-    rows that hold the pair) of a batch whose last column has the terms; the columns
-    before it make the group."""
-    rows, words, code = _flat(batch.column(batch.num_columns - 1))
-    groups = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), strict=True))
-    known: dict[tuple, int] = {}
-    group = np.array([known.setdefault(g, len(known)) for g in groups], np.int64)
-    pair = group[rows] * max(1, len(words)) + code
-    found, at, n = np.unique(pair, return_inverse=True, return_counts=True)
-    held = np.unique(at.astype(np.int64) * max(1, len(groups)) + rows)
-    return list(known), words, found, n, np.bincount(held // max(1, len(groups)), minlength=len(found))
-
-
-def _hashes(langs: list[str], words: list[str], width: int) -> np.ndarray:
-    """(ROWS, terms) counters on which (lang, term) pairs fall."""
-    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f"{a}\0{w}") for a, w in zip(langs, words, strict=True)), np.uint64).reshape(-1, 2)
-    return np.stack([(h[:, 0] + np.uint64(r) * (h[:, 1] | np.uint64(1))) >> np.uint64(64 - width.bit_length() + 1) for r in range(ROWS)]).astype(np.int64)
+def terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, term) of all terms of a text column without nulls, in order."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = OF_TERM[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    # a text begins anew also where the one before ends in a term
+    first = ends[:-1][ends[:-1] < len(raw)]
+    begins[first] = inside[first]
+    places = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(LOWER[raw[inside]]))
+    return np.searchsorted(ends[1:], np.flatnonzero(begins), "right"), words
+
+
+class Counts:
+    """Terms of a batch by group: ``group`` and ``word`` number the pairs that occur,
+    ``n`` is how often, ``docs`` in how many rows."""
+
+    def __init__(self, groups: list[tuple], texts: pa.Array):
+        rows, words = terms(texts)
+        coded = words.dictionary_encode()
+        self.words, self.groups = coded.dictionary, list(dict.fromkeys(groups))
+        known = {g: i for i, g in enumerate(self.groups)}
+        group = np.fromiter((known[g] for g in groups), np.int64, len(groups))
+        many, n = max(1, len(self.words)), len(groups)
+        key = np.sort(((group[rows] * many) + coded.indices.to_numpy(zero_copy_only=False)) * n + rows)
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        times, pair = np.diff(np.append(new, len(key))), key[new] // n
+        own = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.n = np.add.reduceat(times, own) if len(own) else times
+        self.docs = np.diff(np.append(own, len(pair)))
+        self.group, self.word = pair[own] // many, pair[own] % many
+
+    def spots(self, lang: int, width: int) -> np.ndarray:
+        """(ROWS, pairs) counters on which the pairs' languages and terms fall; ``lang`` is
+        the place of the language in a group."""
+        langs, words = _hashes([g[lang] for g in self.groups])[self.group], _hashes(self.words.to_pylist())[self.word]
+        h = (langs ^ words) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        shift = np.uint64(64 - width.bit_length() + 1)
+        return np.stack([((h[:, 0] + np.uint64(r) * (h[:, 1] | np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9)) >> shift for r in range(ROWS)]).astype(np.int64)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
 
 
 def _add(sketch: np.ndarray, rows: np.ndarray, n: np.ndarray, bound: int) -> None:
@@ -80,15 +97,13 @@ def _add(sketch: np.ndarray, rows: np.ndarray, n: np.ndarray, bound: int) -> Non
 
 
 def _sketch(width: int, bound: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's sketch of (lang, terms) rows, in compressed pieces that aren't empty."""
+    """One task's sketch of (lang, text) rows, in compressed pieces that aren't empty."""
     sketch = None
     for b in batches:
         if b.num_rows:
             sketch = np.zeros((ROWS, width), np.min_scalar_type(bound)) if sketch is None else sketch
-            groups, words, pair, _, held = _grouped(b)
-            words = words.to_pylist()
-            many = max(1, len(words))
-            _add(sketch, _hashes([groups[p // many][0] for p in pair], [words[p % many] for p in pair], width), held, bound)
+            found = Counts(list(zip(b.column(0).to_pylist(), strict=True)), b.column(1))
+            _add(sketch, found.spots(0, width), found.docs, bound)
     if sketch is not None:
         pieces = sketch.reshape(-1, min(PIECE, width))
         at = [i for i, p in enumerate(pieces) if p.any()]
@@ -116,18 +131,18 @@ def _merge(bound: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 class Sketch:
-    """Which (lang, term) pairs may be in ``bound`` documents or more."""
+    """Which counters reached ``bound``: pairs that have another on them are in fewer documents."""
 
     def __init__(self, width: int, pieces: dict[int, bytes]):
         each = min(PIECE, width) // 8
         self.width = width
         self.bits = np.frombuffer(b"".join(pieces.get(i, bytes(each)) for i in range(ROWS * width // (8 * each))), np.uint8).reshape(ROWS, -1)
 
-    def possible(self, langs: list[str], words: list[str]) -> np.ndarray:
-        at = _hashes(langs, words, self.width)
-        out = np.ones(len(words), bool)
-        for r in range(ROWS):
-            out &= (self.bits[r][at[r] >> 3] >> (7 - (at[r] & 7)).astype(np.uint8)) & 1 == 1
+    def possible(self, at: np.ndarray) -> np.ndarray:
+        """Of pairs at these counters."""
+        out = np.ones(at.shape[1], bool)
+        for bits, own in zip(self.bits, at, strict=True):
+            out &= (bits[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1 == 1
         return out
 
 
@@ -136,9 +151,9 @@ def width_for(size: int) -> int:
     return min(MOST, max(LEAST, 1 << (size // BYTES_A_COUNTER).bit_length()))
 
 
-def sketch(docs: DataFrame, lang: str, words: str, bound: int, width: int) -> Sketch:
-    """The merged sketch of document frequencies; ``words`` is a column of term arrays."""
-    parts = docs.select(lang, words).mapInArrow(partial(_sketch, width, bound), "piece int, counts binary")
+def sketch(docs: DataFrame, lang: str, text: str, bound: int, width: int) -> Sketch:
+    """The merged sketch of document frequencies."""
+    parts = docs.select(lang, text).mapInArrow(partial(_sketch, width, bound), "piece int, counts binary")
     pieces = ROWS * width // min(PIECE, width)
     merged = parts.repartition(min(pieces, 200), "piece").sortWithinPartitions("piece").mapInArrow(partial(_merge, bound), "piece int, reached binary")
     return Sketch(width, {r.piece: bytes(r.reached) for r in merged.collect()})
@@ -146,20 +161,12 @@ def sketch(docs: DataFrame, lang: str, words: str, bound: int, width: int) -> Sk
 
 def _survivors(found, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, count, docs) of a batch, without impossible terms."""
-    known = found.value
     for b in batches:
-        if not b.num_rows:
-            continue
-        groups, words, pair, n, held = _grouped(b)
-        words = words.to_pylist()
-        many = max(1, len(words))
-        langs, own = [groups[p // many][0] for p in pair], [words[p % many] for p in pair]
-        keep = np.flatnonzero(known.possible(langs, own)) if len(own) else []
-        take = lambda x: [x[i] for i in keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(take(langs), pa.string()), pa.array([groups[pair[i] // many][1] for i in keep], pa.string()), pa.array(take(own), pa.string()), pa.array(n[keep].astype(np.int64)), pa.array(held[keep].astype(np.int64))],
-            ["lang", "source", "term", "count", "docs"],
-        )
+        if b.num_rows:
+            own = Counts(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), b.column(2))
+            keep = np.flatnonzero(found.value.possible(own.spots(0, found.value.width)))
+            names = [pa.array([g[i] for g in own.groups], pa.string()).take(pa.array(own.group[keep])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, own.words.take(pa.array(own.word[keep])), pa.array(own.n[keep]), pa.array(own.docs[keep])], ["lang", "source", "term", "count", "docs"])
 
 
 def counted(docs: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
@@ -170,9 +177,8 @@ def counted(docs: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
     plain = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("_text"))
     groups = stored(plain.groupBy("lang", "source").agg(F.sum(F.octet_length("_text")).alias("size")), "groups")
     size = groups.agg(F.sum("size")).first()[0] or 0
-    own = plain.select("lang", "source", terms("_text").alias("_terms"))
-    known = spark.sparkContext.broadcast(sketch(own, "lang", "_terms", bound, width_for(size)))
-    found = own.mapInArrow(partial(_survivors, known), "lang string, source string, term string, count long, docs long")
+    known = spark.sparkContext.broadcast(sketch(plain, "lang", "_text", bound, width_for(size)))
+    found = plain.mapInArrow(partial(_survivors, known), "lang string, source string, term string, count long, docs long")
     counts = stored(found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counts")
     often = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= bound).select("lang", "term")
     kept = stored(counts.join(often, ["lang", "term"]).select("lang", "source", "term", "count"), "kept")

@@ -1,9 +1,10 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same
-from pyspark.sql import functions as F
 
 from quaylight.llm import divergence
 
@@ -63,24 +64,40 @@ def test_no_rows(spark, no_docs):
     assert out.count() == 0 and out.columns == ["lang", "source", "part", "item", "value", "rank"]
 
 
+def lettered(i):
+    return "".join(chr(97 + int(d)) for d in str(i))
+
+
+def spots(words, width):
+    """Counters of words of language l, in the order of ``words``."""
+    found = divergence.Counts([("l",)], pa.array([" ".join(words)]))
+    at = dict(zip((found.words[int(w)].as_py() for w in found.word), found.spots(0, width).T, strict=True))
+    return np.array([at[w] for w in words]).T
+
+
 def test_the_sketch_never_underestimates_and_discards(spark):
-    """40,000 rare terms and 50 frequent ones, over counters far fewer than the terms."""
-    docs = spark.range(0, 2000, 1, 4).select(
-        F.lit("l").alias("lang"), F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("r"), F.col("id"), F.lit("x"), i)), F.array(F.concat(F.lit("f"), F.col("id") % 50)))).alias("words")
-    )
-    found = divergence.sketch(docs, "lang", "words", 10, 1 << 16)
-    frequent, rare = [f"f{i}" for i in range(50)], [f"r{i}x{j}" for i in range(2000) for j in range(1, 21)]
-    assert found.possible(["l"] * 50, frequent).all()
-    assert found.possible(["l"] * len(rare), rare).mean() < 0.01
-    tight = divergence.sketch(docs, "lang", "words", 10, 1 << 10)
-    assert tight.possible(["l"] * 50, frequent).all()
+    """40,000 rare terms and 50 frequent ones, over as many counters and over far fewer."""
+    rare = [[f"r{lettered(i)}x{lettered(j)}" for j in range(20)] for i in range(2000)]
+    frequent = [f"f{lettered(i)}" for i in range(50)]
+    docs = spark.createDataFrame([("l", " ".join([*own, frequent[i % 50]])) for i, own in enumerate(rare)], "lang string, text string").repartition(4)
+    every = [w for own in rare for w in own]
+    for width, passed in ((1 << 16, 0.01), (1 << 10, 1.0)):
+        found = divergence.sketch(docs, "lang", "text", 10, width)
+        assert found.possible(spots(frequent, width)).all()
+        assert found.possible(spots(every, width)).mean() <= passed
 
 
 def test_rare_terms_are_not_shuffled(spark):
-    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
-    docs = [(f"all of these words rare{letters(i)} seldom{letters(i)}", "l", "s" if i % 3 else "t") for i in range(60)]
+    docs = [(f"all of these words rare{lettered(i)} seldom{lettered(i)}", "l", "s" if i % 3 else "t") for i in range(60)]
     df = spark.createDataFrame(docs, "text string, lang string, source string")
-    words = df.select("lang", "source", divergence.terms("text").alias("words"))
-    known = spark.sparkContext.broadcast(divergence.sketch(words, "lang", "words", 10, 1 << 16))
-    out = words.mapInArrow(lambda b: divergence._survivors(known, b), "lang string, source string, term string, count long, docs long")
+    known = spark.sparkContext.broadcast(divergence.sketch(df, "lang", "text", 10, 1 << 16))
+    out = df.select("lang", "source", "text").mapInArrow(lambda b: divergence._survivors(known, b), "lang string, source string, term string, count long, docs long")
     assert {r.term for r in out.collect()} == {"all", "of", "these", "words"}
+
+
+def test_terms_of_a_column():
+    texts = ["Ab", "cD e1f", "", "é\x00É", "\n", "z"]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    rows, words = divergence.terms(column)
+    assert list(zip(rows.tolist(), words.to_pylist(), strict=True)) == [(0, "ab"), (1, "cd"), (1, "e"), (1, "f"), (3, "é"), (3, "É"), (5, "z")]
+    assert divergence.terms(pa.array(["", ""]))[1].to_pylist() == []
