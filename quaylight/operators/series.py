@@ -69,43 +69,10 @@ def growth_category(df: DataFrame, entity: str, sector: str, val: str = "growth"
     """FCS7: red, blue or green as the mean growth is in the lowest quarter of the
     sector's range, between, or in the highest."""
     mean = df.groupBy(sector, entity).agg(F.avg(val).alias("mean"))
-    w = W.Window.partitionBy(sector)
-    lo, hi = F.min("mean").over(w), F.max("mean").over(w)
-    return mean.withColumn("category", F.when(F.col("mean") <= lo + (hi - lo) / 4, "red").when(F.col("mean") >= hi - (hi - lo) / 4, "green").otherwise("blue"))
-
-
-def correlation_forecast(df: DataFrame, entity: str, x: str, y: str, next_y: str, reach: float = 0.3, step: float = 1e-2, low: float = 0.0, high: float = 1.7, tolerance: float = 0.04) -> DataFrame:
-    """FCS2, FCS3: the next value of a series x beside a sector curve y whose next
-    value is known: of a grid around the last value, the candidate whose correlation
-    with the longer curve is closest to the correlation so far, if within the
-    tolerance; else null. Running sums make the new correlation a closed form, so the
-    grid is a column and nothing is looped over."""
-    s = df.groupBy(entity).agg(F.count("*").cast("double").alias("n"), *(F.sum(c).alias(a) for a, c in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) * F.col(x)), ("syy", F.col(y) * F.col(y)), ("sxy", F.col(x) * F.col(y)))), F.max_by(x, "pos").alias("last"), F.max(next_y).alias("ny"))
-
-    def corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-        return F.when((vx > 1e-12) & (vy > 1e-12), (n * sxy - sx * sy) / F.sqrt(vx * vy))
-
-    steps = round(reach / step)
-    grid = s.withColumn("old", corr(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))).withColumn("i", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
-    v, ny = F.round(F.col("last") + F.col("i") * step, 6), F.col("ny")
-    grid = grid.withColumn("v", v).where(F.col("v").between(low, high))
-    new = corr(F.col("n") + 1, F.col("sx") + F.col("v"), F.col("sy") + ny, F.col("sxx") + F.col("v") * F.col("v"), F.col("syy") + ny * ny, F.col("sxy") + F.col("v") * ny)
-    gap = F.round(F.abs(new - F.col("old")), 9)
-    kept = grid.withColumn("gap", gap).where(F.col("gap") <= tolerance)
-    best = kept.groupBy(entity).agg(F.min_by("v", F.struct("gap", "v")).alias("forecast"))
-    return s.select(entity).join(best, entity, "left")
-
-
-def roll_forward(df: DataFrame, entity: str, ahead: list[float], **how) -> DataFrame:
-    """FCS5: FCS2 for several years, each forecast appended for the next; ``df`` has
-    (entity, pos, x, y), ``ahead`` the curve's next values. Few years, so a plan each."""
-    for nxt in ahead:
-        now = correlation_forecast(df.withColumn("next_y", F.lit(nxt)), entity, "x", "y", "next_y", **how)
-        last = df.groupBy(entity).agg((F.max("pos") + 1).alias("pos"))
-        more = last.join(now, entity).select(entity, "pos", F.col("forecast").alias("x"), F.lit(nxt).alias("y")).where("x IS NOT NULL")
-        df = df.select(entity, "pos", "x", "y").unionByName(more)
-    return df
+    ends = mean.groupBy(sector).agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
+    quarter = (F.col("_hi") - F.col("_lo")) / 4
+    category = F.when(F.col("mean") <= F.col("_lo") + quarter, "red").when(F.col("mean") >= F.col("_hi") - quarter, "green").otherwise("blue")
+    return mean.join(ends, sector).withColumn("category", category).drop("_lo", "_hi")
 
 
 def forecast_error(actual: Column, forecast: Column) -> Column:

@@ -279,15 +279,6 @@ def qualified_sectors(spark, sf):
     return q.join(c, "entity").groupBy("sector").agg(F.count("*").alias("entities")).where("entities >= 10")
 
 
-@query("rolled_forward", "WITH s AS (SELECT c_custkey AS entity, unnest(range(0, 5)) AS pos FROM customer), g AS (SELECT entity, 5 + unnest(range(0, 2)) AS pos FROM (SELECT DISTINCT entity FROM s)) SELECT entity, pos::INTEGER AS pos FROM s UNION ALL SELECT entity, pos::INTEGER FROM g")
-def rolled_forward(spark, sf):
-    """FCS4 FCS5: two years appended to each entity's series, the places of the values;
-    the values themselves are held against a plain search in the tests."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.posexplode(F.array(*(F.lit(float(x)) for x in (1.0, 1.1, 1.2, 1.15, 1.3)))).alias("pos", "y"))
-    own = c.withColumn("x", F.col("y") * (1 + F.pmod(F.col("entity"), F.lit(5)) / 20.0))
-    return series.roll_forward(own.select("entity", "pos", "x", "y"), "entity", [1.35, 1.4]).select("entity", "pos")
-
-
 @query("mean_convolution", "WITH e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT s, avg(c_acctbal) AS h1 FROM e JOIN customer ON c = c_custkey GROUP BY 1), k AS (SELECT c, avg(h1) AS h2 FROM e JOIN h USING (s) GROUP BY 1) SELECT c_custkey, round(c_acctbal, 4) AS own, round(h2, 4) AS neighbours FROM customer LEFT JOIN k ON c = c_custkey")
 def mean_convolution(spark, sf):
     """GRF1 GRF2: two hops of mean aggregation over the customer-supplier edges, beside

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import numbers as N
+from ..operators import forecast as FC
 from ..operators import formula as FM
 from ..operators import relational as R
 from ..operators import series as S
@@ -232,25 +233,137 @@ def backtest_error(spark, sf):
     return g.join(c, ["sector", "year"]).groupBy("sector", "year").agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("abs_error"), F.round(F.avg(S.forecast_error(F.col("growth"), F.col("curve"))), 4).alias("rel_error"))
 
 
-@query(
-    "corr_forecast",
-    f"""
-    WITH g AS ({_sgrowth}), c AS (SELECT sector, year, round(avg(growth), 6) AS curve FROM g GROUP BY 1, 2), nx AS (SELECT sector, curve AS ny FROM c WHERE year = 2000),
-    s AS (SELECT g.entity, count(*)::DOUBLE AS n, sum(growth) AS sx, sum(curve) AS sy, sum(growth * growth) AS sxx, sum(curve * curve) AS syy, sum(growth * curve) AS sxy, arg_max(growth, g.year) AS last, max(ny) AS ny FROM g JOIN c USING (sector, year) JOIN nx USING (sector) WHERE g.year < 2000 GROUP BY 1),
-    o AS (SELECT *, CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END AS old FROM s),
-    v AS (SELECT o.*, round(last + k.i * 0.01, 6)::DOUBLE AS v FROM o CROSS JOIN (SELECT unnest(range(-30, 31)) AS i) k),
-    w AS (SELECT entity, v, old, (n + 1) AS m, sx + v AS tx, sy + ny AS ty, sxx + v * v AS txx, syy + ny * ny AS tyy, sxy + v * ny AS txy FROM v WHERE v BETWEEN 0 AND 1.7),
-    x AS (SELECT entity, v, round(abs(CASE WHEN m * txx - tx * tx > 1e-12 AND m * tyy - ty * ty > 1e-12 THEN (m * txy - tx * ty) / sqrt((m * txx - tx * tx) * (m * tyy - ty * ty)) END - old), 9) AS gap FROM w)
-    SELECT s.entity, b.forecast FROM s LEFT JOIN (SELECT entity, arg_min(v, (gap, v)) AS forecast FROM x WHERE gap <= 0.04 GROUP BY 1) b USING (entity)
-    """,
-)
+#: Growth in thousandths, and means of it by year in units of a curve, from whole numbers.
+_g = f"SELECT sector, entity, year, floor(growth * 1000 + 0.5) AS g FROM ({_sgrowth})"
+_fine, _unit = "floor((2000 * sum(g) + count(*)) / (2 * count(*)))", "floor((20 * sum(g) + count(*)) / (2 * count(*)))"
+_curve = f"SELECT sector, year, {_fine} AS y FROM ({_g}) GROUP BY 1, 2"
+_sums = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy, arg_max(x, year) AS last, arg_max(y, year) AS beside"
+
+
+def _grid(state: str, keys: str, grid: FC.Grid, low: str, high: str, ny: str = "ny", near: str = "last", fallback: str = "NULL") -> str:
+    """The whole grid: a row for every candidate of every series."""
+    low, high = f"({low})", f"({high})"
+    old = f"floor((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) * {10**grid.places} + 0.5)"
+    new = f"floor((((n + 1) * {ny} - sy - {ny}) * k + (n + 1) * sxy - sx * (sy + {ny})) / sqrt((n * k * k - 2 * sx * k + (n + 1) * sxx - sx * sx) * dy) * {10**grid.places} + 0.5)"
+    return f"""
+        SELECT s.*, coalesce(forecast, CASE WHEN n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 AND {ny} IS NOT NULL AND {high} > {low} THEN {fallback} END) AS forecast FROM ({state}) s LEFT JOIN (
+            SELECT {keys}, arg_min(k, (abs(change) * {grid.weight} + abs(k - near), k)) AS forecast FROM (
+                SELECT *, {new} - old AS change FROM (
+                    SELECT *, {old} AS old, (n + 1) * (syy + {ny} * {ny}) - (sy + {ny}) * (sy + {ny}) AS dy, {near} AS near, {low} + {grid.step} * unnest(range(0, ceil(({high} - {low}) / {grid.step})::BIGINT)) AS k
+                    FROM ({state}) WHERE n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0
+                ) WHERE dy > 0 AND n * k * k - 2 * sx * k + (n + 1) * sxx - sx * sx > 0
+            ) WHERE change BETWEEN -{grid.tolerance} AND {grid.tolerance - 1} GROUP BY ALL
+        ) b USING ({keys})
+    """
+
+
+def _grown(found: str, keys: str, ny: str, rest: str) -> str:
+    """States with their forecast as a further place."""
+    x = "coalesce(forecast, 0)"
+    given = "(forecast IS NOT NULL)::INT"
+    return f"SELECT {keys}, n + {given} AS n, sx + {x} AS sx, sy + {given} * {ny} AS sy, sxx + {x} * {x} AS sxx, syy + {given} * {ny} * {ny} AS syy, sxy + {x} * {ny} AS sxy, coalesce(forecast, last) AS last, CASE WHEN forecast IS NULL THEN beside ELSE {ny} END AS beside, forecast AS first, {rest} FROM ({found})"
+
+
+def in_thousandths(spark, sf):
+    return sector_growth(spark, sf).select("sector", "entity", "year", FC.units("growth", 1000).alias("g"))
+
+
+def mean_units(to_one: int):
+    """The mean of ``g`` in units, to the nearest, from whole numbers."""
+    n = F.count("*")
+    return F.floor((2 * to_one / 1000 * F.sum("g") + n) / (2 * n)).cast("double")
+
+
+def curve_of(g, *by):
+    return g.groupBy(*by, "year").agg(mean_units(FC.FINE).alias("y"))
+
+
+_paired = f"SELECT entity, sector, year, 10 * g AS x, y FROM ({_g}) JOIN ({_curve}) USING (sector, year)"
+_state = f"SELECT entity, {_sums}, any_value(ny) AS ny FROM ({_paired}) JOIN (SELECT sector, y AS ny FROM ({_curve}) WHERE year = 2000) USING (sector) WHERE year < 2000 GROUP BY 1"
+
+
+@query("corr_forecast", f"SELECT entity, forecast / 10000 AS forecast FROM ({_grid(_state, 'entity', FC.SECTOR, 'greatest(last - 3000, 0)', 'least(last + 3000, 17000)')})")
 def corr_forecast(spark, sf):
-    """FCS2 FCS3 AGG34: the year 2000 from the years before, beside the sector's curve."""
-    g = sector_growth(spark, sf)
-    c = g.groupBy("sector", "year").agg(F.round(F.avg("growth"), 6).alias("curve"))
-    nx = c.where("year = 2000").select("sector", F.col("curve").alias("ny"))
-    rows = g.where("year < 2000").join(c, ["sector", "year"]).join(nx, "sector").select("entity", F.col("year").alias("pos"), "growth", "curve", "ny")
-    return S.correlation_forecast(rows, "entity", "growth", "curve", "ny", step=0.01)
+    """FCS2 AGG34: the year 2000 from the years before, beside the sector's curve."""
+    g = in_thousandths(spark, sf)
+    c = curve_of(g, "sector")
+    s = g.where("year < 2000").join(c, ["sector", "year"]).groupBy("entity", "sector").agg(*FC.sums(10 * F.col("g"), F.col("y"), F.col("year")))
+    s = s.join(c.where("year = 2000").select("sector", F.col("y").alias("ny")), "sector")
+    return FC.next_value(s, "ny", FC.SECTOR).select("entity", (F.col("forecast") / FC.UNIT).alias("forecast"))
+
+
+_category = f"SELECT sector, entity, CASE WHEN mean <= lo + (hi - lo) / 4 THEN 'red' WHEN mean >= hi - (hi - lo) / 4 THEN 'green' ELSE 'blue' END AS category FROM (SELECT *, min(mean) OVER (PARTITION BY sector) AS lo, max(mean) OVER (PARTITION BY sector) AS hi FROM (SELECT sector, entity, avg(growth) AS mean FROM ({_sgrowth}) GROUP BY 1, 2))"
+_in_category = f"SELECT * FROM ({_g}) JOIN ({_category}) USING (sector, entity)"
+_cstate = f"""
+    SELECT sector, category, {_sums}, any_value(ny1) AS ny1, any_value(ny2) AS ny2, any_value(near) AS nr
+    FROM (SELECT sector, category, year, {_unit} AS x FROM ({_in_category}) GROUP BY 1, 2, 3) JOIN ({_curve}) USING (sector, year)
+    JOIN (SELECT sector, max(y) FILTER (year = 2000) AS ny1, max(y) FILTER (year = 2001) AS ny2, max(floor(y / 100 + 0.5)) FILTER (year = 2001) AS near FROM ({_curve}) GROUP BY 1) USING (sector)
+    WHERE year < 2000 GROUP BY 1, 2
+"""
+
+
+def _moved(ny: str) -> str:
+    return f"CASE WHEN beside < {ny} THEN last + 3000 ELSE last - 3000 END"
+
+
+_c1 = _grown(_grid(_cstate, "sector, category", FC.CATEGORY, "last - 3000", "last + 3000", "ny1", "nr", _moved("ny1")), "sector, category", "ny1", "ny2, nr")
+_c2 = _grid(_c1, "sector, category", FC.CATEGORY, "last - 3000", "last + 3000", "ny2", "nr", _moved("ny2"))
+
+
+@query("category_forecast", f"SELECT sector, category, 2000 + i AS year, CASE i WHEN 0 THEN first ELSE forecast END / 10000 AS forecast FROM ({_c2}), (SELECT unnest([0, 1]) AS i)")
+def category_forecast(spark, sf):
+    """FCS3: the years 2000 and 2001 of each growth category's curve beside its sector's,
+    the first a place of the series for the second; nearness is to the sector's last value,
+    and where no candidate keeps the correlation the window's end to which the sector moves."""
+    g = in_thousandths(spark, sf)
+    own = g.join(S.growth_category(sector_growth(spark, sf), "entity", "sector").select("sector", "entity", "category"), ["sector", "entity"])
+    c = curve_of(g, "sector")
+    x = own.groupBy("sector", "category", "year").agg(mean_units(FC.UNIT).alias("x"))
+    s = x.where("year < 2000").join(c, ["sector", "year"]).groupBy("sector", "category").agg(*FC.sums(F.col("x"), F.col("y"), F.col("year")))
+    of = lambda year: F.max(F.when(F.col("year") == year, F.col("y")))
+    s = s.join(c.groupBy("sector").agg(of(2000).alias("ny1"), of(2001).alias("ny2")), "sector")
+    found = FC.rolled(s, ["ny1", "ny2"], FC.CATEGORY, F.floor(F.col("ny2") / 100 + 0.5).cast("double"), by_direction=True)
+    return found.select("sector", "category", F.posexplode(F.array("forecast_1", "forecast_2")).alias("i", "f")).select("sector", "category", (F.col("i") + 2000).alias("year"), (F.col("f") / FC.UNIT).alias("forecast"))
+
+
+_kinds = f"SELECT entity, sector, category, year, 10 * g AS x, y, 'category' AS kind FROM ({_in_category}) JOIN (SELECT sector, category, year, {_fine} AS y FROM ({_in_category}) GROUP BY 1, 2, 3) USING (sector, category, year) UNION ALL SELECT entity, sector, category, year, 10 * g, y, 'sector' FROM ({_in_category}) JOIN ({_curve}) USING (sector, year)"
+_next = f"SELECT sector, category, year AS target, {_fine} AS ny, 'category' AS kind FROM ({_in_category}) GROUP BY 1, 2, 3 UNION ALL SELECT sector, category, year, y, 'sector' FROM ({_curve}) JOIN (SELECT DISTINCT sector, category FROM ({_category})) USING (sector)"
+_bstate = f"SELECT entity, category, target, kind, {_sums}, any_value(ny) AS ny FROM ({_kinds}) k JOIN ({_next}) nx USING (sector, category, kind) WHERE target IN (2000, 2001) AND year < target GROUP BY 1, 2, 3, 4"
+
+
+@query("borrower_forecast", f"SELECT entity, category, target::INTEGER AS year, max(forecast) FILTER (kind = 'category') / 10000 AS by_category, max(forecast) FILTER (kind = 'sector') / 10000 AS by_sector FROM ({_grid(_bstate, 'entity, category, target, kind', FC.BORROWER, 'last - 80000', 'last + 85000')}) GROUP BY 1, 2, 3")
+def borrower_forecast(spark, sf):
+    """FCS4: the growth of each entity in 2000 and 2001 from its years before, beside the
+    curve of its growth category and that of its sector."""
+    own = in_thousandths(spark, sf).join(S.growth_category(sector_growth(spark, sf), "entity", "sector").select("sector", "entity", "category"), ["sector", "entity"])
+    kind = lambda df, name: df.withColumn("kind", F.lit(name))
+    by_category = kind(curve_of(own, "sector", "category"), "category")
+    by_sector = kind(curve_of(own, "sector").join(own.select("sector", "category").distinct(), "sector"), "sector")
+    curves = by_category.unionByName(by_sector)
+    rows = own.join(curves, ["sector", "category", "year"]).select("*", F.explode(F.filter(F.array(F.lit(2000), F.lit(2001)), lambda t: t > F.col("year"))).alias("target"))
+    s = rows.groupBy("entity", "sector", "category", "kind", "target").agg(*FC.sums(10 * F.col("g"), F.col("y"), F.col("year")))
+    s = s.join(curves.select("sector", "category", "kind", F.col("year").alias("target"), F.col("y").alias("ny")), ["sector", "category", "kind", "target"])
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("forecast") / FC.UNIT)).alias(f"by_{k}")
+    return FC.next_value(s, "ny", FC.BORROWER).groupBy("entity", "category", F.col("target").cast("int").alias("year")).agg(of("category"), of("sector"))
+
+
+_rstate = f"SELECT entity, {_sums}, any_value(ny1) AS ny1, any_value(ny2) AS ny2 FROM ({_paired}) JOIN (SELECT sector, floor((y0 + y1) / 2) AS ny1, floor((floor((y0 + y1) / 2) + y1) / 2) AS ny2 FROM (SELECT sector, max(y) FILTER (year = 2000) AS y0, max(y) FILTER (year = 2001) AS y1 FROM ({_curve}) GROUP BY 1)) USING (sector) GROUP BY 1"
+_rlow, _rhigh = "(CASE WHEN last <= 0 THEN -30000 ELSE last - 40000 END)", "least(last + 3000, 30000)"
+_r2 = _grid(_grown(_grid(_rstate, "entity", FC.AHEAD, _rlow, _rhigh, "ny1"), "entity", "ny1", "ny2"), "entity", FC.AHEAD, _rlow, _rhigh, "ny2")
+
+
+@query("rolled_forward", f"SELECT entity, 2002 + i AS year, CASE i WHEN 0 THEN first ELSE forecast END / 10000 AS forecast FROM ({_r2}), (SELECT unnest([0, 1]) AS i)")
+def rolled_forward(spark, sf):
+    """FCS5: two years beyond the data for each entity, the sector's growth given (the mean
+    of its last two years, then of that and its last), each a place of the series for the next."""
+    g = in_thousandths(spark, sf)
+    c = curve_of(g, "sector")
+    s = g.join(c, ["sector", "year"]).groupBy("entity", "sector").agg(*FC.sums(10 * F.col("g"), F.col("y"), F.col("year")))
+    of = lambda year: F.max(F.when(F.col("year") == year, F.col("y")))
+    mean = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("double")
+    ahead = c.groupBy("sector").agg(of(2000).alias("y0"), of(2001).alias("y1")).withColumn("ny1", mean("y0", "y1")).withColumn("ny2", mean("ny1", "y1")).drop("y0", "y1")
+    found = FC.rolled(s.join(ahead, "sector"), ["ny1", "ny2"], FC.AHEAD)
+    return found.select("entity", F.posexplode(F.array("forecast_1", "forecast_2")).alias("i", "f")).select("entity", (F.col("i") + 2002).alias("year"), (F.col("f") / FC.UNIT).alias("forecast"))
 
 
 @query("sector_correlation", f"SELECT sector, round(corr(val, growth), 6) AS corr, round(stddev_pop(growth), 6) AS sd, round(var_pop(growth), 6) AS var, count(*) AS n FROM ({_sgrowth}) GROUP BY 1")

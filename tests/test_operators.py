@@ -132,13 +132,6 @@ def test_growth_and_frames(spark):
     assert series.exact_frame(df, "e", 2000, 2002).count() == 0
 
 
-def test_roll_forward_and_constant_series(spark):
-    df = spark.createDataFrame([("a", i, 1.0 + 0.02 * i, 1.0 + 0.02 * i) for i in range(4)] + [("c", i, 1.0, 1.0) for i in range(4)], "entity string, pos int, x double, y double")
-    out = series.roll_forward(df, "entity", [1.08, 1.1])
-    assert [round(r.x, 2) for r in out.where("entity = 'a' AND pos > 3").orderBy("pos").collect()] == [1.08, 1.1]
-    assert out.where("entity = 'c'").count() == 4
-
-
 def test_sampling_is_stable_and_meets_quotas(spark):
     df = spark.range(1000).withColumn("s", F.when(F.col("id") < 990, "a").otherwise("b")).withColumn("g", F.col("id") % 3)
     quotas = spark.createDataFrame([("a", 20), ("b", 20)], "s string, quota int")
@@ -219,22 +212,6 @@ def test_streams_match_batch(spark, tiny, tmp_path):
     assert events.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
 
 
-def test_rolled_forward_values_against_a_plain_search(spark):
-    y = [1.0, 1.1, 1.2, 1.15, 1.3]
-    rows = [(e, i, v * (1 + e / 10), v) for e in (0, 1, 2) for i, v in enumerate(y)]
-    df = spark.createDataFrame(rows, "entity long, pos int, x double, y double")
-    out = series.roll_forward(df, "entity", [1.35, 1.4])
-    got = {(r.entity, r.pos): r.x for r in out.collect()}
-    for e in (0, 1, 2):
-        x, c = [v * (1 + e / 10) for v in y], list(y)
-        for nxt in (1.35, 1.4):
-            one = spark.createDataFrame([(e, i, a, b, nxt) for i, (a, b) in enumerate(zip(x, c, strict=True))], "entity long, pos int, x double, y double, next_y double")
-            f = series.correlation_forecast(one, "entity", "x", "y", "next_y").first().forecast
-            x.append(f)
-            c.append(nxt)
-        assert [got[e, 5], got[e, 6]] == x[5:]
-
-
 def test_fetch_tries_again_and_gives_up():
     asked = []
 
