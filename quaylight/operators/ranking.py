@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import numbers as N
+from .scan import scanned
 
 #: Widths of the log windows.
 WINDOWS = tuple(round(0.2 * i, 1) for i in range(1, 11))
@@ -30,14 +31,11 @@ def closeness(rev: Column, ebitda: Column, rev0: Column, ebitda0: Column) -> Col
     return N.symmetric_ratio(rev, rev0) * N.symmetric_ratio(N.ratio(ebitda, rev), N.ratio(ebitda0, rev0))
 
 
-def ordered(keys: list[str], order: list[Column]):
-    return W.Window.partitionBy(*keys).orderBy(*order)
-
-
 def running_precision(df: DataFrame, keys: list[str], rel: str, order: list[Column]) -> DataFrame:
-    """MET1, WIN5, WIN6: adds position (1-based), hits so far and precision there."""
-    w = ordered(keys, order)
-    return df.withColumn("pos", F.row_number().over(w).cast("long")).withColumn("hits", F.sum((F.col(rel) > 0).cast("long")).over(w.rowsBetween(W.Window.unboundedPreceding, 0))).withColumn("precision", F.col("hits") / F.col("pos"))
+    """MET1, WIN5, WIN6: adds position (1-based), hits so far and precision there. Orders
+    here and below are ascending."""
+    hit = F.when(F.col(rel) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return scanned(df, keys, order, "pos", {"hits": hit}).withColumn("precision", F.col("hits") / F.col("pos"))
 
 
 def average_precision(df: DataFrame, keys: list[str], rel: str, order: list[Column]) -> DataFrame:
@@ -50,7 +48,7 @@ def ndcg(df: DataFrame, keys: list[str], rel: str, order: list[Column], tie: str
     """MET3, WIN7: gain 2^rel - 1 by log2(position + 1), over the ideal order's; null
     where that is 0."""
     gain = F.pow(F.lit(2.0), F.col(rel)) - 1
-    d = df.withColumn("_p", F.row_number().over(ordered(keys, order))).withColumn("_i", F.row_number().over(ordered(keys, [F.desc(rel), F.asc(tie)])))
+    d = scanned(scanned(df, keys, order, "_p"), keys, [-F.col(rel), F.col(tie)], "_i")
     return d.groupBy(*keys).agg(F.round(F.try_divide(F.sum(gain / F.log2(F.col("_p") + 1)), F.sum(gain / F.log2(F.col("_i") + 1))), 6).alias("ndcg"))
 
 
@@ -70,13 +68,13 @@ def preference_counts(df: DataFrame, keys: list[str], rel: str) -> DataFrame:
     return n.withColumn("b", below).groupBy(*keys).agg(F.sum(F.col("n") * F.col("b")).alias("n_pairs"))
 
 
-def inversion_counts(df: DataFrame, keys: list[str], rel: str, order: str) -> DataFrame:
+def inversion_counts(df: DataFrame, keys: list[str], rel: str, order: list[Column]) -> DataFrame:
     """JN16, JN17, RNK11: of each list the concordant and discordant pairs of
     relevance and position, and Kendall's tau-b without ties in position. Counted by
     running sums over positions for each level, not by making the pairs."""
     levels = df.select(*keys, F.col(rel).alias("level")).distinct()
-    at = W.Window.partitionBy(*keys, "level").orderBy(order).rowsBetween(W.Window.unboundedPreceding, -1)
-    seen = df.join(levels, keys).withColumn("before", F.coalesce(F.sum((F.col(rel) == F.col("level")).cast("long")).over(at), F.lit(0)))
+    same = (F.col(rel) == F.col("level")).cast("long")
+    seen = scanned(df.join(levels, keys), [*keys, "level"], order, "_p", {"before": same}).withColumn("before", F.col("before") - same)
     pairs = seen.groupBy(*keys).agg(F.sum(F.when(F.col("level") > F.col(rel), F.col("before")).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("level") < F.col(rel), F.col("before")).otherwise(0)).alias("discordant"))
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
     c, d, all_ = F.col("concordant"), F.col("discordant"), F.col("n") * (F.col("n") - 1) / 2

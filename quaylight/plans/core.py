@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import sampling as S
+from ..operators.scan import at_ranks, quantiles
 from ..sources.io import lower_columns, of_types, prefix_columns, table
 from .registry import query
 
@@ -204,9 +205,8 @@ def histogram_by_group(spark, sf):
 @query("percentile_curve", "SELECT o_orderpriority, p::INTEGER AS p, round(v, 4) AS v FROM (SELECT o_orderpriority, unnest([5, 25, 50, 75, 95]) AS p, unnest(quantile_cont(o_totalprice, [0.05, 0.25, 0.5, 0.75, 0.95])) AS v FROM orders GROUP BY 1)")
 def percentile_curve(spark, sf):
     """AGG30: percentiles by linear interpolation."""
-    at = [5, 25, 50, 75, 95]
-    q = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*(F.lit(p / 100) for p in at))).alias("q"))
-    return q.select("o_orderpriority", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("p"), F.col("q").alias("v"))).alias("r")).select("o_orderpriority", F.col("r.p").alias("p"), F.round("r.v", 4).alias("v"))
+    q = quantiles(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", [0.05, 0.25, 0.5, 0.75, 0.95])
+    return q.select("o_orderpriority", F.round(F.col("q") * 100).cast("int").alias("p"), F.round("o_totalprice", 4).alias("v"))
 
 
 @query(
@@ -219,9 +219,10 @@ def percentile_curve(spark, sf):
 def quantile_cuts(spark, sf):
     """AGG29: the value at index least(ceil((k+1) n / 8), n-1) of the sorted positives,
     plus 1, for each k."""
-    w = W.Window.partitionBy("o_orderpriority")
-    r = table(spark, sf, "orders").where("o_totalprice > 0").select("o_orderpriority", "o_totalprice", (F.row_number().over(w.orderBy("o_totalprice")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    ks = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("i") == F.least(F.ceil((k + 1) * F.col("n") / 8.0), F.col("n") - 1))
+    index = lambda k, n: F.least(F.ceil((k + 1) * n / 8.0), n - 1)
+    eight = F.sequence(F.lit(0), F.lit(7))
+    r = at_ranks(table(spark, sf, "orders").where("o_totalprice > 0"), ["o_orderpriority"], "o_totalprice", lambda n: F.transform(eight, lambda k: index(k, n)))
+    ks = F.filter(eight, lambda k: F.col("rank") == index(k, F.col("n")))
     return r.select("o_orderpriority", F.explode(ks).alias("k"), F.round(F.col("o_totalprice") + 1.0, 4).alias("cut"))
 
 

@@ -14,6 +14,7 @@ from ..operators import sampling as S
 from ..operators import series
 from ..operators import textsearch as TS
 from ..operators import web
+from ..operators.scan import scanned
 from ..sources.io import table
 from . import texts
 from .registry import query
@@ -206,9 +207,8 @@ def relative_order(spark, sf):
 @query("strict_inversions", f"WITH a AS (SELECT task, analyst, rel, row_number() OVER (PARTITION BY task, analyst ORDER BY n_chars DESC, doc_id) AS p FROM ({_a})) SELECT x.task, x.analyst, count(y.p) AS n, (count(*) FILTER (y.p IS NOT NULL) > 0) AS found FROM a x LEFT JOIN a y ON x.task = y.task AND x.analyst = y.analyst AND x.p < y.p AND x.rel = 0 AND y.rel >= 1 GROUP BY 1, 2")
 def strict_inversions(spark, sf):
     """JN17: irrelevant documents ranked above relevant ones, counted by what follows."""
-    back = W.Window.partitionBy("task", "analyst").orderBy(F.asc("n_chars"), F.desc("doc_id")).rowsBetween(W.Window.unboundedPreceding, -1)
-    later = F.coalesce(F.sum((F.col("rel") >= 1).cast("long")).over(back), F.lit(0))
-    a = annotations(spark, sf).withColumn("later", later)
+    hit = (F.col("rel") >= 1).cast("long")
+    a = scanned(annotations(spark, sf), ["task", "analyst"], [F.col("n_chars"), -F.col("doc_id")], "back", {"later": hit})
     return a.groupBy("task", "analyst").agg(F.sum(F.when(F.col("rel") == 0, F.col("later")).otherwise(F.lit(0))).alias("n")).withColumn("found", F.col("n") > 0)
 
 

@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..operators import ranking as K
 from ..operators import relational as R
 from ..operators import textsearch as TS
+from ..operators.scan import scanned
 from ..sources.io import table
 from . import facts as FX
 from . import texts as TX
@@ -64,10 +65,9 @@ def closeness_rerank(spark, sf):
     """RNK10 SRT9 MTH6: only the first 21 of a list are reordered by closeness."""
     c = table(spark, sf, "customer")
     t = c.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("r0"))
-    rn = F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    s = c.join(t, "c_nationkey").withColumn("rn", rn).withColumn("close", F.round(N.symmetric_ratio(F.col("c_acctbal"), F.col("r0")), 6))
-    head = F.col("rn") <= 21
-    return R.top_k(s, ["c_nationkey"], [F.when(head, 0).otherwise(1), F.when(head, -F.col("close")).otherwise(F.col("rn").cast("double")), F.col("c_custkey")], 1 << 30, "pos").select("c_nationkey", "c_custkey", "close", "pos")
+    s = scanned(c.join(t, "c_nationkey"), ["c_nationkey"], [F.col("c_custkey")], "rn").withColumn("close", F.round(N.symmetric_ratio(F.col("c_acctbal"), F.col("r0")), 6))
+    head = R.top_k(s.where("rn <= 21"), ["c_nationkey"], [F.desc("close"), F.asc("c_custkey")], 21, "pos")
+    return head.select("c_nationkey", "c_custkey", "close", "pos").unionByName(s.where("rn > 21").select("c_nationkey", "c_custkey", "close", F.col("rn").alias("pos")))
 
 
 @query("code_distance", "SELECT p_partkey, abs(p_size - other)::INTEGER AS gap, (p_brand = other_brand)::INTEGER AS same FROM (SELECT p_partkey, p_size, p_brand, lead(p_size) OVER w AS other, lead(p_brand) OVER w AS other_brand FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey)) WHERE other IS NOT NULL")

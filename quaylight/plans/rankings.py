@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as K
 from ..operators import relational as R
+from ..operators.scan import scanned
 from ..sources.io import table
 from .registry import query
 
@@ -19,7 +20,7 @@ def annotations(spark, sf):
 
 
 def order():
-    return [F.desc("n_chars"), F.asc("doc_id")]
+    return [-F.col("n_chars"), F.col("doc_id")]
 
 
 @query("precision_at_k", f"SELECT task, doc_id, pos, hits::BIGINT AS hits, round(hits / pos, 6) AS precision FROM (SELECT *, row_number() OVER w AS pos, sum((rel > 0)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM ({_a}) WINDOW w AS (PARTITION BY task ORDER BY n_chars DESC, doc_id))")
@@ -55,14 +56,14 @@ def worst_tail(spark, sf):
 @query("rank_buckets", f"WITH r AS (SELECT doc_id, rel, row_number() OVER (PARTITION BY task ORDER BY n_chars DESC, doc_id) AS p FROM ({_a})), k AS (SELECT CASE WHEN rel > 1 THEN p ELSE -1 END AS rank FROM r) SELECT count(*) FILTER (rank BETWEEN 1 AND 10) AS top_10, count(*) FILTER (rank BETWEEN 1 AND 20) AS top_20, count(*) FILTER (rank BETWEEN 1 AND 50) AS top_50, count(*) FILTER (rank BETWEEN 1 AND 100) AS top_100, count(*) FILTER (rank > 100) AS beyond, count(*) FILTER (rank = -1) AS absent, round(avg(CASE WHEN rank BETWEEN 1 AND 20 THEN 1.0 / rank END), 6) AS mrr_hits, round(avg(CASE WHEN rank >= 1 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM k")
 def rank_buckets(spark, sf):
     """MET5-7"""
-    r = R.top_k(annotations(spark, sf), ["task"], order(), 1 << 30, "p")
+    r = scanned(annotations(spark, sf), ["task"], order(), "p")
     return K.rank_buckets(r.select(F.when(F.col("rel") > 1, F.col("p")).otherwise(-1).alias("rank")), "rank")
 
 
 @query("mean_recall", f"WITH r AS (SELECT task, rel, row_number() OVER (PARTITION BY task ORDER BY n_chars DESC, doc_id) AS p FROM ({_a})), q AS (SELECT task, count(*) FILTER (rel > 0 AND p <= 10) / nullif(count(*) FILTER (rel > 0), 0) AS r10, count(*) FILTER (rel > 0 AND p <= 20) / nullif(count(*) FILTER (rel > 0), 0) AS r20 FROM r GROUP BY 1) SELECT round(avg(r10), 6) AS recall_10, round(avg(r20), 6) AS recall_20 FROM q")
 def mean_recall(spark, sf):
     """MET8"""
-    r = R.top_k(annotations(spark, sf), ["task"], order(), 1 << 30, "p")
+    r = scanned(annotations(spark, sf), ["task"], order(), "p")
     hit = lambda k: F.try_divide(F.sum(((F.col("rel") > 0) & (F.col("p") <= k)).cast("int")), F.sum((F.col("rel") > 0).cast("int"))).alias(f"r{k}")
     return r.groupBy("task").agg(hit(10), hit(20)).agg(F.round(F.avg("r10"), 6).alias("recall_10"), F.round(F.avg("r20"), 6).alias("recall_20"))
 
@@ -82,8 +83,7 @@ def preference_counts(spark, sf):
 @query("kendall_tau", f"WITH a AS ({_a}), c AS (SELECT x.task, count(*) FILTER (x.rel > y.rel) AS concordant, count(*) FILTER (x.rel < y.rel) AS discordant FROM a x LEFT JOIN a y ON x.task = y.task AND (x.n_chars, -x.doc_id) > (y.n_chars, -y.doc_id) GROUP BY 1), n AS (SELECT task, count(*) AS n FROM a GROUP BY 1) SELECT task, concordant, discordant, round((concordant - discordant) / nullif(sqrt((concordant + discordant) * (n * (n - 1) / 2)), 0), 6) AS tau FROM c JOIN n USING (task)")
 def kendall_tau(spark, sf):
     """RNK11 JN16 JN17: longer documents are ranked first."""
-    a = annotations(spark, sf).withColumn("at", F.struct(-F.col("n_chars"), F.col("doc_id")))
-    return K.inversion_counts(a, ["task"], "rel", "at")
+    return K.inversion_counts(annotations(spark, sf), ["task"], "rel", order())
 
 
 @query("annotator_agreement", f"WITH a AS (SELECT task, doc_id // 3 AS item, analyst, (rel > 1)::INT AS y FROM ({_a})), p AS (SELECT x.task, x.item, count(*) FILTER (x.y = y.y) AS same, count(*) AS n FROM a x JOIN a y ON x.task = y.task AND x.item = y.item AND x.analyst < y.analyst GROUP BY 1, 2), q AS (SELECT task, sum(same)::BIGINT AS agreeing, sum(n)::BIGINT AS pairs FROM p GROUP BY 1), c AS (SELECT task, item, max(c) AS top, sum(c) AS n FROM (SELECT task, item, y, count(*) AS c FROM a GROUP BY 1, 2, 3) GROUP BY 1, 2), m AS (SELECT task, count(*) FILTER (top * 2 > n) AS majority, count(*) FILTER (top * 2 = n) AS stalemate FROM c GROUP BY 1) SELECT m.task, coalesce(agreeing, 0) AS agreeing, coalesce(pairs, 0) AS pairs, majority, stalemate FROM m LEFT JOIN q USING (task)")
@@ -119,10 +119,9 @@ def filled_annotations(spark, sf):
 @query("mixed_groups", f"WITH a AS ({_a}) SELECT task, analyst, doc_id, rel FROM (SELECT *, min(rel) OVER (PARTITION BY task, analyst) AS lo, max(rel) OVER (PARTITION BY task, analyst) AS hi FROM a) WHERE lo <> hi")
 def mixed_groups(spark, sf):
     """FLT20 JN18: lists whose labels are all equal are dropped."""
-    from pyspark.sql import window as W
-
-    w = W.Window.partitionBy("task", "analyst")
-    return annotations(spark, sf).withColumn("lo", F.min("rel").over(w)).withColumn("hi", F.max("rel").over(w)).where("lo <> hi").select("task", "analyst", "doc_id", "rel")
+    a = annotations(spark, sf)
+    mixed = a.groupBy("task", "analyst").agg(F.min("rel").alias("lo"), F.max("rel").alias("hi")).where("lo <> hi")
+    return a.join(mixed.select("task", "analyst"), ["task", "analyst"], "left_semi").select("task", "analyst", "doc_id", "rel")
 
 
 @query("gold_accuracy", f"WITH a AS ({_a}) SELECT analyst, count(*) AS n, round(avg((a.rel = g.gold)::INT), 6) AS accuracy FROM a JOIN (SELECT task, rel AS gold FROM (SELECT task, rel, row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, rel) AS k FROM a GROUP BY 1, 2) WHERE k = 1) g USING (task) GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import textsearch as TS
+from ..operators.scan import scanned
 from ..sources import fetch
 from ..sources.io import batches, bulk_query, json_lines, load, new_path, read_tsv, save, save_index, save_vocabulary, sheet_rows, table
 from .registry import query
@@ -86,8 +87,7 @@ def vocabulary_file(spark, sf):
     """SNK5: words in sorted order with ids and idf as CSV."""
     p = table(spark, sf, "part")
     terms = TS.frequencies(TS.postings(p, "p_partkey", F.split("p_name", " ")))
-    # A vocabulary is one row a word; its ids follow the order of words.
-    v = TS.with_idf(terms, p, "c").select(F.col("term").alias("word"), "idf").withColumn("id", F.row_number().over(W.Window.orderBy("word")) - 1)
+    v = scanned(TS.with_idf(terms, p, "c").select(F.col("term").alias("word"), "idf"), [], [F.col("word")], "rank").withColumn("id", F.col("rank") - 1)
     path = new_path(spark, "vocabulary")
     save_vocabulary(v.select("word", F.col("id").cast("long").alias("id"), F.round("idf", 6).alias("idf")), path)
     return load(spark, "csv://" + path, {"header": "true"}, "word string, id long, idf double")

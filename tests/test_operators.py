@@ -100,9 +100,9 @@ def test_idf_kinds(spark):
 
 def test_ranking_metrics(spark):
     df = spark.createDataFrame([("t", i, r) for i, r in enumerate([0, 1, 0, 2])] + [("n", i, 0) for i in range(3)], "t string, i int, rel int")
-    ap = {r.t: r.ap for r in ranking.average_precision(df, ["t"], "rel", [F.asc("i")]).collect()}
+    ap = {r.t: r.ap for r in ranking.average_precision(df, ["t"], "rel", [F.col("i")]).collect()}
     assert ap == {"t": 0.5, "n": 0.0}
-    nd = {r.t: r.ndcg for r in ranking.ndcg(df, ["t"], "rel", [F.asc("i")], "i").collect()}
+    nd = {r.t: r.ndcg for r in ranking.ndcg(df, ["t"], "rel", [F.col("i")], "i").collect()}
     assert nd["n"] is None
     assert 0 < nd["t"] < 1
 
@@ -113,7 +113,7 @@ def test_preferences_and_inversions_against_pairs(spark):
     df = spark.createDataFrame(rows, "t int, i int, rel int")
     got = {(r.better, r.worse) for r in ranking.preferences(df, ["t"], "i", "rel").collect()}
     assert got == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] > b[2]}
-    inv = {r.t: (r.concordant, r.discordant) for r in ranking.inversion_counts(df, ["t"], "rel", "i").collect()}
+    inv = {r.t: (r.concordant, r.discordant) for r in ranking.inversion_counts(df, ["t"], "rel", [F.col("i")]).collect()}
     for t in range(3):
         own = [r for r in rows if r[0] == t]
         assert inv[t] == (sum(a[1] < b[1] and a[2] > b[2] for a in own for b in own), sum(a[1] < b[1] and a[2] < b[2] for a in own for b in own))
