@@ -83,12 +83,19 @@ def axes(gram: np.ndarray, sizes: list[int], k: int, cross: float = CROSS) -> np
     return vectors * np.sign(vectors[(np.abs(vectors) >= largest).argmax(axis=0), np.arange(vectors.shape[1])])
 
 
-def _projected(sizes: list[int], to: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _projected(sizes: list[int], to: np.ndarray, places: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.round(_dense(b.columns[1:], sizes) @ to / len(sizes), 4) + 0.0
+        found = _dense(b.columns[1:], sizes) @ to / len(sizes)
+        found = found if places is None else np.round(found, places) + 0.0
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(found), pa.list_(pa.float64()))], ["_key", "projected"])
 
 
+def coordinates(df: DataFrame, key: str, blocks: list[str], sizes: list[int], to: np.ndarray, places: int | None = None) -> DataFrame:
+    """(key, projected): the mean over the blocks of their products with their rows of ``to``."""
+    out = df.select(F.col(key).alias("_key"), *blocks).mapInArrow(partial(_projected, sizes, to, places), f"_key {df.schema[key].dataType.simpleString()}, projected array<double>")
+    return out.select(F.col("_key").alias(key), "projected")
+
+
 def multi_set_projection(df: DataFrame, key: str, blocks: list[str], k: int, cross: float = CROSS) -> DataFrame:
     """VEC19: (key, projected) of rows that have a vector in each of the ``blocks`` columns:
     the mean over the blocks of their products with the block's part of the ``k`` leading
@@ -96,8 +103,7 @@ def multi_set_projection(df: DataFrame, key: str, blocks: list[str], k: int, cro
     blocks without columns give empty vectors. The driver holds a matrix of all columns."""
     sizes = widths(df, blocks)
     to = axes(products(df, blocks, sizes), sizes, min(k, sum(sizes)), cross) if sum(sizes) else np.zeros((0, 0))
-    out = df.select(F.col(key).alias("_key"), *blocks).mapInArrow(partial(_projected, sizes, to), f"_key {df.schema[key].dataType.simpleString()}, projected array<double>")
-    return out.select(F.col("_key").alias(key), "projected")
+    return coordinates(df, key, blocks, sizes, to, 4)
 
 
 def aligned(tables: list[DataFrame], key: str) -> DataFrame:

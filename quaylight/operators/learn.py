@@ -11,84 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.io import drop_kept, kept
+from . import blocks
+from .factors import industry_topics, nmf  # noqa: F401
 
 
 def svd(df: DataFrame, key: str, array: str, k: int) -> DataFrame:
-    """VEC6: coordinates on the k leading right singular vectors. The Gram matrix is
-    summed in the executors (d x d, whatever the rows), its eigenvectors are taken on
-    the driver, and rows are projected by an expression. Signs are fixed so that each
-    vector's largest entry is positive."""
-    d = df.select(F.max(F.size(array))).first()[0] or 0
-    if not d:
-        return df.select(key, F.array().cast("array<double>").alias("svd"))
-
-    def gram(batches):
-        total = np.zeros((d, d))
-        for b in batches:
-            m = np.array([x for x in b["v"] if x is not None and len(x) == d], float)
-            if len(m):
-                total += m.T @ m
-        yield pd.DataFrame({"i": np.repeat(np.arange(d), d), "j": np.tile(np.arange(d), d), "g": total.ravel()})
-
-    parts = df.select(F.col(array).alias("v")).mapInPandas(gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
-    g = np.zeros((d, d))
-    for r in parts.collect():
-        g[r.i, r.j] = r.g
-    vec = np.linalg.eigh(g)[1][:, ::-1][:, :k]
-    vec = vec * np.sign(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])])
-    axes = [F.array(*(F.lit(float(x)) for x in vec[:, i])) for i in range(vec.shape[1])]
-    from ..functions.numbers import dot
-
-    return df.select(key, F.array(*(dot(F.col(array), a) for a in axes)).alias("svd"))
-
-
-def nmf(weights: DataFrame, doc: str, term: str, w: str, k: int, steps: int = 200, bound: float = 1e-4) -> DataFrame:
-    """VEC7: (doc, factors) by multiplicative updates. Factors are arrays beside their
-    document or term; each half step is a join on the other side and a sum, and only
-    k x k sums come to the driver. They begin at hashes, so reruns agree. It ends when
-    ten rounds lower the Frobenius error by less than ``bound`` of that of the start,
-    or after ``steps`` rounds."""
-    from ..functions.numbers import dot
-
-    start = lambda c: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (F.pmod(F.xxhash64(c, i), F.lit(1000)) + 1) / 1000.0)
-    own = weights.select(F.col(doc).alias("d"), F.col(term).alias("t"), F.col(w).alias("x"))
-    own = kept(own, "nmf")
-    square = own.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
-    rows, cols = own.select("d").distinct().withColumn("f", start(F.col("d"))), own.select("t").distinct().withColumn("f", start(F.col("t")))
-
-    def sums(side: DataFrame, cross: Column) -> tuple[np.ndarray, float]:
-        r = side.agg(F.array(*(F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(k) for j in range(k))).alias("gram"), F.sum(cross).alias("cross")).first()
-        return np.array([v or 0.0 for v in r.gram]).reshape(k, k), r.cross or 0.0
-
-    def half(mine: DataFrame, other: DataFrame, gram: np.ndarray, a: str, b: str) -> DataFrame:
-        top = own.join(other.select(b, "f"), b).groupBy(a).agg(F.array(*(F.sum(F.col("x") * F.col("f")[i]) for i in range(k))).alias("top"))
-        down = [dot(F.col("f"), F.array(*(F.lit(float(gram[i, j])) for j in range(k)))) for i in range(k)]
-        new = kept(mine.select(a, "f").join(top, a).select(a, F.array(*(F.col("f")[i] * F.col("top")[i] / (down[i] + 1e-12) for i in range(k))).alias("f"), "top"), "nmf")
-        if hasattr(mine, "_kept_at"):
-            drop_kept(mine)
-        return new
-
-    def error(cross: float, g: np.ndarray, h: np.ndarray) -> float:
-        return float(np.sqrt(max(0.0, square - 2 * cross + (g * h).sum())))
-
-    of_cols, _ = sums(cols, F.lit(0.0))
-    of_rows, _ = sums(rows, F.lit(0.0))
-    cross = own.join(rows, "d").join(cols.withColumnRenamed("f", "g"), "t").agg(F.sum(F.col("x") * dot(F.col("f"), F.col("g")))).first()[0] or 0.0
-    start_error = before = error(cross, of_rows, of_cols)
-    for step in range(1, steps + 1):
-        rows = half(rows, cols, of_cols, "d", "t")
-        of_rows, _ = sums(rows, F.lit(0.0))
-        cols = half(cols, rows, of_rows, "t", "d")
-        of_cols, cross = sums(cols, dot(F.col("f"), F.col("top")))
-        if step % 10 == 0:
-            now = error(cross, of_rows, of_cols)
-            if before - now < bound * start_error:
-                break
-            before = now
-    if steps:
-        drop_kept(own, cols)
-    return rows.select(F.col("d").alias(doc), F.col("f").alias("factors"))
+    """VEC6 for dense vectors: coordinates on the k leading right singular vectors. The Gram
+    matrix is summed in the executors (d x d, whatever the rows) and its eigenvectors are
+    taken on the driver; wide sparse rows are for ``truncated_svd``. Signs are fixed so that
+    each vector's largest entry is positive. Short and null vectors end in zeros."""
+    sizes = blocks.widths(df, [array])
+    vec = np.linalg.eigh(blocks.products(df, [array], sizes))[1][:, ::-1][:, :k]
+    if vec.size:
+        vec = vec * np.sign(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])])
+    return blocks.coordinates(df, key, [array], sizes, vec).withColumnRenamed("projected", "svd")
 
 
 def kmeans(df: DataFrame, key: str, array: str, k: int, seed: int = 7) -> DataFrame:
@@ -112,64 +48,42 @@ def importance(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.lit(w).alias("w")) for f, w in weights.items()))).alias("r")).groupBy("r.feature").agg(F.round(F.max("r.w") * F.stddev_pop("r.x"), 6).alias("importance"))
 
 
-def _digamma(x: Column) -> Column:
-    """Digamma for positive x by recurrence to x + 6 and the asymptotic series."""
-    y = x + 6
-    series = F.ln(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, F.lit(4.0))) - 1 / (252 * F.pow(y, F.lit(6.0)))
-    return series - sum(1 / (x + i) for i in range(6))
-
-
-def industry_topics(post: DataFrame, doc: str, industry: str, steps: int = 50, alpha: float = 0.1) -> DataFrame:
-    """VEC22: (topic, term, phi) of a model with a background topic and one of each
-    industry: a word of a document is from the background or from its industry.
-    Expectation and maximisation are joins and sums over (doc, term, tf, industry);
-    each round is a table, and the one before it is deleted."""
-    own = post.select(F.col(doc).alias("d"), "term", F.col("tf").cast("double").alias("tf"), F.col(industry).alias("g")).where("g IS NOT NULL")
-    own = kept(own, "topics")
-    # Words of each industry and term from the industry, from the background, and the background's over all industries.
-    phi = own.groupBy("g", "term").agg(F.sum("tf").alias("n"), F.sum("tf").alias("m"))
-    theta = own.select("d").distinct().select("d", F.lit(1.0).alias("own"), F.lit(1.0).alias("back"))
-    for step in range(steps):
-        back = phi.groupBy("term").agg(F.sum("m").alias("m"))
-        sums = phi.groupBy("g").agg(F.sum("n").alias("of_g"), F.sum("m").alias("m"))
-        of_all = sums.agg(F.sum("m").alias("of_all"))  # one row
-        p = phi.select("g", "term", "n").join(sums.drop("m"), "g").join(F.broadcast(of_all)).join(back, "term").select("g", "term", (F.col("n") / F.col("of_g")).alias("p"), (F.col("m") / F.col("of_all")).alias("b"))
-        share = theta.select("d", F.exp(_digamma(F.col("own") + alpha)).alias("own"), F.exp(_digamma(F.col("back") + alpha)).alias("back"))
-        e = own.join(p, ["g", "term"]).join(share, "d")
-        x, y = F.col("p") * F.col("own"), F.col("b") * F.col("back")
-        e = kept(e.select("d", "term", "g", "tf", (x / (x + y)).alias("q")), "topics")
-        if step:
-            drop_kept(last)
-        last = e
-        theta = e.groupBy("d").agg(F.sum(F.col("tf") * F.col("q")).alias("own"), F.sum(F.col("tf") * (1 - F.col("q"))).alias("back"))
-        phi = e.groupBy("g", "term").agg(F.sum(F.col("tf") * F.col("q")).alias("n"), F.sum(F.col("tf") * (1 - F.col("q"))).alias("m"))
-    if steps:
-        drop_kept(own)
-    flat = phi.select("term", F.explode(F.array(F.struct("g", "n"), F.struct(F.lit("*").alias("g"), F.col("m").alias("n")))).alias("r"))
-    out = flat.groupBy("r.g", "term").agg(F.sum("r.n").alias("n"))
-    total = out.groupBy("g").agg(F.sum("n").alias("all"))
-    return out.join(total, "g").select(F.col("g").alias("topic"), "term", F.round(F.col("n") / F.col("all"), 9).alias("phi"))
-
-
-def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> float:
-    n, m = len(a), len(b)
+def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Distances of rows of two matrices, (rows, n) and (rows, m): the band's cells by
+    anti-diagonals, of which each needs the two before it, for all rows at once."""
+    n, m = a.shape[1], b.shape[1]
     if not n or not m:
-        return float("nan")
+        return np.full(len(a), np.nan)
     window = max(window, abs(n - m))
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(max(1, i - window), min(m, i + window) + 1):
-            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
-    return float(cost[n, m])
+    # cost[i] of the cells (i, s - i), with a row and a column of infinity before the first
+    older = np.full((len(a), n + 1), np.inf)
+    old = np.full((len(a), n + 1), np.inf)
+    older[:, 0] = 0
+    for s in range(2, n + m + 1):
+        low, high = max(1, s - m, -(-(s - window) // 2)), min(n, s - 1, (s + window) // 2)
+        new = np.full((len(a), n + 1), np.inf)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            best = np.minimum(np.minimum(old[:, i - 1], old[:, i]), older[:, i - 1])
+            new[:, i] = np.abs(a[:, i - 1] - b[:, s - i - 1]) + best
+        older, old = old, new
+    return old[:, n]
 
 
 def dtw(a: Column, b: Column, window: int) -> Column:
-    """VEC21: dynamic time warping distance of arrays in a band."""
+    """VEC21: dynamic time warping distance of arrays in a band; null where a side is
+    null or empty. Pairs of the same two lengths are worked out together."""
 
     @F.pandas_udf(T.DoubleType())
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_dtw(p, q, window) if p is not None and q is not None else None for p, q in zip(x, y, strict=True)], dtype="float64")
+        out = np.full(len(x), np.nan)
+        given = [i for i, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i in given:
+            groups.setdefault((len(x.iloc[i]), len(y.iloc[i])), []).append(i)
+        for (n, m), own in groups.items():
+            out[own] = _dtw(np.array([x.iloc[i] for i in own], float).reshape(len(own), n), np.array([y.iloc[i] for i in own], float).reshape(len(own), m), window)
+        return pd.Series(out)
 
     return each(a, b)
 

@@ -89,3 +89,31 @@ def test_registered_topics_run_all_rounds(spark, monkeypatch):
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert max(abs(want[k] - v) for k, v in plain_topics(post, 2).items()) > 1e-3
+
+
+def plain_dtw(a, b, window):
+    n, m = len(a), len(b)
+    window = max(window, abs(n - m))
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(1, n + 1):
+        for j in range(max(1, i - window), min(m, i + window) + 1):
+            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
+    return cost[n, m]
+
+
+@pytest.mark.parametrize("window", [0, 1, 3, 50])
+def test_dtw_by_diagonals(spark, window):
+    rng = np.random.default_rng(window)
+    pairs = [(rng.standard_normal(n), rng.standard_normal(m)) for n, m in [(1, 1), (5, 5), (5, 5), (7, 3), (2, 9), (12, 12), (1, 6)]]
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(pairs)] + [(90, None, [1.0]), (91, [1.0], []), (92, [], [])], "i int, a array<double>, b array<double>")
+    got = {r.i: r.d for r in df.select("i", L.dtw(df.a, df.b, window).alias("d")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == pytest.approx(plain_dtw(a, b, window))
+    assert got[90] is None and got[91] is None and got[92] is None
+
+
+def test_topics_and_factors_of_no_rows(spark):
+    none = spark.createDataFrame([], "d long, term string, tf double, g string")
+    assert L.industry_topics(none, "d", "g", 3).count() == 0
+    assert L.nmf(none, "d", "term", "tf", 3).count() == 0
