@@ -40,8 +40,15 @@ NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 # Of these, names that parts of a story bear too: within an article they count only where
-# most of the text is links.
-WEAK = frozenset("banner dialog header menu modal related respond search social toolbar widget widgets".split())
+# most of the text is links, or where it holds something to press or to fill in.
+WEAK = frozenset(
+    "banner complementary dialog header masthead menu modal notice notices notification notifications popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup social subscribe toolbar widget widgets".split()
+)
+# Words that such a name may be joined with; with any other (ad-hoc, share-price) it is another word.
+WITH = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content desktop el entry fixed footer global google group head header holder icon icons id inline inner item items js layout left link links list lower main mobile module outer page pane panel placeholder post posts primary region right row secondary section site size slot small space sticky stories tags text title top unit upper user view wrap wrapper".split()
+)
+CONTROLS = frozenset("button form input".split())
 # Cells of a table recur by their values; only whole rows and tables are template.
 CELLS = frozenset("td th".split())
 # What holds running text: an inline element in it is part of a sentence.
@@ -62,15 +69,19 @@ def _attributes(attrs: str) -> tuple[str, int, bool]:
     hidden)"""
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _named.finditer(attrs)}
     own = f"{got.get('class', '')} {got.get('id', '')}"
-    parts = {p.lower() for p in _part.findall(f"{own} {got.get('role', '')}")}
+    parts = set()
+    for name in f"{own} {got.get('role', '')}".split():
+        words = {p.lower() for p in _part.findall(name)}
+        if words <= NAMES | WITH:
+            parts |= words & NAMES
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.sub(r"\s", "", got.get("style", "")).lower().find("display:none") >= 0
     return own.strip(), 2 if parts & (NAMES - WEAK) else int(bool(parts & WEAK)), hidden
 
 
 class Page:
     """Elements of a page in order: tag, attributes, parent, subtree hash, characters of
-    text and of linked text, whether text stands directly in it, whether it holds or is
-    within an article, and the events (element opened, None for closed, or text) they
+    text and of linked text, whether it holds controls, whether text stands directly in it, whether
+    it holds or is within an article, and the events (element opened, None for closed, or text) they
     came in."""
 
     def __init__(self, source: str):
@@ -78,6 +89,7 @@ class Page:
         self.events: list[int | str | None] = []
         self.chars: list[int] = []
         self.linked: list[int] = []
+        self.pressed: list[bool] = []
         self._stack: list[int] = []
         self._parts: list[list[str]] = []
         at = 0
@@ -119,6 +131,7 @@ class Page:
         self.prose.append(False)
         self.chars.append(0)
         self.linked.append(0)
+        self.pressed.append(tag in CONTROLS)
         p = self.parents[i]
         self.inside.append(p >= 0 and (self.inside[p] or self.tags[p] in ("article", "main")))
         if tag in ("article", "main"):
@@ -142,6 +155,7 @@ class Page:
             up = self._stack[-1]
             self.chars[up] += self.chars[i]
             self.linked[up] += self.linked[i]
+            self.pressed[up] |= self.pressed[i]
 
     def _until(self, names, stop) -> bool:
         """Closes the nearest open element of these names, if none of ``stop`` is
@@ -195,7 +209,7 @@ class Page:
         if tag in HEADINGS and self.inside[i]:
             return False
         _, named, hidden = _attributes(self.attrs[i]) if self.attrs[i] else ("", 0, False)
-        if named == 1 and self.inside[i] and 2 * self.linked[i] <= self.chars[i]:
+        if named == 1 and self.inside[i] and 2 * self.linked[i] <= self.chars[i] and not self.pressed[i]:
             named = 0
         if tag == "header" and self.inside[i]:
             return hidden
@@ -303,7 +317,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     Subtree counts are made over all pages; pages without a host share one. Null
     and empty html has no text; a page of nothing but boilerplate neither. Copies
     of a page on a host (equal html) count as one page, within articles those of equal articles too. Only hosts of ``least_pages``
-    different pages or more have templates.
+    different pages or more have templates. Every row has its own text, whatever its page_id; further columns are not read.
     """
     spark = pages.sparkSession
     arrow_batches(spark)

@@ -112,3 +112,26 @@ def test_counts_against_plain_ones(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
     assert sum(want[i] != H.Page(s).text() for i, _, s in rows) == len(rows)
+
+
+#: Names of true parts of articles that hold a word of boilerplate.
+TRUE_NAMES = """notice|ad-hoc|share-price|notices|comment-on-policy|search-engines|menu-of-the-day|social-policy|related-work|banner-year|sidebar-story|header-image-caption|widget-makers|promotion|reply-brief|sponsored-bills|advertising-standards|footer-traffic|navigation-aids|recommended-dose|share|respond""".split("|")
+
+
+def test_articles_keep_parts_with_such_names_and_lose_adverts_and_notices(spark):
+    """Pages put together from known parts, without a look at how they are taken apart."""
+    junk = [
+        "<div class='ad'>Buy this now</div>", "<div class='cookie-notice'>We use cookies</div>", "<div class='notice'>Sign in to go on <button>Sign in</button></div>", "<section class='comments'><p>First!</p></section>",
+        "<div class='share-buttons'><a href='/a'>Tweet this</a> <a href='/b'>Mail it</a></div>", "<ul class='related-posts'><li><a href='/x'>Another story</a></ul>", "<div class='subscribe'>Never miss one <input name='m'></div>", "<p class='sponsored'>Paid for by a firm</p>",
+        "<div id='google-ad-top'>Cheap flights</div>", "<div class='advert wide'>Shoes</div>", "<div class='newsletter'>Our letter</div>", "<nav><a href='/'>Home</a></nav>",
+    ]
+    rows, want = [], {}
+    for i, name in enumerate(TRUE_NAMES):
+        tag = ("div", "p", "section")[i % 3]
+        part = f"The council met on day {i} &amp; heard the {name.replace('-', ' ')} at length."
+        inner = f"<p>{part}</p>" if tag != "p" else part
+        body = f"<h1>Title {i}</h1><p>Opening of {i}.</p>{junk[i % len(junk)]}<{tag} class='{name}'>{inner}</{tag}>{junk[(i * 5 + 1) % len(junk)]}<p>End of {i}.</p>"
+        rows.append((i, f"http://h{i}.org/", f"<html><body><header>Site</header><article>{body}</article><footer>Foot</footer></body></html>", 1))
+        want[i] = f"Title {i}\nOpening of {i}.\n{part.replace('&amp;', '&')}\nEnd of {i}."
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == want
