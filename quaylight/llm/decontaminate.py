@@ -23,19 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, row_texts, table, unpacked, with_text
-from .sketch import LONG, WORDS, digests, distances, pack, parity, parity_radius, simhash, simhash_radius, votes
+from .sketch import LONG, WORDS, digests, pack, parity, parity_radius, simhash, simhash_radius, votes
 
 SHINGLE = 5
 LIKE = 0.8
-#: Blocks of eight bits in a fingerprint.
-BLOCKS = 8 * WORDS
+#: Blocks of 64 bits in a fingerprint: at the radius of long items one in sixty unrelated
+#: pairs has a block as near as a pair within the radius must have; of 8 bits nearly all have.
+BLOCKS = WORDS
+#: Windows and items that are compared at a time.
+WINDOW_TILE, ITEM_TILE = 2048, 512
+#: Windows of a stretch of text.
+STRETCH = 8192
 #: Items and bytes of items compared in one pass over the documents; more of them
 #: make more passes.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
 
 _word = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 def words_of(text: str) -> list[str]:
@@ -85,17 +89,53 @@ class Lengths:
     def by_simhash(self, window: int) -> bool:
         return min(window, self.shingles) >= LONG
 
-    def within(self, fps: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs in the radius. Within radius r some of the blocks differ
-        in r // BLOCKS bits at most: only pairs with such a block are looked at."""
+    def within(self, fps: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, windows) whose fingerprints are in the radius. Within radius r some of the
+        blocks differ in r // BLOCKS bits at most: only pairs with such a block can be. Windows
+        and items meet in tiles, so memory doesn't grow with the items."""
         own, radius = (self.simhash, simhash_radius(self.like)) if self.by_simhash(window) else (self.parity, int(parity_radius(window + self.shingles, self.like)))
-        a, b = fps.view(np.uint8).reshape(-1, BLOCKS), own.view(np.uint8).reshape(-1, BLOCKS)
-        met = np.zeros((len(a), len(b)), bool)
-        for k in range(BLOCKS):
-            met |= _APART[a[:, k][:, None], b[:, k][None, :]] <= radius // BLOCKS
-        i, j = np.nonzero(met)
-        near = distances(fps[i], own[j]) <= radius
-        return i[near], j[near]
+        for first in range(0, len(own), ITEM_TILE):
+            some = own[first : first + ITEM_TILE]
+            near = np.zeros((len(fps), len(some)), bool)
+            for at in range(0, len(fps), WINDOW_TILE):
+                tile = fps[at : at + WINDOW_TILE]
+                met, apart = np.zeros((len(tile), len(some)), bool), np.zeros((len(tile), len(some)), np.uint16)
+                for k in range(BLOCKS):
+                    bits = np.bitwise_count(tile[:, k][:, None] ^ some[:, k][None, :])
+                    met |= bits <= radius // BLOCKS
+                    apart += bits
+                near[at : at + WINDOW_TILE] = met & (apart <= radius)
+            for j in np.flatnonzero(near.any(axis=0)).tolist():
+                yield first + j, np.flatnonzero(near[:, j])
+
+
+class Run:
+    """Shingles of a stretch of a text, for exact counts of what windows share with items."""
+
+    def __init__(self, parts: list[str], window: int):
+        self.window, self.n = window, len(parts) - window + 1
+        self.codes: dict[str, int] = {}
+        code = np.fromiter((self.codes.setdefault(x, len(self.codes)) for x in parts), np.int64, len(parts))
+        # places of each shingle, one shingle after the other
+        self.places = np.argsort(code, kind="stable")
+        self.starts = np.append(0, np.bincount(code, minlength=len(self.codes)).cumsum())
+
+    def shared(self, bag: Counter) -> np.ndarray:
+        """Shingles, with repeats, that each window shares with an item. One at place p counts
+        in a window if the window has fewer of it before p than the item has in all: in the
+        windows that begin after the place of that many occurrences before."""
+        own = [(self.codes[x], n) for x, n in bag.items() if x in self.codes]
+        if not own:
+            return np.zeros(self.n, np.int64)
+        code, times = np.array(own, np.int64).T
+        first, many = self.starts[code], self.starts[code + 1] - self.starts[code]
+        first, times = first.repeat(many), times.repeat(many)
+        at = first + np.arange(len(first)) - (many.cumsum() - many).repeat(many)
+        p = self.places[at]
+        before = np.where(at - times >= first, self.places[np.maximum(at - times, 0)], -1)
+        low, high = np.minimum(np.maximum(before + 1, np.maximum(p - self.window + 1, 0)), self.n), np.minimum(p + 1, self.n)
+        real = low < high
+        return (np.bincount(low[real], minlength=self.n + 1) - np.bincount(high[real], minlength=self.n + 1)).cumsum()[: self.n]
 
 
 def window_fingerprints(parts: list[str], starts: np.ndarray, window: int, by_simhash: bool) -> np.ndarray:
@@ -120,6 +160,13 @@ def window_fingerprints(parts: list[str], starts: np.ndarray, window: int, by_si
     return out
 
 
+def _stretches(starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of neighbouring windows, none longer than STRETCH."""
+    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+        for at in range(0, len(run), STRETCH):
+            yield run[at : at + STRETCH]
+
+
 class Items:
     """Benchmark items by length, with the shingles that any of them has."""
 
@@ -188,20 +235,19 @@ class Items:
                 window = min(x.shingles, n)
                 starts = self._starts(x, hits, window, n)
                 best: dict[int, tuple[float, int]] = {}
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    if not len(run):
-                        continue
+                for run in _stretches(starts):
                     low = int(run[0])
                     parts = shingles(words[low : int(run[-1]) + window + size - 1], size)
                     fps = window_fingerprints(parts, run - low, window, x.by_simhash(window))
-                    bag, of = None, -1
-                    for w, i in zip(*(v.tolist() for v in x.within(fps, window)), strict=True):
-                        if w != of:
-                            s = int(run[w]) - low
-                            bag, of = Counter(parts[s : s + window]), w
-                        like = similarity(x.bags[i], bag)
-                        if like >= self.like - 1e-12 and like > best.get(i, (0.0, 0))[0]:
-                            best[i] = (like, low + s)
+                    counts = None
+                    for i, at_windows in x.within(fps, window):
+                        counts = counts or Run(parts, window)
+                        begin = run[at_windows] - low
+                        same = counts.shared(x.bags[i])[begin]
+                        likes = same / (x.shingles + window - same)
+                        top = int(likes.argmax())
+                        if likes[top] >= self.like - 1e-12 and likes[top] > best.get(i, (0.0, 0))[0]:
+                            best[i] = (float(likes[top]), low + int(begin[top]))
                 out += [(x.items[i], like, start, window + size - 1) for i, (like, start) in sorted(best.items())]
         return out
 

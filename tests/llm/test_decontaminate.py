@@ -89,9 +89,9 @@ def test_blocks_give_all_within_the_radius():
         x.add(i, [f"p{i} {j}" for j in range(36)])
     x.done()
     fps = np.concatenate([x.simhash ^ pack((rng.random((50, 256)) < p).astype(np.uint8)) for p in (0.05, 0.2, 0.3, 0.34, 0.5)])
-    i, j = x.within(fps, 36)
+    got = {(w, i) for i, windows in x.within(fps, 36) for w in windows.tolist()}
     want = {(a, b) for a in range(len(fps)) for b in range(50) if int(np.bitwise_count(fps[a] ^ x.simhash[b]).sum()) <= 84}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    assert got == want
 
 
 def test_clean_keeps_rows_by_their_own_text(spark):
@@ -100,3 +100,26 @@ def test_clean_keeps_rows_by_their_own_text(spark):
     bench = spark.createDataFrame([(4, "one two three four five six")], "item_id long, text string")
     assert sorted(r._text for r in D.clean(df.withColumnRenamed("item_id", "similarity"), bench).collect()) == [3, 5]
     assert D.clean(df, bench).columns == df.columns
+
+
+def test_near_equal_items_in_tiles(monkeypatch):
+    """Items that differ in one word each, a text full of them, more of both than a tile holds."""
+    monkeypatch.setattr(D, "ITEM_TILE", 16)
+    monkeypatch.setattr(D, "WINDOW_TILE", 64)
+    monkeypatch.setattr(D, "STRETCH", 100)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join([*words[: i % 60], f"other{i}", *words[i % 60 + 1 :]])) for i in range(90)]
+    text = " ".join(w if rng.random() > 0.02 else "x" for _ in range(8) for w in [*words, *words[:20]])
+    got = {(7, i): round(like, 9) for i, like, _, _ in D.Items(items).matches(text)}
+    assert got == brute([(7, text)], items)
+    assert len(got) == 90
+
+
+def test_shared_counts_of_all_windows():
+    rng = random.Random(3)
+    for window in (1, 4, 9):
+        parts = [rng.choice("abcdef") for _ in range(40)]
+        bag = Counter(rng.choice("abcxyz") for _ in range(12))
+        got = D.Run(parts, window).shared(bag).tolist()
+        assert got == [sum((Counter(parts[s : s + window]) & bag).values()) for s in range(len(parts) - window + 1)]
