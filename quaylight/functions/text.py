@@ -29,8 +29,16 @@ def terms(c: Column) -> Column:
 
 def ngrams(c: Column, n: int = 2) -> Column:
     """STR10, STR11: n neighbouring tokens joined by a space; none if there are fewer."""
-    size = F.size(c)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    out = c
+    for i in range(1, n):
+        # what is beyond the end is null, and so is what is joined with it
+        out = F.zip_with(out, F.slice(c, F.lit(i + 1), F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(F.coalesce(out, F.array().cast("array<string>")), lambda g: g.isNotNull())
+
+
+def letters(c: Column, n: int) -> Column:
+    """STR15: all runs of n characters of the lower-case text, also across words."""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
 
 
 def with_bigrams(c: Column) -> Column:
@@ -131,26 +139,55 @@ def html_text(c: Column) -> Column:
 
 
 def fold_lines(c: Column) -> Column:
-    """WEB7: line ends as a letter that texts don't use; ``unfold_lines`` reverses it."""
-    return F.translate(c, "\n", "þ")
+    """WEB7: a text on one line: line ends are ``þ0`` and a letter þ of the text is ``þ1``,
+    so that ``unfold_lines`` gives every text back."""
+    return F.replace(F.replace(c, F.lit("þ"), F.lit("þ1")), F.lit("\n"), F.lit("þ0"))
 
 
 def unfold_lines(c: Column) -> Column:
-    return F.translate(c, "þ", "\n")
+    return F.replace(F.replace(c, F.lit("þ0"), F.lit("\n")), F.lit("þ1"), F.lit("þ"))
+
+
+def first_sentence(c: Column) -> Column:
+    """A text to its first mark that ends a sentence, or whole."""
+    found = F.regexp_extract(c, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
+    return F.when(found == "", c).otherwise(found)
 
 
 def pattern_is(text: Column, name: Column) -> Column:
-    """TXT21: the first sentence ``<name> … is …`` whose verb is near the name, cut at
-    marks of markup, if it has over five words."""
-    found = F.regexp_extract(text, r"(?s)([A-Z](?:[^.*#|>]|(?<=Inc|U\.S|Ltd|Co)\.){0,60}? is (?:[^.*#|>]|(?<=Inc|U\.S|Ltd|Co)\.)*\.?)", 1)
-    near = F.instr(F.lower(found), F.lower(name)).between(1, 30)
-    return F.when(near & (F.size(F.split(F.trim(found), r"\s+")) > 5), F.trim(found))
+    """TXT21: where ``is`` follows the name within 30 characters, the sentence that begins
+    with the name, to a mark of markup at most; a sentence that ends in ``Inc.`` or ``U.S.``
+    takes the next one too. Null unless it has over five words; case counts."""
+    at = F.instr(text, name)
+    near = F.substring(text, at, F.length(name) + 30).contains(" is ")
+    rest = F.regexp_extract(F.substring(text, at, F.length(text)), r"(?s)^[^*#|>]*", 0)
+    one = first_sentence(rest)
+    more = F.ltrim(F.substring(rest, F.length(one) + 1, F.length(rest)))
+    whole = F.when(one.rlike(r"(?:^|\s)(?:Inc|U\.S)\.$") & (more != ""), F.concat(one, F.lit(" "), first_sentence(more))).otherwise(one)
+    return F.when((at > 0) & (F.length(name) > 0) & near & (F.regexp_count(whole, F.lit(r"\S+")) > 5), F.replace(whole, F.lit("\n"), F.lit(" ")))
+
+
+# Headings that say who a company is.
+ABOUT = "# who we are|# overview|# company overview|# about|# mission|# our mission"
 
 
 def who_we_are(text: Column) -> Column:
-    """TXT22: the paragraph under a heading that says who the company is."""
-    found = F.regexp_extract(text, r"(?im)^#+[^\n]*(?:who we are|overview|about|mission)[^\n]*\n+([^#\n][^\n]*)", 1)
-    return F.when(found != "", F.trim(found))
+    """TXT22: the lines under a heading that says who the company is, up to an empty one, as
+    one line; of several the last that has over five words and isn't a list. A heading that
+    comes next loses its mark. Null if there is none."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)[^\n]*(?:{ABOUT})[^\n]*(?=\n+([^\n]+(?:\n[^\n]+)*))"), F.lit(1))
+    lines = F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    good = F.filter(lines, lambda p: (F.regexp_count(p, F.lit(r"\S+")) > 5) & ~p.startswith("*"))
+    last = F.get(F.reverse(good), F.lit(0))
+    return F.when(last.startswith("#"), F.regexp_replace(last, r"^\S+ ", "")).otherwise(last)
+
+
+def headed_text(html: Column) -> Column:
+    """A page's text in lines: headings are marked with #, blocks end lines, other tags go."""
+    out = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"(?i)<h[1-6][^>]*>", "\n\n# ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)</(?:h[1-6]|p|div|li|tr)>|<br[^>]*>", "\n"), r"<[^>]*>", "")
+    return F.trim(F.regexp_replace(out, r" *\n *", "\n"))
 
 
 def subsidiary_of(text: Column) -> Column:

@@ -48,7 +48,11 @@ def importance(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.lit(w).alias("w")) for f, w in weights.items()))).alias("r")).groupBy("r.feature").agg(F.round(F.max("r.w") * F.stddev_pop("r.x"), 6).alias("importance"))
 
 
-def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> float:
+    return float(_dtw_rows(a[None], b[None], window)[0])
+
+
+def _dtw_rows(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
     """Distances of rows of two matrices, (rows, n) and (rows, m): the band's cells by
     anti-diagonals, of which each needs the two before it, for all rows at once."""
     n, m = a.shape[1], b.shape[1]
@@ -82,7 +86,7 @@ def dtw(a: Column, b: Column, window: int) -> Column:
         for i in given:
             groups.setdefault((len(x.iloc[i]), len(y.iloc[i])), []).append(i)
         for (n, m), own in groups.items():
-            out[own] = _dtw(np.array([x.iloc[i] for i in own], float).reshape(len(own), n), np.array([y.iloc[i] for i in own], float).reshape(len(own), m), window)
+            out[own] = _dtw_rows(np.array([x.iloc[i] for i in own], float).reshape(len(own), n), np.array([y.iloc[i] for i in own], float).reshape(len(own), m), window)
         return pd.Series(out)
 
     return each(a, b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import numbers as N
+from ..functions import stem
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import sampling as S
@@ -74,7 +75,7 @@ def boolean_search(spark, sf):
     return TS.boolean_search(d, must, should, 1.0).select("doc_id", "score")
 
 
-@query("score_explanation", f"WITH {texts._mlt} SELECT m.query, m.doc_id, w.term, h.tf::BIGINT AS query_tf, w.tf::BIGINT AS tf, round(w.idf, 6) AS idf, round(h.qw * w.w, 5) AS contribution FROM m JOIN (SELECT h0.query, h0.ql, h0.term, h0.qw, w0.tf FROM h h0 JOIN w w0 ON w0.doc_id = h0.query AND w0.term = h0.term) h ON h.query = m.query JOIN w ON w.doc_id = m.doc_id AND w.term = h.term WHERE m.rank <= 5")
+@query("score_explanation", f"WITH {texts._mlt} SELECT m.query, m.doc_id, w.term, h.tf::BIGINT AS query_tf, w.tf::BIGINT AS tf, round(w.idf, 6) AS idf, round(h.qw * w.w, 5) AS contribution FROM m JOIN (SELECT query, term, tf, qw FROM h) h ON h.query = m.query JOIN w ON w.doc_id = m.doc_id AND w.term = h.term WHERE m.rank <= 5")
 def score_explanation(spark, sf):
     """TXT28: what each term adds to the score of the five best of each query."""
     p, i = texts.base(spark, sf)
@@ -290,18 +291,100 @@ def mean_convolution(spark, sf):
     return c.join(k, "c_custkey", "left").select("c_custkey", F.round("c_acctbal", 4).alias("own"), F.round("h2", 4).alias("neighbours"))
 
 
-@query("meta_descriptions", "SELECT page_id, 'about page ' || page_id AS description FROM pages")
+@query("meta_descriptions", r"""SELECT page_id, regexp_extract_all(html, '(?i)<meta[^>]*(?:name|property)="(?:og: ?)?description"[^>]*content="([^"]*)"', 1)[-1] AS description, nullif(regexp_extract(html, '(?i)<meta[^>]*charset="?([\w-]+)', 1), '') AS charset FROM pages""")
 def meta_descriptions(spark, sf):
-    """WEB3: the last description of a page that has two."""
-    meta = F.concat(F.lit('<meta name="description" content="first"><meta property="og:description" content="about page '), F.col("page_id").cast("string"), F.lit('">'))
-    return table(spark, sf, "pages").select("page_id", web.meta_description(F.concat(meta, F.coalesce("html", F.lit("")))).alias("description"))
+    """WEB1 WEB3: the last description of each page, null where it has none, and its charset."""
+    charset = F.regexp_extract("html", r'(?i)<meta[^>]*charset="?([\w-]+)', 1)
+    return table(spark, sf, "pages").select("page_id", web.meta_description(F.col("html")).alias("description"), F.nullif(charset, F.lit("")).alias("charset"))
 
 
 _words = "trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))"
 
 
-@query("shingle_counts", f"WITH w AS (SELECT item_id, string_split({_words}, ' ') AS w FROM benchmark), s AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS shingle FROM w, (SELECT unnest(range(2, 5)) AS n), (SELECT unnest(range(1, 2000)) AS i) WHERE i + n - 1 <= len(w)) SELECT n::INTEGER AS n, shingle, count(*) AS times, count(DISTINCT item_id) AS items FROM s GROUP BY 1, 2")
+@query("shingle_counts", f"WITH w AS (SELECT doc_id AS item_id, string_split({_words}, ' ') AS w FROM documents), s AS (SELECT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS shingle FROM w, (SELECT unnest(range(2, 5)) AS n), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE i + n - 1 <= len(w)) SELECT n::INTEGER AS n, shingle, count(*) AS times, count(DISTINCT item_id) AS items FROM s GROUP BY 1, 2")
 def shingle_counts(spark, sf):
-    """TXT16 ARR6: shingles of two to four words."""
-    b = table(spark, sf, "benchmark").select("item_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ").alias("w"))
+    """ARR6: shingles of two to four words."""
+    b = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ").alias("w"))
     return TS.shingle_counts(b, "item_id", "w", (2, 3, 4))
+
+
+@query("stem_shingles")
+def stem_shingles(spark, sf):
+    """TXT16: shingles of two to four stems of the English documents, as an analyser makes them."""
+    d = table(spark, sf, "documents").where("lang = 'en'")
+    return TS.shingle_counts(d.select("doc_id", stem.stems(X.terms(F.col("text"))).alias("w")), "doc_id", "w", (2, 3, 4))
+
+
+@query("magnitudes", "SELECT p_partkey, round(p_retailprice * CASE p_size % 6 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 WHEN 2 THEN 1e6 WHEN 3 THEN 1e3 ELSE 1 END, 2)::DOUBLE AS amount FROM part")
+def magnitudes(spark, sf):
+    """MTH5: amounts with the magnitudes b, m, mn, k, none and an unknown one."""
+    unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "m", "mn", "K", None, "x"))), F.col("p_size") % 6 + 1)
+    return table(spark, sf, "part").select("p_partkey", F.round(F.col("p_retailprice") * N.magnitude(unit), 2).alias("amount"))
+
+
+@query("drawn_index", "SELECT o_orderkey, floor(((o_orderkey * 2654435761) % 4294967296) / 4294967296.0 * 25)::BIGINT AS i FROM orders")
+def drawn_index(spark, sf):
+    """MTH3: a reproducible number in [0, 1) times n, cut."""
+    u = F.pmod(F.col("o_orderkey") * F.lit(2654435761), F.lit(4294967296)) / F.lit(4294967296.0)
+    return table(spark, sf, "orders").select("o_orderkey", F.floor(u * 25).alias("i"))
+
+
+@query("orders_as_json", "SELECT o_custkey, to_json(list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus} ORDER BY o_orderkey))::VARCHAR AS orders FROM orders GROUP BY 1")
+def orders_as_json(spark, sf):
+    """JSN2: an array of structs as JSON."""
+    o = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(o).alias("orders"))
+
+
+@query("arrays_and_maps", "SELECT n_nationkey, n_regionkey::BIGINT AS second, n_name AS named, 2::INTEGER AS entries FROM nation")
+def arrays_and_maps(spark, sf):
+    """ARR3: an array and a map made of columns, and their elements."""
+    n = table(spark, sf, "nation").withColumns({"a": F.array("n_nationkey", "n_regionkey"), "m": F.create_map(F.lit("name"), F.col("n_name"), F.lit("comment"), F.lit("none"))})
+    return n.select("n_nationkey", F.col("a")[1].cast("long").alias("second"), F.col("m")["name"].alias("named"), F.size("m").alias("entries"))
+
+
+_words = "WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM part), i AS (SELECT term, ln(n / df) AS idf FROM f, n WHERE df < n / 5)"
+
+
+@query("tf_left_idf", f"{_words} SELECT p_partkey, t.term, round(coalesce(idf, 0), 6) AS idf FROM t LEFT JOIN i USING (term)")
+def tf_left_idf(spark, sf):
+    """JN12: terms beside their idf, 0 for those that are too frequent to have one."""
+    t, i = _part_terms(spark, sf)
+    return t.join(i, "term", "left").select("p_partkey", "term", F.round(F.coalesce("idf", F.lit(0.0)), 6).alias("idf"))
+
+
+@query("binary_idf_vectors", f"{_words}, v AS (SELECT term, idf, row_number() OVER (ORDER BY term) - 1 AS i FROM i) SELECT p_partkey, i, round(idf, 6) AS idf FROM t JOIN v USING (term)")
+def binary_idf_vectors(spark, sf):
+    """TXT5 TXT6: the idf of each term of the vocabulary that a name has, however often, at
+    the term's place in the sorted vocabulary."""
+    t, i = _part_terms(spark, sf)
+    v = scanned(i, [], [F.col("term")], "place")
+    return t.join(v, "term").select("p_partkey", (F.col("place") - 1).alias("i"), F.round("idf", 6).alias("idf"))
+
+
+def _part_terms(spark, sf):
+    """(p_partkey, term) and the vocabulary of terms in less than a fifth of the names."""
+    p = table(spark, sf, "part")
+    t = p.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("term"))
+    n = p.agg(F.count("*").alias("n"))
+    i = t.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where(F.col("df") < F.col("n") / 5)
+    return t, i.select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
+
+
+@query(
+    "unique_names",
+    """
+    WITH q AS (SELECT p_partkey AS query, lower(p_name) AS name, p_size AS size FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey, lower(p_name) AS name, p_size AS size FROM part),
+    s AS (SELECT q.query, c.p_partkey AS found, levenshtein(q.name, c.name) AS edits FROM q JOIN c ON q.size = c.size AND q.query <> c.p_partkey)
+    SELECT query, CASE WHEN min(edits) <= 2 THEN arg_min(found, (edits, found)) END AS found, count(*) FILTER (edits = 0) AS exact, count(*) FILTER (edits = 0) > 1 AS ambiguous FROM s GROUP BY 1
+    """,
+)
+def unique_names(spark, sf):
+    """TXT18: the nearest other name of the same size if it is at most two edits away, and
+    whether several are the very name."""
+    c = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_size")
+    q = c.where("p_partkey % 20 = 0").withColumnsRenamed({"p_partkey": "query", "name": "asked"})
+    s = q.join(c, "p_size").where("query <> p_partkey").select("query", F.col("p_partkey").alias("found"), F.levenshtein("asked", "name").alias("edits"))
+    exact = F.sum((F.col("edits") == 0).cast("long"))
+    best = F.min(F.struct("edits", "found"))
+    return s.groupBy("query").agg(F.when(best["edits"] <= 2, best["found"]).alias("found"), exact.alias("exact"), (exact > 1).alias("ambiguous"))

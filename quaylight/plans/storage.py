@@ -182,10 +182,27 @@ def nearest_names(spark, sf):
     return both.select("s_suppkey", "n_name", F.levenshtein(F.lower("n_name"), F.lower(F.substring("s_name", 1, 8))).alias("edits"))
 
 
-@query("company_texts", "SELECT s_suppkey, replace(s_name, '#', ' ') || ' is a maker of small metal parts.' AS is_text, 'We make ' || replace(s_name, '#', ' ') AS who_text, 'Parent of ' || s_suppkey AS parent FROM supplier")
+_lines = r"""
+    SELECT page_id, name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<title.*?</title>', '', 'g'), '\s+', ' ', 'g'), '(?i)<h[1-6][^>]*>', chr(10) || chr(10) || '# ', 'g'),
+        '(?i)</(?:h[1-6]|p|div|li|tr)>|<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), ' *\n *', chr(10), 'g'), ' ') AS text
+    FROM (SELECT page_id, html, regexp_extract(html, '(?is)<p>(?:<[^>]*>)*(\w+)', 1) AS name FROM pages)
+"""
+
+
+@query(
+    "company_texts",
+    rf"""
+    WITH r AS (SELECT page_id, name, text, instr(text, name) AS pos FROM ({_lines})), s AS (SELECT *, regexp_extract(substr(text, pos), '(?s)^[^*#|>]*', 0) AS rest FROM r),
+    o AS (SELECT *, CASE WHEN regexp_extract(rest, '(?s)^(.*?[.!?])(?:\s|$)', 1) = '' THEN rest ELSE regexp_extract(rest, '(?s)^(.*?[.!?])(?:\s|$)', 1) END AS one FROM s)
+    SELECT page_id, CASE WHEN pos > 0 AND name <> '' AND contains(substr(text, pos, length(name) + 30), ' is ') AND len(regexp_extract_all(one, '\S+')) > 5 THEN replace(one, chr(10), ' ') END AS is_text,
+        nullif(trim(regexp_extract(text, '(?i)subsidiary of (.+?)[.,]', 1)), '') AS parent, regexp_matches(text, '(?i){X.ABOUT}') AS headed FROM o
+    """,
+)
 def company_texts(spark, sf):
-    """TXT21-23: what a company's page says it is, who it is, and whose."""
-    name = F.translate("s_name", "#", " ")
-    page = F.concat(name, F.lit(" is a maker of small metal parts. More follows.\n# About us\nWe make "), name, F.lit("\n"))
-    tail = F.concat(F.lit("It was founded long ago. It is a subsidiary of Parent of "), F.col("s_suppkey").cast("string"), F.lit(", Inc. It grew."))
-    return table(spark, sf, "supplier").select("s_suppkey", X.pattern_is(page, name).alias("is_text"), X.who_we_are(page).alias("who_text"), X.subsidiary_of(tail).alias("parent"))
+    """TXT21-23: of each page the sentence that says what its first name is, the parent that
+    its last sentences name, and whether a heading says who the company is."""
+    h = F.col("html")
+    p = table(spark, sf, "pages").select("page_id", X.headed_text(h).alias("text"), F.regexp_extract(h, r"(?is)<p>(?:<[^>]*>)*(\w+)", 1).alias("name"))
+    t = F.col("text")
+    return p.select("page_id", X.pattern_is(t, F.col("name")).alias("is_text"), X.subsidiary_of(t).alias("parent"), (X.who_we_are(t).isNotNull() | t.rlike(f"(?i){X.ABOUT}")).alias("headed"))

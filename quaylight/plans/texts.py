@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..functions import text as X
+from ..operators import classify as C
 from ..operators import relational as R
 from ..operators import textsearch as TS
 from ..sources.io import kept, spread, table
@@ -19,7 +20,7 @@ _post = f"SELECT doc_id, lang, source, term, count(*) AS tf FROM ({_tok}) WHERE
 _df = "SELECT term, count(*) AS df FROM post GROUP BY 1"
 _base = f"post AS MATERIALIZED ({_post}), n AS (SELECT count(*) AS n FROM documents), idf AS MATERIALIZED (SELECT term, df, ln((n + 1) / (df + 1)) AS idf FROM ({_df}), n)"
 _w = f"{_base}, w AS MATERIALIZED (SELECT p.doc_id, p.lang, p.term, p.tf, i.idf, ln(p.tf + 1) * i.idf AS w FROM post p JOIN idf i USING (term))"
-_mlt = f"""{_w}, h AS (SELECT * FROM (SELECT doc_id AS query, lang AS ql, term, w AS qw, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS k FROM w WHERE doc_id % 20 = 0) WHERE k <= 10),
+_mlt = f"""{_w}, h AS (SELECT * FROM (SELECT doc_id AS query, lang AS ql, term, tf, w AS qw, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS k FROM w WHERE doc_id % 20 = 0) WHERE k <= 10),
     s AS (SELECT h.query, w.doc_id, round(sum(h.qw * w.w), 6) AS score FROM h JOIN w ON w.term = h.term AND w.lang = h.ql AND w.doc_id <> h.query GROUP BY 1, 2),
     m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20)"""
 
@@ -132,10 +133,10 @@ def vocabulary_ids(spark, sf):
     return v.withColumn("own", own).join(F.broadcast(starts), "head").select("term", (F.col("start") + F.col("own") - 1).cast("long").alias("word_id"))
 
 
-@query("ngram_counts", f"WITH t AS (SELECT item_id, string_split({_clean.format('text')}, ' ') AS w FROM benchmark), g AS (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1")
+@query("ngram_counts", f"WITH t AS (SELECT doc_id, string_split({_clean.format('text')}, ' ') AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1")
 def ngram_counts(spark, sf):
     """STR10 STR11 STR12 STR13 SRT5"""
-    return table(spark, sf, "benchmark").select(F.explode(X.ngrams(X.tokens(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return docs(spark, sf).select(F.explode(X.ngrams(X.tokens(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("more_like_this", f"WITH {_mlt} SELECT query, doc_id, score, rank FROM m")
@@ -258,14 +259,34 @@ def first_three_sentences(spark, sf):
     return d.select("doc_id", X.first_sentences(F.col("text")).alias("first_three"), F.md5(kept).alias("kept_md5"))
 
 
-_votes = {"en": "the of and to in is that for", "de": "der die und das nicht ist mit von", "fr": "le la les et des une est dans", "es": "el los las que una por con del"}
-_hits = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in words.split())}))) AS {k}" for k, words in _votes.items())
+_grams = "SELECT doc_id, unnest(list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])) AS term FROM (SELECT doc_id, string_split(lower(text), '') AS c FROM documents)"
 
 
-@query("detected_language", rf"WITH t AS (SELECT lang, string_split_regex(lower(text), '\W+') AS w FROM documents), h AS (SELECT lang, {_hits} FROM t) SELECT lang, CASE greatest(en, de, fr, es) WHEN en THEN 'en' WHEN de THEN 'de' WHEN fr THEN 'fr' ELSE 'es' END AS detected, count(*) AS n FROM h GROUP BY 1, 2")
+@query(
+    "detected_language",
+    f"""
+    WITH d AS (SELECT doc_id, lang, doc_id % 2 AS fold FROM documents), t AS MATERIALIZED (SELECT doc_id, lang, fold, term, count(*) AS tf FROM ({_grams}) JOIN d USING (doc_id) GROUP BY 1, 2, 3, 4),
+    c AS MATERIALIZED (SELECT 1 - fold AS fold, lang, term, sum(tf) AS n FROM t WHERE lang IS NOT NULL GROUP BY 1, 2, 3), v AS (SELECT fold, count(DISTINCT term) AS v FROM c GROUP BY 1),
+    k AS (SELECT fold, lang, docs, coalesce(words, 0) AS words, sum(docs) OVER (PARTITION BY fold) AS n FROM (SELECT 1 - fold AS fold, lang, count(*) AS docs FROM d WHERE lang IS NOT NULL GROUP BY 1, 2) LEFT JOIN (SELECT fold, lang, sum(n) AS words FROM c GROUP BY 1, 2) USING (fold, lang)),
+    s AS (SELECT t.doc_id, k.lang, sum(t.tf * (ln(coalesce(c.n, 0) + 1) - ln(k.words + v.v))) AS s FROM t JOIN k ON k.fold = t.fold JOIN v ON v.fold = t.fold LEFT JOIN c ON c.fold = t.fold AND c.lang = k.lang AND c.term = t.term GROUP BY 1, 2),
+    f AS (SELECT d.doc_id, d.lang, k.lang AS detected, ln(k.docs / k.n) + coalesce(s.s, 0) AS s FROM d JOIN k ON k.fold = d.fold LEFT JOIN s ON s.doc_id = d.doc_id AND s.lang = k.lang)
+    SELECT lang, detected, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, detected) AS r FROM f) WHERE r = 1 GROUP BY 1, 2
+    """,
+)
 def detected_language(spark, sf):
-    """STR15: how often the function words agree with the language given."""
-    return docs(spark, sf).groupBy("lang", X.language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+    """STR15: how often the language by profiles of three letters is that given. Each half of
+    the documents is judged by profiles of the other, so none by one that it is part of."""
+    d = docs(spark, sf).select("doc_id", "lang", (F.col("doc_id") % 2).alias("fold"))
+    grams = spread_texts(spark, sf).select("doc_id", F.explode(X.letters(F.col("text"), 3)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    t = kept(grams.join(d, "doc_id"), "letters")
+    judged = None
+    for fold in (0, 1):
+        known, asked = (F.col("fold") != fold) & F.col("lang").isNotNull(), F.col("fold") == fold
+        counts = kept(C.class_counts(t.where(known), "lang"), "profiles")
+        found = C.posteriors(d.where(asked), t.where(asked).select("doc_id", "term", "tf"), counts, C.classes(d.where(known), counts, "lang"), "doc_id", "lang")
+        best = R.top_k(found, ["doc_id"], [F.desc("p"), F.asc("lang")], 1).select("doc_id", F.col("lang").alias("detected"))
+        judged = best if judged is None else judged.unionByName(best)
+    return d.join(judged, "doc_id").groupBy("lang", "detected").agg(F.count("*").alias("n"))
 
 
 @query("stem_counts")

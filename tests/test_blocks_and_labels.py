@@ -91,3 +91,10 @@ def test_a_text_of_unknown_terms_has_the_prior(spark):
     terms = spark.createDataFrame([(1, "q", 400)], "i int, term string, tf long")
     found = classify.posteriors(docs, terms, counts, classify.classes(docs, counts, "label"), "i", "label").collect()
     assert {(r.i, r.label): round(r.p, 9) for r in found} == {(1, "x"): 0.5, (1, "y"): 0.5, (2, "x"): 0.5, (2, "y"): 0.5}
+
+
+def test_languages_of_documents_that_no_profile_has_seen(spark, tiny):
+    rows = catalogue.QUERIES["detected_language"](spark, tiny).collect()
+    right, n = sum(r.n for r in rows if r.lang == r.detected), sum(r.n for r in rows)
+    assert n == spark.read.parquet(f"{tiny}/documents.parquet").count()
+    assert right > 0.95 * n

@@ -69,9 +69,16 @@ def test_text_expressions(spark):
     assert tuple(one(spark, X.money_range, "3k")) == (300.0, 30000.0)
     assert one(spark, X.clean_keyword, "It's a: big-deal!") == "it's big deal"
     assert one(spark, X.subsidiary_of, "We sell. It is a subsidiary of Acme Ltd, a maker.") == "Acme Ltd"
-    assert one(spark, X.who_we_are, "# About us\n\nWe make tools.\n") == "We make tools."
+    assert one(spark, X.who_we_are, "# About us\n\nWe make tools.\n") is None
+    assert one(spark, X.who_we_are, "x\n## ABOUT us\n\nWe make tools\nof steel and brass.\n\n# Overview\n* a list of six or more words\n") == "We make tools of steel and brass."
+    assert one(spark, X.who_we_are, "# Mission\n# What we do\nis to make many good tools\n\n# Who we are\nshort") == "What we do is to make many good tools"
     assert one(spark, lambda c: X.pattern_is(c, F.lit("Acme")), "Acme Inc. is a maker of very fine tools. More") == "Acme Inc. is a maker of very fine tools."
+    assert one(spark, lambda c: X.pattern_is(c, F.lit("Acme")), "Acme is a firm that is in the U.S. and\nothers. Z") == "Acme is a firm that is in the U.S. and others."
+    assert one(spark, lambda c: X.pattern_is(c, F.lit("Acme")), "See Acme is a maker of very * fine tools") == "Acme is a maker of very "
+    assert one(spark, lambda c: X.pattern_is(c, F.lit("Acme")), "Acme makes, as everybody in town knows, what is good.") is None
     assert one(spark, lambda c: X.unfold_lines(X.fold_lines(c)), "a\nb") == "a\nb"
+    for text in ("þ", "þ0\nþ1", "\n\nþþ0", "10þ", ""):
+        assert one(spark, lambda c: X.unfold_lines(X.fold_lines(c)), text) == text
     assert one(spark, X.html_text, "<p>a &amp; <b>b</b></p><script>x</script>") == "a & b"
     assert one(spark, X.language, "la maison est dans les bois") == "fr"
 
