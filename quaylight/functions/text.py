@@ -175,7 +175,7 @@ def who_we_are(text: Column) -> Column:
     """TXT22: the lines under a heading that says who the company is, up to an empty one, as
     one line; of several the last that has over five words and isn't a list. A heading that
     comes next loses its mark. Null if there is none."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)[^\n]*(?:{ABOUT})[^\n]*(?=\n+([^\n]+(?:\n[^\n]+)*))"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?:{ABOUT})[^\n]*(?=\n+([^\n]+(?:\n[^\n]+)*))"), F.lit(1))
     lines = F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     good = F.filter(lines, lambda p: (F.regexp_count(p, F.lit(r"\S+")) > 5) & ~p.startswith("*"))
     last = F.get(F.reverse(good), F.lit(0))

@@ -74,8 +74,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def drop_kept(*tables: DataFrame) -> None:
     """Deletes tables that ``kept`` wrote, when nothing lazy reads them any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._kept_at)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _drop(t.sparkSession, t._kept_at)
+
+
+def _drop(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def batches(ids: DataFrame, key: str, size: int = BATCH) -> DataFrame:
@@ -135,13 +140,44 @@ def save_vocabulary(df: DataFrame, path: str, mode: str = "error") -> None:
     df.orderBy("word").write.mode(mode).csv(path, header=True)
 
 
+#: Segments of one level that become one of the next.
+MERGED = 4
+
+
+def _segments(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 def save_index(df: DataFrame, path: str, doc: str, tokens: str, mode: str = "append") -> None:
-    """SNK3, SNK4: an inverted index as two tables, postings and document
-    frequencies, in place of a search server's."""
+    """SNK3, SNK4: an inverted index in segments, in place of a search server's: an append
+    writes postings of its own rows and the document frequencies that these add. Four
+    segments of frequencies of one level are merged to one of the next, so there are few of
+    them however many appends there were; postings are never read again. One writer at a time."""
+    spark = df.sparkSession
+    if mode == "overwrite":
+        _drop(spark, path)
+    elif mode != "append" and _segments(spark, path):
+        raise ValueError(f"{path} has an index")
+    own = f"segment={len(_segments(spark, f'{path}/postings')):08d}"
     postings = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    postings.write.mode(mode).parquet(f"{path}/postings")
-    # Frequencies are of all postings, also those of earlier appends.
-    df.sparkSession.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    postings.write.parquet(f"{path}/postings/{own}")
+    added = spark.read.parquet(f"{path}/postings/{own}").groupBy("term").agg(F.count("*").alias("df"))
+    added.write.parquet(f"{path}/terms/segment=0-{own[8:]}")
+    level = 0
+    while len(few := [s for s in _segments(spark, f"{path}/terms") if s.startswith(f"segment={level}-")]) >= MERGED:
+        parts = [f"{path}/terms/{s}" for s in few]
+        merged = spark.read.parquet(*parts).groupBy("term").agg(F.sum("df").alias("df"))
+        merged.write.parquet(f"{path}/terms/segment={level + 1}-{few[-1].split('-')[1]}")
+        _drop(spark, *parts)
+        level += 1
+
+
+def index_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df) of an index over all its segments."""
+    return spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def json_lines(df: DataFrame) -> DataFrame:

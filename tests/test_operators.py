@@ -238,7 +238,22 @@ def test_index_of_two_appends(spark, tmp_path):
     for terms in (["a", "b"], ["b"]):
         df = spark.createDataFrame([(len(terms), terms)], "doc long, terms array<string>")
         io.save_index(df, f"{tmp_path}/i", "doc", "terms")
-    assert {r.term: r.df for r in io.load(spark, f"{tmp_path}/i/terms").collect()} == {"a": 1, "b": 2}
+    assert {r.term: r.df for r in io.index_terms(spark, f"{tmp_path}/i").collect()} == {"a": 1, "b": 2}
+
+
+def test_index_segments_after_many_appends(spark, tmp_path):
+    docs = [(i, ["all", f"t{i % 3}", f"t{i % 3}", f"own{i}"]) for i in range(18)]
+    df = spark.createDataFrame(docs, "doc long, terms array<string>")
+    for part in range(6):
+        io.save_index(df.where(F.col("doc") % 6 == part), f"{tmp_path}/i", "doc", "terms")
+    io.save_index(df, f"{tmp_path}/whole", "doc", "terms")
+    got, want = (sorted(map(tuple, io.index_terms(spark, f"{tmp_path}/{p}").collect())) for p in ("i", "whole"))
+    assert got == want and ("all", 18) in got
+    # four of the first level became one of the second
+    assert len(io._segments(spark, f"{tmp_path}/i/terms")) == 3
+    assert len(io._segments(spark, f"{tmp_path}/i/postings")) == 6
+    io.save_index(df.where("doc = 0"), f"{tmp_path}/i", "doc", "terms", "overwrite")
+    assert {r.term for r in io.index_terms(spark, f"{tmp_path}/i").collect()} == {"all", "t0", "own0"}
 
 
 def test_queries_in_blocks_meet_all_rows(spark):
