@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.numbers import arithmetic_hash
+from .scan import scanned
 
 
 def split_name(key: Column, shares: dict[str, int], seed: int = 0) -> Column:
@@ -33,10 +34,10 @@ def quota(df: DataFrame, sector: str, strata: list[str], key: str, quotas: DataF
     sized = df.join(quotas, sector)
     n = df.groupBy(sector).agg(F.count("*").alias("_have"), F.count_distinct(F.struct(*strata)).alias("_strata"))
     sized = sized.join(n, sector).where(F.col("_have") >= F.col("quota"))
-    first = F.row_number().over(W.Window.partitionBy(sector, *strata).orderBy(h, key)) <= F.ceil(F.col("quota") / F.col("_strata"))
-    sized = sized.withColumn("_first", first)
-    at = F.row_number().over(W.Window.partitionBy(sector).orderBy(F.col("_first").desc(), h, key))
-    return sized.withColumn("_at", at).where(F.col("_at") <= F.col("quota")).drop("_have", "_strata", "_first", "_at", "quota")
+    ranked = scanned(sized.withColumn("_h", h), [sector, *strata], [F.col("_h"), F.col(key)], "_in")
+    late = F.col("_in") > F.ceil(F.col("quota") / F.col("_strata"))
+    at = scanned(ranked.withColumn("_late", late), [sector], [F.col("_late"), F.col("_h"), F.col(key)], "_at")
+    return at.where(F.col("_at") <= F.col("quota")).drop("_have", "_strata", "_h", "_in", "_late", "_at", "quota")
 
 
 def negatives(bases: DataFrame, base: str, pool: DataFrame, row_id: str, size: int, k: int, seed: int = 0) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators import sampling as S
 from ..operators import textsearch as TS
 from ..operators.scan import scanned
 from ..sources import fetch
 from ..sources.io import batches, bulk_query, index_terms, json_lines, load, new_path, read_tsv, save, save_index, save_vocabulary, sheet_rows, table
+from ..sources.workbook import Look, read_workbooks, save_workbooks
 from .registry import query
 
 
@@ -120,20 +121,106 @@ def json_lines_file(spark, sf):
     return spark.read.text(path).select(line, F.get_json_object("value", "$.p_brand").alias("p_brand"))
 
 
-_sheets = "SELECT s_nationkey AS sheet, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row, CASE WHEN s_suppkey % 7 = 5 THEN ' ' ELSE s_name END AS company, s_suppkey % 4 AS mark FROM supplier"
+#: The sheets of an annotation workbook, in its order.
+MARKS, ASIDE, FIGURES, IDS = "Output Peers Annotation", "Auxiliary Information", "Peer Financials", "peer_entity_ids"
+LOOKS = {
+    MARKS: Look(2, (30, 40, 20, 20), {2: ["Positive", "Negative"], 3: ["0", "1", "2", "3"]}),
+    ASIDE: Look(1, (30, 20)),
+    FIGURES: Look(2, (30, 20, 20, 20)),
+}
+
+
+def _row(sheet, row, *cells):
+    return F.struct(F.lit(sheet).alias("sheet"), row.cast("long").alias("row"), F.array(*(c.cast("string") for c in cells)).alias("cells"))
+
+
+def annotation_rows(spark, sf):
+    """SNK8: cells of a workbook for each nation: its first customer is the base, the others
+    are the peers that analysts judge; all four sheets come of one pass."""
+    o = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    end = o.agg(F.max("year")).first()[0] or 0
+    years = [end - 2, end - 1, end]
+    sums = o.where(F.col("year") >= end - 2).groupBy("o_custkey").agg(*(F.sum(F.when(F.col("year") == y, F.col("cents"))).alias(f"y{i}") for i, y in enumerate(years)))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(sums, F.col("o_custkey") == F.col("c_custkey"), "left")
+    ranked = scanned(c.select(F.col("n_name").alias("book"), "c_custkey", "c_name", "c_mktsegment", "y0", "y1", "y2"), ["book"], [F.col("c_custkey")], "rank")
+    r, peer = F.col("rank") - 1, F.col("rank") > 1
+    company = F.when(F.col("c_custkey") % 11 != 5, F.col("c_name"))
+    unit = lambda y: F.floor(F.col(y) / 10000)
+    money = [F.coalesce(F.concat(F.lit("USD "), F.floor(unit(y) / 10000).cast("string"), F.lit("."), F.lpad((unit(y) % 10000).cast("string"), 4, "0"), F.lit("mn")), F.lit("N/A")) for y in ("y0", "y1", "y2")]
+    mark = F.when(peer, F.when(F.col("c_custkey") % 2 == 0, "Positive").otherwise("Negative"))
+    rows = [
+        _row(MARKS, r + 2, company, F.concat(F.lit("Buys as "), F.col("c_mktsegment")), mark, F.when(peer, F.col("c_custkey") % 4)),
+        _row(ASIDE, r + 1, company, F.col("c_mktsegment")),
+        _row(FIGURES, r + 2, company, *money),
+        F.when(peer & (F.col("c_custkey") % 3 > 0), _row(IDS, r, company, F.col("c_custkey"))),
+    ]
+    text, at, nothing = F.lit, F.lit, F.lit(None)
+    heads = [
+        _row(MARKS, at(0), nothing, nothing, nothing, nothing, text("Last reported financials in the last 3 years")),
+        _row(MARKS, at(1), *map(text, ("Company", "Description", "Positive/Negative?", "Relative Position"))),
+        _row(ASIDE, at(0), text("Company"), text("Sector")),
+        _row(FIGURES, at(0), nothing, text("Revenue")),
+        _row(FIGURES, at(1), text("Company"), *map(text, years)),
+        _row(IDS, at(0), text("Company"), text("Id")),
+    ]
+    cells = F.filter(F.concat(F.array(*rows), F.when(peer, F.array().cast("array<struct<sheet:string,row:bigint,cells:array<string>>>")).otherwise(F.array(*heads))), lambda x: x.isNotNull())
+    return ranked.select("book", F.explode(cells).alias("x")).select("book", "x.*")
 
 
-def sheets(spark, sf):
-    row = F.row_number().over(W.Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
-    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("sheet"), row.cast("long").alias("row"), F.when(F.col("s_suppkey") % 7 == 5, " ").otherwise(F.col("s_name")).alias("company"), (F.col("s_suppkey") % 4).alias("mark"))
+@query(
+    "annotation_sheets",
+    """
+    WITH c AS (SELECT n_name AS book, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 2 AS place, c_custkey, CASE WHEN c_custkey % 11 <> 5 THEN c_name END AS company, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    e AS (SELECT book, min(place) AS stop FROM c WHERE company IS NULL GROUP BY 1), y AS (SELECT max(year(o_orderdate)) AS y FROM orders),
+    f AS (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT // 10000 AS u FROM orders, y WHERE year(o_orderdate) = y GROUP BY 1)
+    SELECT book, place, company, CASE WHEN c_custkey % 2 = 0 THEN 'Positive' ELSE 'Negative' END AS mark, (c_custkey % 4)::INTEGER AS position, c_mktsegment AS sector,
+        coalesce('USD ' || (u // 10000) || '.' || lpad((u % 10000)::VARCHAR, 4, '0') || 'mn', 'N/A') AS revenue, y::INTEGER AS end_year, CASE WHEN c_custkey % 3 > 0 THEN c_custkey END AS id
+    FROM c LEFT JOIN e USING (book) LEFT JOIN f ON o_custkey = c_custkey, y WHERE place >= 0 AND (stop IS NULL OR place < stop)
+    """,
+)
+def annotation_sheets(spark, sf):
+    """SRC8 SNK8: workbooks of four sheets with bold heads, widths and lists of allowed values,
+    written and read back: heads skipped, cut at the blank company, the base's row left out,
+    the id sheet joined, the last year from the head of the figures."""
+    path = new_path(spark, "workbooks")
+    save_workbooks(annotation_rows(spark, sf), path, order=[MARKS, ASIDE, FIGURES, IDS], looks=LOOKS)
+    cell = lambda i: F.get("cells", F.lit(i))
+    sheet = lambda name, first, *columns: read_workbooks(spark, path, [name]).where(F.col("row") >= first).select("book", "row", *columns)
+    marks = sheet(MARKS, 2, cell(0).alias("company"), cell(2).alias("mark"), cell(3).cast("int").alias("position"))
+    ids = sheet(IDS, 1, cell(0).alias("company"), cell(1).cast("long").alias("id")).drop("row")
+    aside = sheet(ASIDE, 1, cell(1).alias("sector")).withColumn("row", F.col("row") + 1)
+    figures = sheet(FIGURES, 1, F.element_at("cells", -1).alias("revenue"))
+    ends = figures.where("row = 1").select("book", F.col("revenue").cast("int").alias("end_year"))
+    out = sheet_rows(marks, ids, header=2, book="book").join(aside, ["book", "row"]).join(figures, ["book", "row"]).join(ends, "book")
+    return out.select("book", (F.col("row") - 3).alias("place"), "company", "mark", "position", "sector", "revenue", "end_year", "id")
 
 
-@query("annotation_sheets", f"WITH s AS ({_sheets}), e AS (SELECT sheet, min(row) FILTER (trim(company) = '' AND row >= 1) AS stop FROM s GROUP BY 1) SELECT s.sheet, s.row, s.company, s.mark, s_suppkey AS id FROM s JOIN e USING (sheet) LEFT JOIN (SELECT s_name, s_suppkey FROM supplier WHERE s_suppkey % 3 > 0) ON s_name = company WHERE row >= 2 AND (stop IS NULL OR row < stop)")
-def annotation_sheets(spark, sf):
-    """SRC8 SNK8 SNK10: sheets written as rows, read as annotations with their ids."""
-    path = written(sheets(spark, sf), "sheets", by=["sheet"])
-    ids = table(spark, sf, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_name").alias("company"), F.col("s_suppkey").alias("id"))
-    return sheet_rows(load(spark, path), ids).select("sheet", "row", "company", "mark", "id")
+@query(
+    "sample_workbook",
+    """
+    WITH q AS (SELECT *, 20 AS quota, (c_custkey * 2654435761) % 4294967296 AS h, count(*) OVER (PARTITION BY c_mktsegment) AS have FROM customer),
+    s AS (SELECT c_mktsegment, count(DISTINCT c_nationkey) AS strata FROM customer GROUP BY 1),
+    f AS (SELECT q.*, (row_number() OVER (PARTITION BY q.c_mktsegment, c_nationkey ORDER BY h, c_custkey) <= ceil(quota * 1.0 / strata)) AS fst FROM q JOIN s ON q.c_mktsegment = s.c_mktsegment WHERE have >= quota),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY fst DESC, h, c_custkey) AS k FROM f) WHERE k <= quota)
+    SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS "case", c_name AS name, r_name AS region, c_mktsegment AS sector, 0 AS internal FROM k JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+    """,
+)
+def sample_workbook(spark, sf):
+    """SMP2 SNK10: a sample of equal strata as a workbook of a numbered sheet and an empty one
+    for the figures, read back."""
+    c = table(spark, sf, "customer")
+    quotas = c.select("c_mktsegment").distinct().withColumn("quota", F.lit(20))
+    some = S.quota(c, "c_mktsegment", ["c_nationkey"], "c_custkey", quotas)
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "r_name")
+    some = scanned(some.join(places, F.col("n_nationkey") == F.col("c_nationkey")).select("c_mktsegment", "c_custkey", "c_name", "r_name"), [], [F.col("c_mktsegment"), F.col("c_custkey")], "rank")
+    head = ("Case", "Base Borrower Name", "Base Borrower Region", "Base Borrower Sector", "INTERNAL")
+    rows = some.select(_row("Info", F.col("rank"), F.col("rank") - 1, F.col("c_name"), F.col("r_name"), F.col("c_mktsegment"), F.lit(0)).alias("x")).select("x.*")
+    heads = spark.range(1).select(F.explode(F.array(_row("Info", F.lit(0), *map(F.lit, head)), _row("Financials", F.lit(0), F.lit(None)))).alias("x")).select("x.*")
+    path = new_path(spark, "sample")
+    save_workbooks(rows.unionByName(heads).withColumn("book", F.lit("sample")), path, order=["Info", "Financials"], looks={"Info": Look(1)})
+    cell = lambda i, name, kind="string": F.get("cells", F.lit(i)).cast(kind).alias(name)
+    back = read_workbooks(spark, path, ["Info"]).where("row > 0")
+    return back.select(cell(0, "case", "long"), cell(1, "name"), cell(2, "region"), cell(3, "sector"), cell(4, "internal", "int"))
 
 
 @query("factor_files", "SELECT i, count(*) AS n, round(sum(x), 4) AS total FROM (SELECT (generate_subscripts(embedding, 1) - 1)::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) WHERE x > 0 GROUP BY 1")

@@ -99,14 +99,15 @@ def bulk_query(source: str, entity: str, item: str, value: str, items: list[str]
     return f"SELECT {entity}, {columns} FROM {source} WHERE {item} IN ({', '.join(map(text, items))}) GROUP BY {entity}"
 
 
-def sheet_rows(rows: DataFrame, ids: DataFrame, header: int = 1, base_row: bool = True) -> DataFrame:
-    """SRC8: rows (sheet, row, company, ...) of workbooks: header rows skipped, each sheet
-    cut at its first blank company, the base's row left out, and the id sheet joined."""
+def sheet_rows(rows: DataFrame, ids: DataFrame, header: int = 1, base_row: bool = True, book: str = "sheet") -> DataFrame:
+    """SRC8: rows (book, row, company, ...) of workbooks: header rows skipped, each book
+    cut at its first blank company, the base's row left out, and the id sheet joined by
+    company, and by book where it has one."""
     body = rows.where(F.col("row") >= header)
     blank = F.coalesce(F.trim("company"), F.lit("")) == ""
-    ends = body.where(blank).groupBy("sheet").agg(F.min("row").alias("_end"))
-    kept = body.join(ends, "sheet", "left").where((F.col("_end").isNull() | (F.col("row") < F.col("_end"))) & (F.col("row") >= header + int(base_row)))
-    return kept.drop("_end").join(ids, "company", "left")
+    ends = body.where(blank).groupBy(book).agg(F.min("row").alias("_end"))
+    kept = body.join(ends, book, "left").where((F.col("_end").isNull() | (F.col("row") < F.col("_end"))) & (F.col("row") >= header + int(base_row)))
+    return kept.drop("_end").join(ids, [c for c in (book, "company") if c in ids.columns], "left")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
