@@ -408,8 +408,16 @@ def formula_availability(spark, sf):
     return a.join(c, "entity").groupBy("c_nationkey", "year").agg(F.sum("available").cast("long").alias("available"), F.count("*").alias("n"))
 
 
-@query("formula_tree", "SELECT * FROM (VALUES ('net_debt', 1::BIGINT), ('margin', 1::BIGINT), ('debt', 2::BIGINT), ('cash', 2::BIGINT), ('ebitda', 2::BIGINT), ('revenue', 2::BIGINT)) t(node, depth)")
+@query(
+    "formula_tree",
+    f"""
+    WITH t(node, depth) AS (VALUES ('net_debt', 1::BIGINT), ('margin', 1::BIGINT), ('debt', 2::BIGINT), ('cash', 2::BIGINT), ('ebitda', 2::BIGINT), ('revenue', 2::BIGINT)), n AS (SELECT mnemonic AS node, count(*) AS n, count(DISTINCT entity) AS entities FROM ({_latest}) GROUP BY 1)
+    SELECT node, depth, coalesce(n, 0)::BIGINT AS n, coalesce(entities, 0)::BIGINT AS entities FROM t LEFT JOIN n USING (node)
+    """,
+)
 def formula_tree(spark, sf):
-    """COA1 COA2: inputs below a formula, by a recursive query."""
+    """COA1 COA2: inputs below a formula, by a recursive query, with the facts that there are
+    for each and the entities that have one."""
     tree = spark.createDataFrame([(p, c) for p, c, _ in FM.edges(FORMULAS)], "parent string, child string")
-    return FM.reachable(spark, tree, "leverage")
+    n = latest(spark, sf).groupBy(F.col("mnemonic").alias("node"), "entity").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("entities"))
+    return FM.reachable(spark, tree, "leverage").join(n, "node", "left").na.fill(0, ["n", "entities"])
