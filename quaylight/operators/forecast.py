@@ -70,11 +70,23 @@ def _correlation(top: Column, dx: Column, dy: Column, grid: Grid) -> Column:
     return F.when((dx > 0) & (dy > 0), F.floor(top / F.sqrt(dx * dy) * 10**grid.places + 0.5).cast("double"))
 
 
-def _roots(p: Column, q: Column, r: Column) -> list[Column]:
-    """Roots of p*k^2 + q*k + r, without cancellation. What isn't a number does no harm:
-    any number stands for the grid point next to it."""
+def _half(v: Column) -> Column:
+    """Of p*k^2 + q*k + r what both roots are made of, without cancellation."""
+    p, q, r = v["p"], v["q"], v["r"]
     h = -(q + F.when(q < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(q * q - 4 * p * r, F.lit(0.0)))) / 2
-    return [F.try_divide(h, p), F.try_divide(r, h)]
+    return F.struct(p.alias("p"), r.alias("r"), h.alias("h"))
+
+
+def _roots(v: Column) -> Column:
+    """Both roots. What isn't a number does no harm: any number stands for the grid point
+    next to it."""
+    return F.array(F.try_divide(v["h"], v["p"]), F.try_divide(v["r"], v["h"]))
+
+
+def evenly(state: DataFrame) -> DataFrame:
+    """States dealt to as many tasks as a shuffle has: a series is a small row that takes about
+    a millisecond, so partitions that are joined by size are too few."""
+    return state.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def next_value(state: DataFrame, next_y: str, grid: Grid, near: Column | None = None, fallback: Column | None = None) -> DataFrame:
@@ -101,25 +113,29 @@ def next_value(state: DataFrame, next_y: str, grid: Grid, near: Column | None =
         """Grid points about numbers."""
         i = lambda r: F.floor(F.least(F.greatest((r - low) / grid.step, F.lit(0.0)), F.col("_top")) + 0.5)
         clip = lambda v: low + F.least(F.greatest(v, F.lit(0.0)), F.col("_top")) * grid.step
-        return F.array_distinct(F.flatten(F.transform(reals, lambda r: F.array(*(clip(i(r) + o) for o in (-1.0, 0.0, 1.0))))))
+        return F.array_distinct(F.flatten(F.transform(F.transform(reals, i), lambda v: F.array(*(clip(v + o) for o in (-1.0, 0.0, 1.0))))))
 
     def change(k: Column) -> Column:
         return _correlation(a * k + b, n * k * k + e * k + f, d, grid) - F.col("_old")
 
-    def where(level: Column) -> list[Column]:
-        """Numbers at which the correlation is ``level`` units."""
-        w = level * level / float(10 ** (2 * grid.places)) * d
-        return _roots(a * a - w * n, 2 * a * b - w * e, b * b - w * f)
+    def where(levels: Column) -> Column:
+        """Numbers at which the correlation is one of ``levels`` units. Lambdas are not
+        compiled, so what is used twice is a field of a step of its own."""
+        w = F.transform(levels, lambda v: v * v / float(10 ** (2 * grid.places)) * d)
+        square = F.transform(w, lambda v: F.struct((a * a - v * n).alias("p"), (2 * a * b - v * e).alias("q"), (b * b - v * f).alias("r")))
+        return F.flatten(F.transform(F.transform(square, _half), _roots))
 
     # the least change is where the old correlation is met, at the turning point or at an end
     turn = F.try_divide(a * f - b * e / 2, b * n - a * e / 2)
-    s = s.withColumn("_at", points(F.array(*where(F.col("_old")), turn, low, F.col("_high"), near)))
+    s = s.withColumn("_at", points(F.concat(where(F.array("_old")), F.array(turn, low, F.col("_high"), near))))
     s = s.withColumn("_least", F.array_min(F.transform("_at", lambda k: F.abs(change(k)))))
     # further levels pay only as long as they cost less than all distance there is
     levels = min(grid.tolerance, ceil(grid.width / grid.weight) + 1)
-    edges = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.array(*where(F.col("_old") + (F.col("_least") + i + 0.5)), *where(F.col("_old") - (F.col("_least") + i + 0.5)))))
+    off = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.col("_least") + i + 0.5)
+    edges = where(F.concat(F.transform(off, lambda v: F.col("_old") + v), F.transform(off, lambda v: F.col("_old") - v)))
     s = s.withColumn("_at", F.array_union("_at", points(edges)))
-    seen = F.transform("_at", lambda k: F.struct((F.abs(change(k)) * grid.weight + F.abs(k - near)).alias("cost"), k.alias("k"), change(k).alias("change")))
+    moved = F.transform("_at", lambda k: F.struct(k.alias("k"), change(k).alias("change")))
+    seen = F.transform(moved, lambda v: F.struct((F.abs(v["change"]) * grid.weight + F.abs(v["k"] - near)).alias("cost"), v["k"].alias("k"), v["change"].alias("change")))
     best = F.array_min(F.filter(seen, lambda v: v["change"].between(-grid.tolerance, grid.tolerance - 1)))["k"]
     found = best if fallback is None else F.coalesce(best, fallback)
     s = s.withColumn("forecast", F.when(F.col("_old").isNotNull() & y.isNotNull() & (F.col("_top") >= 0), found))

@@ -344,7 +344,7 @@ def borrower_forecast(spark, sf):
     s = rows.groupBy("entity", "sector", "category", "kind", "target").agg(*FC.sums(10 * F.col("g"), F.col("y"), F.col("year")))
     s = s.join(curves.select("sector", "category", "kind", F.col("year").alias("target"), F.col("y").alias("ny")), ["sector", "category", "kind", "target"])
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("forecast") / FC.UNIT)).alias(f"by_{k}")
-    return FC.next_value(s, "ny", FC.BORROWER).groupBy("entity", "category", F.col("target").cast("int").alias("year")).agg(of("category"), of("sector"))
+    return FC.next_value(FC.evenly(s), "ny", FC.BORROWER).groupBy("entity", "category", F.col("target").cast("int").alias("year")).agg(of("category"), of("sector"))
 
 
 _rstate = f"SELECT entity, {_sums}, any_value(ny1) AS ny1, any_value(ny2) AS ny2 FROM ({_paired}) JOIN (SELECT sector, floor((y0 + y1) / 2) AS ny1, floor((floor((y0 + y1) / 2) + y1) / 2) AS ny2 FROM (SELECT sector, max(y) FILTER (year = 2000) AS y0, max(y) FILTER (year = 2001) AS y1 FROM ({_curve}) GROUP BY 1)) USING (sector) GROUP BY 1"
