@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaylight.operators import textsearch as TS
 from quaylight.operators import tiles
 from quaylight.operators import vectorsearch as V
 
@@ -82,3 +83,25 @@ def test_rounding_is_that_of_spark(spark):
     x = [0.1234565, -0.1234565, 1.0000005, 2.5e-7, -5e-7, 4.9999999e-7, 123456.7890125, 1e17, -1e300, float("inf"), 0.0]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert (tiles.rounded(np.array(x)) == np.array(want)).all()
+
+
+def test_likeness_of_every_pair(spark, monkeypatch):
+    """Ties, weights of 0, copies and a query without a group, over many blocks and parts."""
+    monkeypatch.setattr(TS, "QUERIES", 4)
+    monkeypatch.setattr(TS, "DOCUMENTS", 16)
+    monkeypatch.setattr(TS, "SCORED", 64)
+    rng = random.Random(3)
+    rows = [(i, ["a", "b", None][i % 3], f"t{t}", rng.choice([0.0, 0.5, 1.0, 2.0])) for i in range(120) for t in rng.sample(range(12), 5)]
+    df = spark.createDataFrame(rows, "id long, g string, term string, w double")
+    got = TS.more_like_this(df, df.where("id % 5 = 0").select("id").distinct(), "id", 3, 6, ("g",)).collect()
+    docs = {}
+    for i, g, t, w in rows:
+        docs.setdefault(i, (g, {}))[1][t] = w
+    want = []
+    for i, (g, mine) in docs.items():
+        if i % 5 == 0 and g:
+            heavy = sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:3]
+            score = lambda o: sum(w * o[t] for t, w in heavy if t in o)  # noqa: B023, E731
+            found = sorted((-score(o), j) for j, (of, o) in docs.items() if j != i and of == g and any(t in o for t, _ in heavy))
+            want += [(i, j, -s, k) for k, (s, j) in enumerate(found[:6], 1)]
+    assert sorted((r["query"], r["id"], r["score"], r["rank"]) for r in got) == sorted(want)
