@@ -374,8 +374,12 @@ def sector_correlation(spark, sf):
 
 @query("entity_summary", f"SELECT entity, count(*) AS n, min(year) AS first_year, max(year) AS last_year, round(min(val), 2) AS low, round(max(val), 2) AS high, trunc(avg(val))::BIGINT AS mean FROM ({_annual}) GROUP BY 1")
 def entity_summary(spark, sf):
-    """AGG31"""
-    return annual(spark, sf).groupBy("entity").agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.round(F.min("val"), 2).alias("low"), F.round(F.max("val"), 2).alias("high"), F.avg("val").cast("long").alias("mean"))
+    """AGG31: amounts are added as decimals, so that a mean that is a whole number is not cut
+    to the one below."""
+    a = latest(spark, sf).groupBy("entity", "year").agg(F.sum(F.col("val").cast("decimal(28,8)")).alias("val"))
+    amount = lambda c: F.round(c.cast("double"), 2)
+    s = a.groupBy("entity").agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), amount(F.min("val")).alias("low"), amount(F.max("val")).alias("high"), F.sum("val").alias("_sum"), F.nullif(F.count("val"), F.lit(0)).alias("_of"))
+    return s.withColumn("mean", F.expr("_sum div _of")).drop("_sum", "_of")
 
 
 @query("exact_year_frame", f"SELECT entity FROM ({_annual}) GROUP BY 1 HAVING list_sort(list(DISTINCT year)) = [1995, 1996, 1997, 1998, 1999, 2000]")
