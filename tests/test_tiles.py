@@ -105,3 +105,36 @@ def test_likeness_of_every_pair(spark, monkeypatch):
             found = sorted((-score(o), j) for j, (of, o) in docs.items() if j != i and of == g and any(t in o for t, _ in heavy))
             want += [(i, j, -s, k) for k, (s, j) in enumerate(found[:6], 1)]
     assert sorted((r["query"], r["id"], r["score"], r["rank"]) for r in got) == sorted(want)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_names_of_every_pair(spark):
+    """Names of one class, names a few letters long, an empty one and groups of one."""
+    rng = random.Random(7)
+    words = ["red", "reed", "rad", "blue", "blew", "b", "", "ring", "rings", "wring"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3]))), i % 4) for i in range(160)] + [(200, "alone", 9), (220, None, 1)]
+    df = spark.createDataFrame(rows, "id long, name string, size int")
+    got = sorted(tuple(r) for r in TS.fuzzy_names(df.where("id % 20 = 0"), df, "id", "name", 6).select("query", "hit", "score", "rank").collect())
+    sets = {i: {w for w in (n or "").split(" ") if w} for i, n, _ in rows}
+    want = []
+    for q in (i for i in sets if i % 20 == 0):
+        score = lambda i: sum(max([{0: 4, 1: 2, 2: 1}.get(edits(a, b), 0) for b in sets[i] if a[0] == b[0]], default=0) for a in sets[q])  # noqa: B023, E731
+        found = sorted((-s, i) for i in sets if (s := score(i)))[:6]
+        want += [(q, i, -s, k) for k, (s, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+    named = df.where("name IS NOT NULL")
+    got = sorted(tuple(r) for r in TS.nearest_names(named.where("id % 20 = 0"), named, "id", "name", "size").collect())
+    want = []
+    for q, name, size in rows:
+        if q % 20 == 0 and name is not None and (near := sorted((edits(name, n), i) for i, n, s in rows if s == size and i != q and n is not None)):
+            exact = sum(e == 0 for e, _ in near)
+            want.append((q, near[0][1] if near[0][0] <= 2 else None, exact, exact > 1))
+    assert got == sorted(want)
