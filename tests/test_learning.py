@@ -117,3 +117,16 @@ def test_topics_and_factors_of_no_rows(spark):
     none = spark.createDataFrame([], "d long, term string, tf double, g string")
     assert L.industry_topics(none, "d", "g", 3).count() == 0
     assert L.nmf(none, "d", "term", "tf", 3).count() == 0
+
+
+def test_rounds_of_topics_write_counts_only(spark, monkeypatch):
+    """A round writes a number a pair, term and document, and not the documents again."""
+    from quaylight.operators import factors
+
+    written = []
+    monkeypatch.setattr(factors, "kept", lambda df, name, own=factors.kept: written.append(df.columns) or own(df, name))
+    post = [(d, f"t{(d * 3 + i) % 11}", 1.0 + i, "ab"[d % 2]) for d in range(9) for i in range(4)] + [(None, "t1", 2.0, "a")]
+    got = {(r.topic, r.term): r.phi for r in L.industry_topics(spark.createDataFrame(post, "d long, term string, tf double, g string"), "d", "g", 4).collect()}
+    want = plain_topics(post, 4)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert written[-4:] == [["block", "pairs", "words", "chunk", "data"]] * 4
