@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Classes up to which what a term adds to each is a column.
+WIDE = 64
+
 
 def class_counts(terms: DataFrame, label: str, term: str = "term", n: str = "tf") -> DataFrame:
     """(label, term, n): occurrences by class."""
@@ -29,11 +32,20 @@ def posteriors(docs: DataFrame, terms: DataFrame, counts: DataFrame, of: DataFra
     weighed = of.join(F.broadcast(kinds)).join(F.broadcast(of.agg(F.sum("docs").alias("all"))))
     # one row: classes are few beside documents and terms
     listed = weighed.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), F.log(F.col("docs") / F.col("all")).alias("prior"), F.log(F.col("words") + F.col("kinds")).alias("base")))).alias("_classes"))
-    shared = terms.join(counts.select("term", F.col(label).alias("_label"), F.log(F.col("n") + 1.0).alias("w")), "term")
-    sums = shared.groupBy(doc, "_label").agg(F.sum(F.col("tf") * F.col("w")).alias("s"))
-    by_doc = sums.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("_label", "s"))).alias("_sums"))
-    length = terms.groupBy(doc).agg(F.sum("tf").alias("_length"))
-    d = docs.select(doc).join(by_doc, doc, "left").join(length, doc, "left").join(F.broadcast(listed))
+    named = sorted(r[0] for r in of.select(label).where(F.col(label).isNotNull()).limit(WIDE + 1).collect())
+    if len(named) <= WIDE:
+        # a row a term with what each class adds, so that a posting meets one row and a document has one sum a class
+        each = [F.coalesce(F.max(F.when(F.col(label) == c, F.log(F.col("n") + 1.0))), F.lit(0.0)).alias(f"_w{i}") for i, c in enumerate(named)]
+        shared = terms.join(counts.groupBy("term").agg(*each), "term", "left")
+        sums = [F.coalesce(F.sum(F.col("tf") * F.col(f"_w{i}")), F.lit(0.0)) for i in range(len(named))]
+        by_doc = shared.groupBy(doc).agg(F.map_from_arrays(F.array(*map(F.lit, named)).cast(f"array<{of.schema[label].dataType.simpleString()}>"), F.array(*sums).cast("array<double>")).alias("_sums"), F.sum("tf").alias("_length"))
+        d = docs.select(doc).join(by_doc, doc, "left").join(F.broadcast(listed))
+    else:
+        shared = terms.join(counts.select("term", F.col(label).alias("_label"), F.log(F.col("n") + 1.0).alias("w")), "term")
+        sums = shared.groupBy(doc, "_label").agg(F.sum(F.col("tf") * F.col("w")).alias("s"))
+        by_doc = sums.where("_label IS NOT NULL").groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("_label", "s"))).alias("_sums"))
+        length = terms.groupBy(doc).agg(F.sum("tf").alias("_length"))
+        d = docs.select(doc).join(by_doc, doc, "left").join(length, doc, "left").join(F.broadcast(listed))
     own = lambda c: F.coalesce(F.col("_sums")[c["label"]], F.lit(0.0))
     score = F.transform("_classes", lambda c: c["prior"] + own(c) - F.coalesce(F.col("_length"), F.lit(0)) * c["base"])
     d = d.withColumn("_score", score)

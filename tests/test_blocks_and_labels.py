@@ -98,3 +98,16 @@ def test_languages_of_documents_that_no_profile_has_seen(spark, tiny):
     right, n = sum(r.n for r in rows if r.lang == r.detected), sum(r.n for r in rows)
     assert n == spark.read.parquet(f"{tiny}/documents.parquet").count()
     assert right > 0.95 * n
+
+
+def test_posteriors_do_not_multiply_postings(spark, monkeypatch):
+    """A posting meets one row, whatever the number of classes; many classes give the same."""
+    docs = spark.createDataFrame([(i, "abc"[i % 3] if i else None) for i in range(9)], "i int, label string")
+    terms = spark.createDataFrame([(i, t, 1 + i % 2) for i in range(8) for t in ("x", "y", f"t{i % 4}")], "i int, term string, tf int")
+    counts = classify.class_counts(terms.where("i < 7").join(docs, "i"), "label")
+    found = lambda: classify.posteriors(docs, terms, counts, classify.classes(docs, counts, "label"), "i", "label")
+    wide = found()
+    assert "Expand" not in (plan := wide._jdf.queryExecution().optimizedPlan().toString()) and "_label" not in plan
+    got = sorted((r.i, r.label or "", round(r.p, 9)) for r in wide.collect())
+    monkeypatch.setattr(classify, "WIDE", 0)
+    assert got == sorted((r.i, r.label or "", round(r.p, 9)) for r in found().collect()) and len(got) == 36
