@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.io import kept
 from . import blocks
 from .factors import industry_topics, nmf  # noqa: F401
 
@@ -48,6 +53,76 @@ def importance(pairs: DataFrame, weights: dict[str, float]) -> DataFrame:
     return pairs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.lit(w).alias("w")) for f, w in weights.items()))).alias("r")).groupBy("r.feature").agg(F.round(F.max("r.w") * F.stddev_pop("r.x"), 6).alias("importance"))
 
 
+#: Different rows of a level that meet in one piece of a task's work.
+TILE = 2048
+
+
+def _levels(lists: DataFrame, keys: list[str], rel: str, features: list[str], tile: int) -> DataFrame:
+    """Pieces of levels of relevance that meet: of each list every piece of a higher level
+    with every piece of a lower one. Rows of equal features are one with their number."""
+    x = [F.col(f).cast("double").alias(f) for f in features]
+    rows = lists.select(*keys, F.col(rel).alias("_r"), *x).na.drop(subset=features).groupBy(*keys, "_r", *features).agg(F.count("*").cast("double").alias("_n"))
+    # pieces by hash, as many as the level needs
+    sizes = rows.groupBy(*keys, "_r").agg(F.ceil(F.count("*") / tile).alias("_pieces"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_r")]
+    placed = rows.alias("l").join(F.broadcast(sizes).alias("r"), same).select("l.*", F.pmod(F.xxhash64(*features), F.col("_pieces")).alias("_piece"))
+    pieces = placed.groupBy(*keys, "_r", "_piece").agg(F.collect_list(F.array("_n", *features)).alias("rows"))
+    pieces = kept(pieces, "levels")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    return pieces.alias("a").join(pieces.alias("b"), [*on, F.col("a._r") > F.col("b._r")]).select(F.col("a.rows").alias("better"), F.col("b.rows").alias("worse"))
+
+
+def _summed_pairs(w: np.ndarray | None, scale: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without weights the number of pairs and the sums of differences and of their squares;
+    with them loss, gradient and second derivatives."""
+    k = len(scale)
+    out = np.zeros(1 + 2 * k if w is None else 1 + k + k * k)
+    for b in batches:
+        for better, worse in zip(b.column(0), b.column(1), strict=True):
+            (n, x), (m, y) = ((a[:, 0], a[:, 1:] / scale) for a in (s.values.flatten().to_numpy().reshape(-1, k + 1) for s in (better, worse)))
+            for at in range(0, len(n), 256):
+                d, c = x[at : at + 256, None] - y[None], n[at : at + 256, None] * m[None]
+                if w is None:
+                    out += np.concatenate([[c.sum()], (c[..., None] * d).sum((0, 1)), (c[..., None] * d * d).sum((0, 1))])
+                    continue
+                z = d @ w
+                p = 1 / (1 + np.exp(np.minimum(z, 700)))
+                curve = c * p * (1 - p)
+                out += np.concatenate([[(c * np.logaddexp(0, -z)).sum()], -((c * p)[..., None] * d).sum((0, 1)), np.einsum("ij,ijk,ijl->kl", curve, d, d).ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+
+def ranknet_lists(lists: DataFrame, keys: list[str], rel: str, features: list[str], strength: float = 1e-3) -> tuple[dict[str, float], dict[str, float]]:
+    """RNK6, RNK8: what ``ranknet`` and ``importance`` give for the preferences of lists,
+    without making the pairs: weights by Newton's method, whose sums over pairs are made
+    where two pieces of levels meet, and each feature's importance."""
+    pieces = _levels(lists, keys, rel, features, TILE)
+    tiles = kept(pieces.repartition(4 * pieces.sparkSession.sparkContext.defaultParallelism), "tiles")
+
+    def summed(w: np.ndarray | None, scale: np.ndarray) -> np.ndarray:
+        found = tiles.mapInArrow(partial(_summed_pairs, w, scale), "sums array<double>").collect()
+        return np.sum([r.sums for r in found], axis=0) if found else np.zeros(1)
+
+    k = len(features)
+    first = summed(None, np.ones(k))
+    n = first[0]
+    if not n:
+        raise ValueError("no preferences")
+    mean, square = first[1 : 1 + k] / n, first[1 + k :] / n
+    # each pair and its mirror have mean zero; the penalty is on standardised weights, as in Spark's
+    scale = np.sqrt(square * 2 * n / (2 * n - 1))
+    scale = np.where(scale > 0, scale, 1.0)
+    w = np.zeros(k)
+    for _ in range(50):
+        s = summed(w, scale) / n
+        step = np.linalg.solve(s[1 + k :].reshape(k, k) + strength * np.eye(k), s[1 : 1 + k] + strength * w)
+        w = w - step
+        if np.abs(step).max() <= 1e-10 * max(1.0, np.abs(w).max()):
+            break
+    weights = w / scale
+    return dict(zip(features, weights.tolist(), strict=True)), dict(zip(features, (weights * np.sqrt(np.maximum(square - mean**2, 0))).tolist(), strict=True))
+
+
 def _dtw(a: np.ndarray, b: np.ndarray, window: int) -> float:
     return float(_dtw_rows(a[None], b[None], window)[0])
 

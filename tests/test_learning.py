@@ -130,3 +130,19 @@ def test_rounds_of_topics_write_counts_only(spark, monkeypatch):
     want = plain_topics(post, 4)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert written[-4:] == [["block", "pairs", "words", "chunk", "data"]] * 4
+
+
+def test_ranknet_of_lists_is_that_of_their_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from quaylight.operators import ranking as K
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], int(rng.integers(0, 3)), float(rng.integers(0, 6)), float(rng.integers(0, 2))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, None, 2, 1.0, 1.0), (61, "a", 1, None, 1.0)], "i int, list string, rel int, x double, y double")
+    own = df.where("x IS NOT NULL").select("i", "x", "y")
+    pairs = K.preferences(df, ["list"], "i", "rel").join(own.toDF("better", "x1", "y1"), "better").join(own.toDF("worse", "x2", "y2"), "worse").select((F.col("x1") - F.col("x2")).alias("x"), (F.col("y1") - F.col("y2")).alias("y"))
+    weights = L.ranknet(pairs, ["x", "y"])
+    got, importance = L.ranknet_lists(df, ["list"], "rel", ["x", "y"])
+    assert got == pytest.approx(weights, abs=1e-5)
+    assert importance == pytest.approx({r.feature: r.importance for r in L.importance(pairs, weights).collect()}, abs=1e-4)
