@@ -5,7 +5,8 @@ The correlation of the longer series is (a*k + b) / sqrt(d * (n*k^2 + e*k + f))
 value k, with coefficients that are sums over the series. So a wanted correlation is a
 quadratic in k, and its roots lie next to the grid points at which the rounded correlation
 comes within so many units of the old one. Only these are looked at, a few dozen of up to
-16,500: no candidate is a row, and the result is that of the whole grid.
+16,500: no candidate is a row, and the result is that of the whole grid. They are arrays of
+a batch of series, as expressions over an array a row take a hundred times as long.
 
 A state is one row a series: its sums, its last value, and those of the curve. Values are in
 whole units (``UNIT`` to one, ``FINE`` for the curve), so sums are exact in any order. A
@@ -14,15 +15,17 @@ forecast is appended by updating the sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import ceil
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Units to one of a series and of a curve.
-UNIT, FINE = 10_000, 1_000_000
+#: Units to one of a series and of a curve, and candidates that are looked at at once.
+UNIT, FINE, SEEN = 10_000, 1_000_000, 1 << 18
 
 
 class Grid(NamedTuple):
@@ -70,22 +73,56 @@ def _correlation(top: Column, dx: Column, dy: Column, grid: Grid) -> Column:
     return F.when((dx > 0) & (dy > 0), F.floor(top / F.sqrt(dx * dy) * 10**grid.places + 0.5).cast("double"))
 
 
-def _half(v: Column) -> Column:
-    """Of p*k^2 + q*k + r what both roots are made of, without cancellation."""
-    p, q, r = v["p"], v["q"], v["r"]
-    h = -(q + F.when(q < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(q * q - 4 * p * r, F.lit(0.0)))) / 2
-    return F.struct(p.alias("p"), r.alias("r"), h.alias("h"))
+def _roots(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+    """Both roots of p*k^2 + q*k + r without cancellation. What isn't a number does no harm:
+    any number stands for the grid point next to it."""
+    h = -(q + np.where(q < 0, -1.0, 1.0) * np.sqrt(np.maximum(q * q - 4 * p * r, 0.0))) / 2
+    return [h / p, r / h]
 
 
-def _roots(v: Column) -> Column:
-    """Both roots. What isn't a number does no harm: any number stands for the grid point
-    next to it."""
-    return F.array(F.try_divide(v["h"], v["p"]), F.try_divide(v["r"], v["h"]))
+def _found(step: int, places: int, tolerance: int, weight: int, levels: int, old, low, high, near, n, a, b, d, e, f, top) -> np.ndarray:
+    """The best grid point of each series, NaN where there is none; arguments are columns (series, 1)."""
+
+    def points(*reals: np.ndarray) -> np.ndarray:
+        """Grid points about numbers."""
+        i = (np.hstack(reals) - low) / step
+        i = np.floor(np.minimum(np.maximum(np.where(np.isnan(i), 0.0, i), 0.0), top) + 0.5)
+        return low + np.minimum(np.maximum(np.hstack([i - 1, i, i + 1]), 0.0), top) * step
+
+    def change(k: np.ndarray) -> np.ndarray:
+        dx = n * k * k + e * k + f
+        return np.where((dx > 0) & (d > 0), np.floor((a * k + b) / np.sqrt(dx * d) * 10**places + 0.5), np.nan) - old
+
+    def where(level: np.ndarray) -> list[np.ndarray]:
+        """Numbers at which the correlation is one of ``level`` units."""
+        w = level * level / float(10 ** (2 * places)) * d
+        return _roots(a * a - w * n, 2 * a * b - w * e, b * b - w * f)
+
+    # the least change is where the old correlation is met, at the turning point or at an end
+    at = points(*where(old), (a * f - b * e / 2) / (b * n - a * e / 2), low, high, near)
+    least = np.fmin.reduce(np.abs(change(at)), axis=1, keepdims=True)
+    # further levels pay only as long as they cost less than all distance there is
+    off = least + np.arange(levels + 1) + 0.5
+    at = np.hstack([at, points(*where(np.hstack([old + off, old - off])))])
+    moved, far = change(at), np.abs(at - near)
+    cost = np.abs(moved) * weight + np.where(np.isnan(far), 0.0, far)
+    cost = np.where((moved >= -tolerance) & (moved <= tolerance - 1), cost, np.inf)
+    best = cost.min(axis=1, keepdims=True)
+    return np.where(np.isinf(best[:, 0]), np.nan, np.where(cost == best, at, np.inf).min(axis=1))
+
+
+def _searched(grid: tuple, batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    each = max(1, SEEN // (12 * grid[-1] + 30))
+    for columns in batches:
+        arrays = [c.to_numpy(np.float64)[:, None] for c in columns]
+        with np.errstate(all="ignore"):
+            parts = [_found(*grid, *(c[i : i + each] for c in arrays)) for i in range(0, len(arrays[0]), each)]
+        yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
 
 def evenly(state: DataFrame) -> DataFrame:
-    """States dealt to as many tasks as a shuffle has: a series is a small row that takes about
-    a millisecond, so partitions that are joined by size are too few."""
+    """States dealt to as many tasks as a shuffle has: a series is a small row that takes longer
+    than its size says, so partitions that are joined by size are too few."""
     return state.repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -96,7 +133,8 @@ def next_value(state: DataFrame, next_y: str, grid: Grid, near: Column | None =
     tolerance it is ``fallback``; where there is no correlation (fewer than two places, a
     constant side, nulls) it is null."""
     c = {name: F.col(name) for name in ("n", "sx", "sy", "sxx", "syy", "sxy", "last")}
-    n, y = c["n"], F.col(next_y)
+    y = F.col(next_y)
+    n = c["n"]
     old = _correlation(n * c["sxy"] - c["sx"] * c["sy"], n * c["sxx"] - c["sx"] * c["sx"], n * c["syy"] - c["sy"] * c["sy"], grid)
     m, ty = n + 1, c["sy"] + y
     s = state.withColumns(
@@ -105,41 +143,18 @@ def next_value(state: DataFrame, next_y: str, grid: Grid, near: Column | None =
             "_a": m * y - ty, "_b": m * c["sxy"] - c["sx"] * ty, "_d": m * (c["syy"] + y * y) - ty * ty, "_e": -2 * c["sx"], "_f": m * c["sxx"] - c["sx"] * c["sx"],
         }
     )
-    a, b, d, e, f, low, near = (F.col(x) for x in ("_a", "_b", "_d", "_e", "_f", "_low", "_near"))
     # the last point is before the window's end
-    s = s.withColumn("_top", F.ceil((F.col("_high") - low) / grid.step).cast("double") - 1)
-
-    def points(reals: Column) -> Column:
-        """Grid points about numbers."""
-        i = lambda r: F.floor(F.least(F.greatest((r - low) / grid.step, F.lit(0.0)), F.col("_top")) + 0.5)
-        clip = lambda v: low + F.least(F.greatest(v, F.lit(0.0)), F.col("_top")) * grid.step
-        return F.array_distinct(F.flatten(F.transform(F.transform(reals, i), lambda v: F.array(*(clip(v + o) for o in (-1.0, 0.0, 1.0))))))
-
-    def change(k: Column) -> Column:
-        return _correlation(a * k + b, n * k * k + e * k + f, d, grid) - F.col("_old")
+    s = s.withColumn("_top", F.ceil((F.col("_high") - F.col("_low")) / grid.step).cast("double") - 1)
+    levels = min(grid.tolerance, ceil(grid.width / grid.weight) + 1)
 
-    def where(levels: Column) -> Column:
-        """Numbers at which the correlation is one of ``levels`` units. Lambdas are not
-        compiled, so what is used twice is a field of a step of its own."""
-        w = F.transform(levels, lambda v: v * v / float(10 ** (2 * grid.places)) * d)
-        square = F.transform(w, lambda v: F.struct((a * a - v * n).alias("p"), (2 * a * b - v * e).alias("q"), (b * b - v * f).alias("r")))
-        return F.flatten(F.transform(F.transform(square, _half), _roots))
+    def searched(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        yield from _searched((grid.step, grid.places, grid.tolerance, grid.weight, levels), batches)
 
-    # the least change is where the old correlation is met, at the turning point or at an end
-    turn = F.try_divide(a * f - b * e / 2, b * n - a * e / 2)
-    s = s.withColumn("_at", points(F.concat(where(F.array("_old")), F.array(turn, low, F.col("_high"), near))))
-    s = s.withColumn("_least", F.array_min(F.transform("_at", lambda k: F.abs(change(k)))))
-    # further levels pay only as long as they cost less than all distance there is
-    levels = min(grid.tolerance, ceil(grid.width / grid.weight) + 1)
-    off = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.col("_least") + i + 0.5)
-    edges = where(F.concat(F.transform(off, lambda v: F.col("_old") + v), F.transform(off, lambda v: F.col("_old") - v)))
-    s = s.withColumn("_at", F.array_union("_at", points(edges)))
-    moved = F.transform("_at", lambda k: F.struct(k.alias("k"), change(k).alias("change")))
-    seen = F.transform(moved, lambda v: F.struct((F.abs(v["change"]) * grid.weight + F.abs(v["k"] - near)).alias("cost"), v["k"].alias("k"), v["change"].alias("change")))
-    best = F.array_min(F.filter(seen, lambda v: v["change"].between(-grid.tolerance, grid.tolerance - 1)))["k"]
+    of = ("_old", "_low", "_high", "_near", "n", "_a", "_b", "_d", "_e", "_f", "_top")
+    best = F.pandas_udf(searched, "double")(*(F.col(c).cast("double") for c in of))
     found = best if fallback is None else F.coalesce(best, fallback)
     s = s.withColumn("forecast", F.when(F.col("_old").isNotNull() & y.isNotNull() & (F.col("_top") >= 0), found))
-    return s.drop("_old", "_low", "_high", "_near", "_a", "_b", "_d", "_e", "_f", "_top", "_at", "_least")
+    return s.drop("_old", "_low", "_high", "_near", "_a", "_b", "_d", "_e", "_f", "_top")
 
 
 def rising(next_y: str, grid: Grid) -> Column:

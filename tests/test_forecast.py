@@ -93,3 +93,18 @@ def test_no_correlation_no_forecast(spark):
 def test_units_are_to_the_nearest(spark):
     df = spark.createDataFrame([(0.1,), (-0.00005,), (0.12345,), (None,)], "v double")
     assert [r.u for r in df.select(FC.units("v").alias("u")).collect()] == [1000.0, 0.0, 1235.0, None]
+
+
+def test_a_batch_takes_microseconds_a_series(spark):
+    """Candidates are arrays of a batch: an expression over an array a row takes a millisecond."""
+    import time
+
+    series = states(spark, some_series(20, "fast")).crossJoin(spark.range(0, 2000, 1, 4).select(F.col("id").alias("copy"))).repartition(4).cache()
+    series.count()
+    for _ in range(2):
+        begin = time.time()
+        found = FC.next_value(series, "ny", FC.AHEAD).groupBy("i").agg(F.count("forecast").alias("n"), F.count_distinct("forecast").alias("kinds")).collect()
+        took = time.time() - begin
+    series.unpersist()
+    assert all((r.n, r.kinds) in ((0, 0), (2000, 1)) for r in found) and any(r.n for r in found)
+    assert took < 6
