@@ -362,7 +362,7 @@ def rolled_forward(spark, sf):
     of = lambda year: F.max(F.when(F.col("year") == year, F.col("y")))
     mean = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("double")
     ahead = c.groupBy("sector").agg(of(2000).alias("y0"), of(2001).alias("y1")).withColumn("ny1", mean("y0", "y1")).withColumn("ny2", mean("ny1", "y1")).drop("y0", "y1")
-    found = FC.rolled(s.join(ahead, "sector"), ["ny1", "ny2"], FC.AHEAD)
+    found = FC.rolled(FC.evenly(s.join(ahead, "sector")), ["ny1", "ny2"], FC.AHEAD)
     return found.select("entity", F.posexplode(F.array("forecast_1", "forecast_2")).alias("i", "f")).select("entity", (F.col("i") + 2002).alias("year"), (F.col("f") / FC.UNIT).alias("forecast"))
 
 
