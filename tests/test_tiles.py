@@ -138,3 +138,20 @@ def test_names_of_every_pair(spark):
             exact = sum(e == 0 for e, _ in near)
             want.append((q, near[0][1] if near[0][0] <= 2 else None, exact, exact > 1))
     assert got == sorted(want)
+
+
+def test_only_asked_postings_are_weighted(spark):
+    """What ``retrieved`` finds from postings is what ``more_like_this`` finds from weights, and
+    what is explained of a pair adds up to its score."""
+    rng = np.random.default_rng(9)
+    rows = [(d, "ab"[d % 2], f"t{t}", int(rng.integers(1, 6))) for d in range(60) for t in rng.choice(40, 12, replace=False)]
+    p = spark.createDataFrame(rows, "id long, g string, term string, tf long")
+    i = TS.with_idf(TS.frequencies(p), p.select("id").distinct())
+    asked = p.where("id % 5 = 0").select("id").distinct()
+    heavy = TS.heaviest(p, i, asked, "id", 3, ("g",))
+    found = TS.retrieved(p, heavy, "id", 6, ("g",), 60)
+    want = TS.more_like_this(TS.tfidf(p, i, "id"), asked, "id", 3, 6, ("g",))
+    rows = {(r.query, r.id, r.score, r.rank) for r in found.collect()}
+    assert rows == {(r.query, r.id, r.score, r.rank) for r in want.collect()} and len(rows) > 50
+    parts = TS.explained(p, found, heavy, "id").groupBy("query", "id").agg(F.sum("contribution").alias("s")).collect()
+    assert {(r.query, r.id): r.s for r in parts} == pytest.approx({r[:2]: r[2] for r in rows}, abs=1e-6)
