@@ -155,3 +155,25 @@ def test_only_asked_postings_are_weighted(spark):
     assert rows == {(r.query, r.id, r.score, r.rank) for r in want.collect()} and len(rows) > 50
     parts = TS.explained(p, found, heavy, "id").groupBy("query", "id").agg(F.sum("contribution").alias("s")).collect()
     assert {(r.query, r.id): r.s for r in parts} == pytest.approx({r[:2]: r[2] for r in rows}, abs=1e-6)
+
+
+def test_terms_of_pairs_are_merged_where_postings_are_dealt_by_term(spark, tmp_path):
+    """Pairs are sent, postings meet the terms' idf in a shuffle: a term of both sides is one row."""
+    post = spark.range(400).select(F.col("id").alias("doc"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("t"), F.pmod(F.xxhash64("id", i), F.lit(60))))).alias("term")).distinct()
+    idfs = spark.range(60).select(F.concat(F.lit("t"), "id").alias("term"), (F.col("id") + 100.0).alias("idf"))
+    pairs = spark.range(100).select(F.col("id").alias("a"), (F.col("id") * 3 + 5).alias("b"))
+    for name, df in (("post", post), ("idf", idfs), ("pairs", pairs)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    post, idfs, pairs = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("post", "idf", "pairs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        terms = TS.pair_terms(F.broadcast(pairs), post, idfs, "a", "b", "doc")
+        got = {(r.a, r.b): r.peer_only_idf for r in TS.peer_only(terms, "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {}
+    for r in post.collect():
+        held.setdefault(r.doc, []).append(int(r.term[1:]))
+    own = {(a, a * 3 + 5): sorted((100.0 + t for t in set(held[a * 3 + 5]) - set(held[a])), reverse=True) for a in range(100)}
+    assert got == pytest.approx({p: sum(w[:10]) / min(len(w), w[0]) for p, w in own.items() if w}, abs=1e-6)
