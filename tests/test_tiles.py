@@ -177,3 +177,19 @@ def test_terms_of_pairs_are_merged_where_postings_are_dealt_by_term(spark, tmp_p
         held.setdefault(r.doc, []).append(int(r.term[1:]))
     own = {(a, a * 3 + 5): sorted((100.0 + t for t in set(held[a * 3 + 5]) - set(held[a])), reverse=True) for a in range(100)}
     assert got == pytest.approx({p: sum(w[:10]) / min(len(w), w[0]) for p, w in own.items() if w}, abs=1e-6)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_search_bounded_by_a_sample_loses_nothing(spark, monkeypatch, k):
+    """Above ``SMALL`` documents light postings are left out of the search, and results are
+    those of the whole one."""
+    rng = np.random.default_rng(k)
+    rows = [(d, "aab"[d % 3], f"t{t}", float(rng.integers(1, 6) * (1 + t % 7)) / 7) for d in range(400) for t in np.unique(rng.zipf(1.3, 30) % 80)]
+    w = spark.createDataFrame(rows, "id long, g string, term string, w double")
+    asked = w.where("id % 5 = 0").select("id").distinct()
+    want = TS.more_like_this(w, asked, "id", 6, k, ("g",)).collect()
+    monkeypatch.setattr(TS, "SMALL", 20)
+    monkeypatch.setattr(TS, "SAMPLED", 4)
+    monkeypatch.setattr(TS, "HITS", 500)
+    got = TS.more_like_this(w, asked, "id", 6, k, ("g",)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
